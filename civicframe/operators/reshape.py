@@ -85,3 +85,25 @@ def flatten_candidates(
                 value = value.getField(part)
             flat[name + suffix] = value
     return df.withColumns(flat).drop(candidates)
+
+
+def melt_groups(
+    df: DataFrame, names_to: str, measures: Mapping[str, Mapping[str, str]]
+) -> DataFrame:
+    """Wide to long for several measures at once, without a join.
+
+    ``measures`` maps each new value column to its ``label -> source column``; all have the same
+    labels. The source columns stay.
+    """
+    labels = list(next(iter(measures.values())))
+    rows = [
+        F.struct(
+            F.lit(label).alias(names_to),
+            *[F.col(cols[label]).alias(value) for value, cols in measures.items()],
+        )
+        for label in labels
+    ]
+    exploded = df.withColumn("__row", F.explode(F.array(*rows)))
+    return exploded.withColumns(
+        {n: F.col(f"__row.{n}") for n in [names_to, *measures]}
+    ).drop("__row")
