@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.missing import if_else, sentinel_to_missing
+from ..functions.missing import classify, if_else, sentinel_to_missing
 from ..functions.text import remove_first
 from ..operators.columns import map_columns
 from ..operators.groups import consolidate
@@ -108,12 +108,8 @@ def census_long(
         held = held.select(*keys, measure).dropna("any")
         parts.append(consolidate(held, "race", ["mult_race"], "other", others, measure))
     joined = outer_join_all(parts, keys)
-    sex = if_else(
-        F.col("sex") == "males", "Male", if_else(F.col("sex") == "females", "Female", F.col("sex"))
-    )
-    label = F.lit("Other")
-    for value, name in RACE_LABELS.items():
-        label = if_else(F.col("race") == value, name, label)
+    sex = classify([(name, F.col("sex") == v) for v, name in SEX_LABELS.items()], F.col("sex"))
+    label = classify([(name, F.col("race") == v) for v, name in RACE_LABELS.items()], "Other")
     return joined.withColumns({"sex": sex, "race": label}).select(
         *keys, "geogyear", "datayear", "total_pop", *UNITS,
         "pop_sex", "pop_race", "pop_own_race", "pop_rent_race",
