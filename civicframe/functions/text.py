@@ -45,11 +45,8 @@ def address_key(c: Column | str) -> Column:
 
 def replace_first(c: Column | str, literal: str, replacement: str) -> Column:
     """Replace the first occurrence of a literal text."""
-    c = _col(c)
-    at = F.instr(c, literal)
-    return F.when(at == 0, c).when(
-        at > 0, F.overlay(c, F.lit(replacement), at, F.lit(len(literal)))
-    )
+    quoted = replacement.replace("\\", "\\\\").replace("$", "\\$")
+    return F.regexp_replace(_col(c), rf"^(?s)(.*?)\Q{literal}\E", "$1" + quoted)
 
 
 def remove_first(c: Column | str, literal: str) -> Column:

@@ -13,6 +13,19 @@ from pyspark.sql import types as T
 from ..functions.missing import lenient
 
 
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "long": T.LongType(),
+    "double": T.DoubleType(),
+}
+
+
+def schema(**types: str) -> T.StructType:
+    """Schema from column names and type names; needs no session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in types.items()])
+
+
 def repair_names(df: DataFrame) -> DataFrame:
     """Make every header a legal, unique name.
 

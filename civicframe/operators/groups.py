@@ -25,6 +25,16 @@ def group_total(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame
     return spread_join(df, totals, list(keys), "left")
 
 
+def subtotal(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
+    """``group_total`` for a table that is already aggregated to finer keys.
+
+    Its groups hold one row per finer key, however many rows there were before, so a window
+    does without the second pass.
+    """
+    group = Window.partitionBy(*keys)
+    return df.withColumns({n: a.over(group) for n, a in aggs.items()})
+
+
 def grand_total(df: DataFrame, **aggs: Column) -> DataFrame:
     """Attach aggregates over the whole table, read as one scalar row."""
     one = df.agg(F.struct(*[a.alias(n) for n, a in aggs.items()])).scalar()

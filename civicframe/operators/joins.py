@@ -179,5 +179,8 @@ def apply_overrides(
 
 
 def look_up(df: DataFrame, mapping: DataFrame, on: str | Sequence[Key]) -> DataFrame:
-    """Attach a mapping table's columns; rows without a mapping drop out."""
-    return spread_join(df, mapping, on, "inner")
+    """Attach a mapping table's columns; rows without a mapping drop out.
+
+    A mapping that turns out small at run time is broadcast, so ``df`` is then not shuffled.
+    """
+    return null_safe_join(df, mapping, on, "inner")

@@ -119,25 +119,40 @@ def enrich_areas(
     return points
 
 
-def _height(at: Column, e: Column) -> Column:
-    return e.ay + (e.by - e.ay) * (at - e.ax) / (e.bx - e.ax)
-
-
-def _strip_area(a: Column, b: Column, base: Column) -> Column:
-    """Signed area below both edges and above ``base`` over the x-range they share."""
-    low = F.greatest(F.least(a.ax, a.bx), F.least(b.ax, b.bx))
-    high = F.least(F.greatest(a.ax, a.bx), F.greatest(b.ax, b.bx))
-    a0, a1 = _height(low, a) - base, _height(high, a) - base
-    b0, b1 = _height(low, b) - base, _height(high, b) - base
-    d0, d1 = a0 - b0, a1 - b1
-    m0, m1 = F.least(a0, b0), F.least(a1, b1)
-    t = d0 / F.nullif(d0 - d1, F.lit(0.0))
-    crossing = a0 + t * (a1 - a0)
-    mean = F.when(d0 * d1 >= 0, (m0 + m1) / 2).otherwise(
-        (t * (m0 + crossing) + (1 - t) * (crossing + m1)) / 2
+def _strip_areas(pairs: DataFrame) -> DataFrame:
+    """Add ``__strip``: signed area below both edges ``__a, __b`` and above ``__base``.
+
+    Pairs whose x-ranges do not meet drop out. Steps that are used several times are columns of
+    their own.
+    """
+    a, b, c = F.col("__a"), F.col("__b"), F.col
+    ranged = pairs.withColumns(
+        {
+            "__lo": F.greatest(F.least(a.ax, a.bx), F.least(b.ax, b.bx)),
+            "__hi": F.least(F.greatest(a.ax, a.bx), F.greatest(b.ax, b.bx)),
+        }
+    ).filter(c("__lo") < c("__hi"))
+
+    def height(at: str, e: Column) -> Column:
+        return e.ay + (e.by - e.ay) * (c(at) - e.ax) / (e.bx - e.ax) - c("__base")
+
+    heights = ranged.withColumns(
+        {
+            "__a0": height("__lo", a),
+            "__a1": height("__hi", a),
+            "__b0": height("__lo", b),
+            "__b1": height("__hi", b),
+        }
+    )
+    apart = heights.withColumns({"__d0": c("__a0") - c("__b0"), "__d1": c("__a1") - c("__b1")})
+    low0, low1 = F.least("__a0", "__b0"), F.least("__a1", "__b1")
+    t = c("__d0") / F.nullif(c("__d0") - c("__d1"), F.lit(0.0))
+    meeting = c("__a0") + t * (c("__a1") - c("__a0"))
+    mean = F.when(c("__d0") * c("__d1") >= 0, (low0 + low1) / 2).otherwise(
+        (t * (low0 + meeting) + (1 - t) * (meeting + low1)) / 2
     )
     sign = F.when((a.bx < a.ax) == (b.bx < b.ax), 1.0).otherwise(-1.0)
-    return sign * (high - low) * mean
+    return apart.withColumn("__strip", sign * (c("__hi") - c("__lo")) * mean)
 
 
 def overlap_pairs(
@@ -190,14 +205,10 @@ def overlap_pairs(
         .select("__lid", "__rid", "__redges", "__base", F.explode("__ledges").alias("__a"))
         .select("__lid", "__rid", "__base", "__a", F.explode("__redges").alias("__b"))
     )
-    a, b = F.col("__a"), F.col("__b")
-    shared = F.greatest(F.least(a.ax, a.bx), F.least(b.ax, b.bx)) < F.least(
-        F.greatest(a.ax, a.bx), F.greatest(b.ax, b.bx)
-    )
     return (
-        edge_pairs.filter(shared)
+        _strip_areas(edge_pairs)
         .groupBy("__lid", "__rid")
-        .agg(F.sum(_strip_area(a, b, c("base"))).alias("overlap"))
+        .agg(F.sum("__strip").alias("overlap"))
         .filter(F.col("overlap") > NO_AREA)
         .select(c("lid").alias(left_id), c("rid").alias(right_id), "overlap")
     )
@@ -257,3 +268,23 @@ def largest_overlap_join(
     if attrs:
         out = null_safe_join(out, right.select(right_id, *attrs), right_id, "left")
     return out
+
+
+def assign_areas(
+    left: DataFrame,
+    left_id: str,
+    layers: Mapping[str, tuple[DataFrame, Sequence[str]]],
+    rings: str = "rings",
+    cell: float | None = None,
+) -> DataFrame:
+    """Attach the polygon of largest overlap from several layers: id column to (polygons, attrs).
+
+    Every layer is worked out from the bare polygons of ``left``, then joined by id.
+    """
+    bare, out = left.select(left_id, rings), left
+    for right_id, (polygons, attrs) in layers.items():
+        best = largest_overlap(bare, polygons, left_id, right_id, rings, cell).drop("overlap")
+        if attrs:
+            best = null_safe_join(best, polygons.select(right_id, *attrs), right_id, "left")
+        out = null_safe_join(out, best, left_id, "left")
+    return out

@@ -8,7 +8,6 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.missing import (
     classify,
@@ -22,21 +21,30 @@ from ..functions.missing import (
     sum_strict,
 )
 from ..functions.text import title_case
-from ..operators.columns import conform, pick, union_distinct
-from ..operators.groups import aggregate_by, grand_total, group_total
+from ..operators.columns import conform, pick, schema, union_distinct
+from ..operators.groups import aggregate_by, grand_total, group_total, subtotal
 from ..operators.joins import look_up
 from ..operators.reshape import melt_rest, separate
 from ..sources.versions import SourceVersion, load_versions
 
-CITY_INPUT = T.StructType.fromDDL(
-    "fund_type string, fund_description string, department_description string, amount string, year int"
+CITY_INPUT = schema(
+    fund_type="string",
+    fund_description="string",
+    department_description="string",
+    amount="string",
+    year="int",
 )
-COUNTY_SCHEMA = T.StructType.fromDDL(
-    "fund string, genfundtype string, department string, category string, year int,"
-    " amount double, year_total double"
+COUNTY_SCHEMA = schema(
+    fund="string",
+    genfundtype="string",
+    department="string",
+    category="string",
+    year="int",
+    amount="double",
+    year_total="double",
 )
-EXPENDITURE_SCHEMA = T.StructType.fromDDL(
-    "fund string, fund_type string, year int, amount double, year_total double"
+EXPENDITURE_SCHEMA = schema(
+    fund="string", fund_type="string", year="int", amount="double", year_total="double"
 )
 
 # Names the amount column has in the city datasets, apart from ``amount``.
@@ -99,7 +107,7 @@ def city_budget(versions: Sequence[SourceVersion], departments: DataFrame) -> Da
     keys = ["year", "fund_type", "fund_description", "department_description"]
     sums = aggregate_by(lines, keys, amount=sum_present(money("amount")))
     mapped = look_up(sums, departments, "department_description")
-    full = group_total(mapped, ["year"], year_total=sum_present("amount"))
+    full = subtotal(mapped, ["year"], year_total=F.sum("amount"))
     return full.withColumns({c: F.col(c).cast("double") for c in ("amount", "year_total")}).distinct()
 
 
@@ -111,7 +119,7 @@ def _by_year(lines: DataFrame) -> DataFrame:
     """Present amounts added up by year, fund, department and category, with the year's total."""
     keys = ["year", "fund", "department", "category"]
     sums = aggregate_by(lines, keys, amount=sum_present(money("amount")))
-    sums = group_total(sums, ["year"], year_total=sum_present("amount"))
+    sums = subtotal(sums, ["year"], year_total=F.sum("amount"))
     return _county(sums.withColumn("year", lenient("year", "int")))
 
 

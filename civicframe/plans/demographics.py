@@ -14,7 +14,7 @@ from ..operators.columns import map_columns
 from ..operators.groups import consolidate
 from ..operators.joins import null_safe_join, outer_join_all, semi_join
 from ..operators.reshape import copy_year, expand_years, melt, melt_groups
-from ..operators.spatial import largest_overlap, largest_overlap_join
+from ..operators.spatial import assign_areas, largest_overlap
 from ..sources.versions import SourceVersion, load_versions
 
 # Coded census counts and their names.
@@ -142,10 +142,12 @@ def survey_with_areas(
     ``neighborhoods``: pri_neigh, sec_neigh; ``zips``: zip; ``community_areas``: area_numbe,
     community; all with rings.
     """
-    placed = tracts.select("geoid10", "rings")
-    placed = largest_overlap_join(placed, neighborhoods, "geoid10", "pri_neigh", ["sec_neigh"], cell=cell)
-    placed = largest_overlap_join(placed, zips, "geoid10", "zip", cell=cell)
-    placed = largest_overlap_join(placed, community_areas, "geoid10", "area_numbe", ["community"], cell=cell)
+    layers = {
+        "pri_neigh": (neighborhoods, ["sec_neigh"]),
+        "zip": (zips, []),
+        "area_numbe": (community_areas, ["community"]),
+    }
+    placed = assign_areas(tracts.select("geoid10", "rings"), "geoid10", layers, cell=cell)
     placed = placed.drop("rings").withColumnsRenamed(
         {"area_numbe": "community_area_id", "community": "community_area"}
     )

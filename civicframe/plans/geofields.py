@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import centroid
-from ..operators.joins import null_safe_join
-from ..operators.spatial import largest_overlap_join
+from ..operators.spatial import assign_areas
 
 
 def blockgroup_fields(
@@ -21,14 +20,12 @@ def blockgroup_fields(
     ``neighborhoods`` carries ``neighborhood``, ``zips`` carries ``zip``; one row per name.
     """
     centre = centroid("rings")
-    placed = largest_overlap_join(blockgroups, zips, "block_group", "zip", cell=cell).select(
+    layers = {"zip": (zips, []), "neighborhood": (neighborhoods, [])}
+    return assign_areas(blockgroups, "block_group", layers, cell=cell).select(
         "block_group",
         "zip",
+        "neighborhood",
         centre.y.alias("latitude"),
         centre.x.alias("longitude"),
         F.lit("U.S.A.").alias("country"),
     )
-    hoods = largest_overlap_join(
-        blockgroups, neighborhoods, "block_group", "neighborhood", cell=cell
-    ).select("block_group", "neighborhood")
-    return null_safe_join(placed, hoods, "block_group", "inner")

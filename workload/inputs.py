@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,12 +11,13 @@ from .views import VIEWS, rings_sql
 
 
 class Inputs:
-    """Tables and views of one folder, as lazy DataFrames."""
+    """Tables and views of one folder, as lazy DataFrames; a plan is built once, data is not kept."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
 
+    @cache
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
@@ -23,8 +25,10 @@ class Inputs:
         names = set(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", text))
         return self.spark.sql(text, **{n: self.table(n) for n in names})
 
+    @cache
     def view(self, name: str) -> DataFrame:
         return self._sql(VIEWS[name])
 
+    @cache
     def polygons(self, name: str) -> DataFrame:
         return self._sql(rings_sql(name))

@@ -140,17 +140,14 @@ def _city_versions(i: Inputs) -> list[SourceVersion]:
 
 
 def _departments(i: Inputs) -> DataFrame:
-    category = F.when(C("department").contains("Sheriff"), "Public Safety").otherwise("Other")
-    return (
-        i.view("budget_lines")
-        .filter(~C("department").contains("Finance"))
-        .select(
-            C("department").alias("department_description"),
-            F.upper("department").alias("department_clean_orig"),
-            F.lower("department").alias("department_clean_current"),
-            category.alias("category"),
-        )
-        .distinct()
+    kinds = ["Sheriff ", "Security ", "Lead Poisoning ", "Medical Examiner ", "County Hospital "]
+    kind = F.get(F.array(*[F.lit(k) for k in kinds]), C("n_nationkey") % 6)
+    named = i.table("nation").select(F.concat(kind, "n_name").alias("name")).filter("name IS NOT NULL")
+    return named.select(
+        C("name").alias("department_description"),
+        F.upper("name").alias("department_clean_orig"),
+        F.lower("name").alias("department_clean_current"),
+        F.when(C("name").contains("Sheriff"), "Public Safety").otherwise("Other").alias("category"),
     )
 
 

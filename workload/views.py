@@ -48,17 +48,17 @@ SELECT CAST(n_nationkey AS STRING) AS community_area, 'AREA ' || n_name AS commu
 """,
     "budget_lines": """
 SELECT CAST(year(o_orderdate) AS INT) AS year,
-       CASE c_mktsegment WHEN 'BUILDING' THEN 'Health Enterprise Fund' WHEN 'MACHINERY' THEN 'Public Safety Fund' WHEN 'HOUSEHOLD' THEN 'Law Library' ELSE 'General Fund' END AS funds,
+       CASE o_custkey % 4 WHEN 0 THEN 'Health Enterprise Fund' WHEN 1 THEN 'Public Safety Fund' WHEN 2 THEN 'Law Library' ELSE 'General Fund' END AS funds,
        CASE o_orderpriority WHEN '1-URGENT' THEN 'Public Safety' WHEN '2-HIGH' THEN 'Health Services' WHEN '3-MEDIUM' THEN NULL ELSE 'Finance' END AS function_area,
-       CASE n_nationkey % 6 WHEN 0 THEN 'Sheriff ' WHEN 1 THEN 'Security ' WHEN 2 THEN 'Lead Poisoning ' WHEN 3 THEN 'Medical Examiner ' WHEN 4 THEN 'County Hospital ' ELSE 'Finance ' END || n_name AS department,
-       CASE n_nationkey % 7 WHEN 0 THEN 'COOK COUNTY HEALTH AND HOSPITALS SYSTEM' WHEN 1 THEN 'SHERIFF' WHEN 2 THEN 'CHIEF JUDGE' WHEN 3 THEN 'PUBLIC DEFENDER' WHEN 4 THEN NULL ELSE 'BOARD OF REVIEW-NORTH' END AS tab,
-       CASE WHEN o_orderkey % 37 = 0 THEN NULL WHEN c_nationkey % 4 = 0 THEN 'Public Safety Fund' ELSE 'Corporate Fund' END AS general_fund_type,
+       CASE o_custkey % 25 % 6 WHEN 0 THEN 'Sheriff ' WHEN 1 THEN 'Security ' WHEN 2 THEN 'Lead Poisoning ' WHEN 3 THEN 'Medical Examiner ' WHEN 4 THEN 'County Hospital ' ELSE 'Finance ' END || 'NATION_' || CAST(o_custkey % 25 AS STRING) AS department,
+       CASE o_custkey % 25 % 7 WHEN 0 THEN 'COOK COUNTY HEALTH AND HOSPITALS SYSTEM' WHEN 1 THEN 'SHERIFF' WHEN 2 THEN 'CHIEF JUDGE' WHEN 3 THEN 'PUBLIC DEFENDER' WHEN 4 THEN NULL ELSE 'BOARD OF REVIEW-NORTH' END AS tab,
+       CASE WHEN o_orderkey % 37 = 0 THEN NULL WHEN o_custkey % 25 % 4 = 0 THEN 'Public Safety Fund' ELSE 'Corporate Fund' END AS general_fund_type,
        CASE o_orderstatus WHEN 'F' THEN ' Solid Waste' WHEN 'O' THEN 'Law Library ' ELSE 'Corporate' END AS fund,
        o_orderstatus AS status,
        CASE WHEN o_orderkey % 41 = 0 THEN 'N/A' WHEN o_orderkey % 43 = 0 THEN NULL
             ELSE CAST(CAST(round(o_totalprice) AS BIGINT) AS STRING) || '.50' END AS amount,
        CAST(CAST(round(o_totalprice) AS BIGINT) AS STRING) AS clean_amount
-FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
+FROM {orders}
 """,
     "census": """
 SELECT 'Y' || CAST(d.datayear AS STRING) AS geogyear, d.datayear AS datayear, CAST(60600 + s_suppkey AS STRING) AS zcta,
