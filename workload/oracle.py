@@ -236,7 +236,7 @@ SELECT *, CAST(sum(amount) OVER (PARTITION BY year) AS DOUBLE) AS year_total FRO
 
 _CATEGORY = "CASE WHEN contains(department, 'Hospital') THEN 'Public Health' WHEN contains(department, 'Sheriff') THEN 'Public Safety' ELSE 'Other' END"
 _WIDE = """
-SELECT fund, department, year, sum(CASE WHEN status = 'F' THEN a END) AS expenditures, sum(CASE WHEN status = 'O' THEN a END) AS appropriations
+SELECT fund, department, year, CAST(sum(CASE WHEN status = 'F' THEN a END) AS BIGINT) AS expenditures, CAST(sum(CASE WHEN status = 'O' THEN a END) AS BIGINT) AS appropriations
 FROM (SELECT funds AS fund, department, year, status, CAST(clean_amount AS BIGINT) AS a FROM budget_lines WHERE status IN ('F', 'O')) GROUP BY ALL
 """
 # Every fund and department has a column for every year; absent cells are missing.
@@ -674,7 +674,7 @@ LEFT JOIN (SELECT * FROM by_sex) g ON g.zcta = m.zcta AND g.join_year = m.join_y
 )
 STEPS["tract_survey"] = (
     ("survey",),
-    "SELECT *, right(geo_id, 11) AS geoid10 FROM survey WHERE right(geo_id, 11) NOT LIKE '%7'",
+    "SELECT *, right(geo_id, 11) AS geoid10 FROM survey",
 )
 ORACLE["survey_loaded"] = _sql(
     """
@@ -758,7 +758,7 @@ WHERE {_agrees("t.incident_address", "g.formatted", "[.*0-9{,}]")}
 
 
 _ROUND_STEPS = {
-    "r1": _round("raw", "prepared", "full_address", "city_address", 1, "place_id % 2 = 0 AND lon BETWEEN -90.06527 AND -86.55094 AND lat BETWEEN 39.82326 AND 43.22390", _KM),
+    "r1": _round("raw", "prepared", "full_address", "city_address", 1, "contains(formatted, 'Cook County') AND lon BETWEEN -90.06527 AND -86.55094 AND lat BETWEEN 39.82326 AND 43.22390", _KM),
     "t2": "SELECT * FROM prepared WHERE case_no NOT IN (SELECT case_no FROM r1)",
     "r2": _round("rewritten", "t2", _LONG, "long_address", 3, _NARROW, _KM),
     "t3": "SELECT * FROM t2 WHERE case_no NOT IN (SELECT case_no FROM r2)",

@@ -680,8 +680,7 @@ def _survey_versions(i: Inputs) -> list[SourceVersion]:
 
 
 def _survey(i: Inputs) -> DataFrame:
-    tracts = i.polygons("tracts").filter("geoid10 NOT LIKE '%7'")
-    return demographics.load_survey(_survey_versions(i), tracts)
+    return demographics.load_survey(_survey_versions(i), i.polygons("tracts"))
 
 
 @query
@@ -768,7 +767,7 @@ def _rounds(i: Inputs) -> DataFrame:
     def book(col: str) -> DataFrame:
         return places.select("place_id", "formatted", "lat", "lon", F.upper(col).alias("address"))
 
-    first = book("city_address").filter("place_id % 2 = 0")
+    first = book("city_address").filter(C("formatted").contains("Cook County"))
     rounds = locating.standard_rounds(first, book("long_address"), None, book("city_address"))
     return locating.locate_addresses(source, rounds)
 
