@@ -8,6 +8,7 @@ may or may not repeat its first vertex at the end.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,9 +38,13 @@ def _ring_edges(ring: Column) -> Column:
     return F.filter(joined, lambda e: (e.ax != e.bx) | (e.ay != e.by))
 
 
-def edges(rings: Column | str) -> Column:
+def edges(rings: str) -> Column:
     """All edges of a polygon as ``array<struct<ax, ay, bx, by>>``, zero-length ones left out."""
-    return F.flatten(F.transform(_col(rings), _ring_edges))
+    pair = "named_struct('ax', a.x, 'ay', a.y, 'bx', b.x, 'by', b.y)"
+    ring = f"zip_with(r, concat(slice(r, 2, size(r)), slice(r, 1, 1)), (a, b) -> {pair})"
+    return F.expr(
+        f"flatten(transform({rings}, r -> filter({ring}, e -> e.ax <> e.bx OR e.ay <> e.by)))"
+    )
 
 
 def _twice_signed_area(edge_list: Column, ox: Column, oy: Column) -> Column:
@@ -67,15 +72,13 @@ def orient_polygon(rings: Column | str) -> Column:
     return F.transform(_col(rings), lambda ring, i: orient(ring, i == 0))
 
 
-def polygon_area(rings: Column | str) -> Column:
-    rings = _col(rings)
-    return _twice_signed_area(edges(rings), *_origin(rings)) / 2
+def polygon_area(rings: str) -> Column:
+    return _twice_signed_area(edges(rings), *_origin(F.col(rings))) / 2
 
 
-def centroid(rings: Column | str) -> Column:
+def centroid(rings: str) -> Column:
     """Area centroid as ``struct<x, y>``."""
-    rings = _col(rings)
-    ox, oy = _origin(rings)
+    ox, oy = _origin(F.col(rings))
 
     def step(acc, e):
         cross = (e.ax - ox) * (e.by - oy) - (e.bx - ox) * (e.ay - oy)
@@ -97,36 +100,43 @@ def centroid(rings: Column | str) -> Column:
     )
 
 
-def bounds(rings: Column | str) -> dict[str, Column]:
+def bounds(rings: str) -> dict[str, Column]:
     """Bounding box as four columns ``x0, y0, x1, y1``."""
-    vertices = F.flatten(_col(rings))
-    xs, ys = F.transform(vertices, lambda v: v.x), F.transform(vertices, lambda v: v.y)
     return {
-        "x0": F.array_min(xs),
-        "y0": F.array_min(ys),
-        "x1": F.array_max(xs),
-        "y1": F.array_max(ys),
+        f"{axis}{end}": F.expr(f"{fn}(transform(flatten({rings}), v -> v.{axis}))")
+        for end, fn in ((0, "array_min"), (1, "array_max"))
+        for axis in ("x", "y")
     }
 
 
-def inside(px: Column, py: Column, edge_list: Column) -> Column:
-    """Point strictly within: odd crossings to the right, and on no edge."""
+def _crossing(px: str, py: str, e: str) -> str:
+    """The ray from the point to the right meets the edge."""
+    at = f"({e}.bx - {e}.ax) * ({py} - {e}.ay) / ({e}.by - {e}.ay) + {e}.ax"
+    return f"(({e}.ay > {py}) <> ({e}.by > {py}) AND {px} < {at})"
 
-    def crossing(e):
-        return ((e.ay > py) != (e.by > py)) & (
-            px < (e.bx - e.ax) * (py - e.ay) / (e.by - e.ay) + e.ax
-        )
 
-    def touching(e):
-        return (
-            (px >= F.least(e.ax, e.bx))
-            & (px <= F.greatest(e.ax, e.bx))
-            & (py >= F.least(e.ay, e.by))
-            & (py <= F.greatest(e.ay, e.by))
-            & ((e.bx - e.ax) * (py - e.ay) == (e.by - e.ay) * (px - e.ax))
-        )
+def _touching(px: str, py: str, e: str) -> str:
+    """The point lies on the edge."""
+    return (
+        f"({px} BETWEEN least({e}.ax, {e}.bx) AND greatest({e}.ax, {e}.bx)"
+        f" AND {py} BETWEEN least({e}.ay, {e}.by) AND greatest({e}.ay, {e}.by)"
+        f" AND ({e}.bx - {e}.ax) * ({py} - {e}.ay) = ({e}.by - {e}.ay) * ({px} - {e}.ax))"
+    )
+
+
+def inside(px: str, py: str, edge_list: str, few: Sequence[str] = ()) -> Column:
+    """Point strictly within: odd crossings to the right, and on no edge.
 
-    return (F.size(F.filter(edge_list, crossing)) % 2 == 1) & ~F.exists(edge_list, touching)
+    Arguments are SQL names or expressions. Edges may be given as columns in ``few``, which
+    compile, with the others in ``edge_list``; a missing one counts as not met.
+    """
+    left = f"size({edge_list}) > 0"
+    crossed = f"IF({left}, size(filter({edge_list}, e -> {_crossing(px, py, 'e')})), 0)"
+    touched = f"IF({left}, exists({edge_list}, e -> {_touching(px, py, 'e')}), false)"
+    for e in few:
+        crossed += f" + IF({_crossing(px, py, e)}, 1, 0)"
+        touched = f"coalesce({_touching(px, py, e)}, false) OR {touched}"
+    return F.expr(f"({crossed}) % 2 = 1 AND NOT ({touched})")
 
 
 def to_web_mercator(lon: Column | str, lat: Column | str) -> Column:

@@ -92,10 +92,12 @@ def spread_join(
     on: str | Sequence[Key],
     how: str = "left",
     residual: Column | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Join whose left side may hold a large share of its rows under one key.
 
-    A right side that Spark would broadcast is joined as it is, since then nothing is shuffled.
+    A right side that Spark would broadcast is joined as it is, since then nothing is shuffled;
+    ``small`` says so from a bound the caller has computed, where Spark's estimate would not do.
     Otherwise the rows of the most frequent left keys are spread over ``SALTS`` tasks, and the
     right rows of these keys, and only these, are repeated once per task. All rows take part,
     so the result is that of the plain join. ``residual`` may add a condition on both sides.
@@ -108,7 +110,11 @@ def spread_join(
     names = _other_names(right_keys, "r")
     right = right.withColumnsRenamed(names)
     condition = _same([(a, names[b]) for a, b in pairs])
-    if not fits_broadcast(right):
+    if small is None:
+        small = fits_broadcast(right)
+    elif small:
+        right = F.broadcast(right)
+    if not small:
         hot_names = _other_names(left_keys, "h")
         hot = F.broadcast(
             hot_keys(left, left_keys).withColumnsRenamed(hot_names).withColumn("__hot", F.lit(True))
@@ -123,6 +129,8 @@ def spread_join(
             .withColumn("__place", F.explode(F.coalesce(copies, F.array(F.lit(0)))))
             .drop("__hot", *hot_names.values())
         )
+        # Keeps a side that only looks small, such as an exploded one, from being broadcast.
+        right = right.hint("merge")
         condition = condition & (F.col("__salt") == F.col("__place"))
     if residual is not None:
         condition = condition & residual

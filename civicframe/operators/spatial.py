@@ -6,7 +6,9 @@ means to find candidates: results do not depend on the cell size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,19 +18,56 @@ from .groups import first_per_group
 from .joins import null_safe_join, spread_join
 
 MAX_CELLS = 4_000_000
+# Cell tables whose computed size is below this are broadcast, larger ones are shuffled.
+MAX_BROADCAST = 128 * 1024 * 1024
+# Edges of a cell that are kept as columns.
+FEW = 3
 # Overlaps smaller than this, in squared map units, count as none.
 NO_AREA = 1e-12
 
 
-def pick_cell_size(polygons: DataFrame, rings: str = "rings", per_side: int = 8) -> float:
-    """Cell size that cuts a polygon of median size into ``per_side`` cells a side.
+@dataclass(frozen=True)
+class Grid:
+    """Cell size for a polygon table, and an upper estimate of the table's bytes once cut up."""
 
-    Runs one small aggregate over the polygon bounds.
+    size: float
+    cell_bytes: float
+
+    @property
+    def small(self) -> bool:
+        return self.cell_bytes <= MAX_BROADCAST
+
+
+def plan_grid(
+    polygons: DataFrame, rings: str = "rings", size: float | None = None, per_side: int | None = None
+) -> Grid:
+    """Measure a polygon table with one aggregate, which returns one row.
+
+    Without ``size``, a polygon of median size gets ``per_side`` cells a side, or as many as
+    leave few edges in a cell.
     """
     box = G.bounds(rings)
-    side = F.greatest(box["x1"] - box["x0"], box["y1"] - box["y0"])
-    median = polygons.select(side.alias("s")).agg(F.percentile_approx("s", 0.5)).first()[0]
-    return float(median) / per_side if median else 1.0
+    measured = polygons.select(
+        (box["x1"] - box["x0"]).alias("w"),
+        (box["y1"] - box["y0"]).alias("h"),
+        F.size(F.flatten(rings)).alias("e"),
+    )
+    row = measured.agg(
+        F.percentile_approx(F.greatest("w", "h"), 0.5).alias("side"),
+        F.percentile_approx("e", 0.5).alias("edges"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("w") * F.col("h")).alias("box"),
+        F.sum(F.col("w") + F.col("h")).alias("around"),
+        F.sum("e").alias("all_edges"),
+    ).first()
+    if not row.side:
+        return Grid(size or 1.0, 0.0)
+    if size is None:
+        cuts = per_side or max(4, min(64, 2 * math.isqrt(int(row.edges))))
+        size = float(row.side) / cuts
+    cells = row.box / size**2 + 2 * row.around / size + 4 * row.n
+    in_row = row.all_edges * (row.side / size + 1)
+    return Grid(size, 320.0 * cells + 48.0 * in_row)
 
 
 def _cell(v: Column, size: float) -> Column:
@@ -47,7 +86,8 @@ def polygon_cells(polygons: DataFrame, attrs: Sequence[str], rings: str, size: f
     """One row per grid cell that a polygon reaches into.
 
     A cell without edges is wholly inside (``__whole``) or left out. The others carry only the
-    edges that a ray to the right from a point of the cell can meet.
+    edges that a ray to the right from a point of the cell can meet: the first few as columns,
+    further ones in ``__rest``.
     """
     slack = size * 1e-6
     box = G.bounds(rings)
@@ -59,25 +99,23 @@ def polygon_cells(polygons: DataFrame, attrs: Sequence[str], rings: str, size: f
     rows = base.withColumn(
         "__cy", F.explode(_cell_range(F.col("__y0") - slack, F.col("__y1") + slack, size))
     )
-    low_y, high_y = F.col("__cy") * size - slack, (F.col("__cy") + 1) * size + slack
-    in_row = F.filter(
-        "__edges",
-        lambda e: (F.greatest(e.ay, e.by) >= low_y) & (F.least(e.ay, e.by) <= high_y),
+    in_row = F.expr(
+        f"filter(__edges, e -> greatest(e.ay, e.by) >= __cy * {size!r}D - {slack!r}D"
+        f" AND least(e.ay, e.by) <= (__cy + 1) * {size!r}D + {slack!r}D)"
     )
-    rows = rows.withColumn("__edges", in_row).filter(F.size("__edges") > 0)
+    rows = rows.withColumn("__edges", in_row).filter("size(__edges) > 0")
     cells = rows.withColumn(
         "__cx", F.explode(_cell_range(F.col("__x0") - slack, F.col("__x1") + slack, size))
     )
-    low_x, high_x = F.col("__cx") * size - slack, (F.col("__cx") + 1) * size + slack
-    to_right = F.filter("__edges", lambda e: F.greatest(e.ax, e.bx) >= low_x)
+    to_right = F.expr(f"filter(__edges, e -> greatest(e.ax, e.bx) >= __cx * {size!r}D - {slack!r}D)")
     cells = cells.withColumn("__edges", to_right)
-    crossed = F.exists("__edges", lambda e: F.least(e.ax, e.bx) <= high_x)
-    centre = G.inside(
-        (F.col("__cx") + 0.5) * size, (F.col("__cy") + 0.5) * size, F.col("__edges")
-    )
+    crossed = F.expr(f"exists(__edges, e -> least(e.ax, e.bx) <= (__cx + 1) * {size!r}D + {slack!r}D)")
+    centre = G.inside(f"((__cx + 0.5D) * {size!r}D)", f"((__cy + 0.5D) * {size!r}D)", "__edges")
     cells = cells.withColumn("__whole", ~crossed).filter(~F.col("__whole") | centre)
-    kept = F.when(F.col("__whole"), F.slice("__edges", 1, 0)).otherwise(F.col("__edges"))
-    return cells.select(*attrs, "__cx", "__cy", "__whole", kept.alias("__edges"))
+    few = [F.when(~F.col("__whole"), F.get("__edges", i)).alias(f"__e{i}") for i in range(FEW)]
+    start = F.when(F.col("__whole"), F.size("__edges") + 1).otherwise(F.lit(FEW + 1))
+    rest = F.slice("__edges", start, F.size("__edges"))
+    return cells.select(*attrs, "__cx", "__cy", "__whole", *few, rest.alias("__rest"))
 
 
 def point_in_polygon_join(
@@ -98,13 +136,15 @@ def point_in_polygon_join(
     clash = set(attrs) & set(points.columns)
     if clash:
         raise ValueError(f"points already have {sorted(clash)}")
-    size = cell if cell is not None else pick_cell_size(polygons, rings)
-    cells = polygon_cells(polygons, attrs, rings, size)
-    px, py = F.col(lon), F.col(lat)
-    placed = points.withColumns({"__cx": _cell(px, size), "__cy": _cell(py, size)})
-    within = F.col("__whole") | G.inside(px, py, F.col("__edges"))
-    joined = spread_join(placed, cells, ["__cx", "__cy"], how, within)
-    return joined.drop("__cx", "__cy", "__whole", "__edges")
+    grid = plan_grid(polygons, rings, cell)
+    cells = polygon_cells(polygons, attrs, rings, grid.size)
+    placed = points.withColumns(
+        {"__cx": _cell(F.col(lon), grid.size), "__cy": _cell(F.col(lat), grid.size)}
+    )
+    few = [f"__e{i}" for i in range(FEW)]
+    within = F.col("__whole") | G.inside(f"`{lon}`", f"`{lat}`", "__rest", few)
+    joined = spread_join(placed, cells, ["__cx", "__cy"], how, within, grid.small)
+    return joined.drop("__cx", "__cy", "__whole", "__rest", *few)
 
 
 def enrich_areas(
@@ -166,23 +206,27 @@ def overlap_pairs(
     """``(left_id, right_id, overlap)`` of all polygon pairs that share some area.
 
     Both tables hold one row per id. Candidates share a grid cell and their bounds overlap;
-    the cell of the lower left corner of the shared bounds keeps each pair once. The area is a
-    sum over edge pairs, added up inside the task that finds the candidate.
+    the cell of the lower left corner of the shared bounds keeps each pair once. Edges join the
+    candidates by id. The area is a sum over their edge pairs, which are formed one at a time and
+    added up within the task.
     """
-    size = cell if cell is not None else 8 * pick_cell_size(right, rings)
+    grid = plan_grid(right, rings, cell, per_side=1)
+    size = grid.size
 
-    def side(df: DataFrame, key: str, tag: str) -> DataFrame:
+    def boxes(df: DataFrame, key: str, tag: str) -> DataFrame:
+        low_y, high_y = F.col(f"__{tag}y0"), F.col(f"__{tag}y1")
+        low_x, high_x = F.col(f"__{tag}x0"), F.col(f"__{tag}x1")
         flat = df.select(
             F.col(key).alias(f"__{tag}id"),
-            G.edges(rings).alias(f"__{tag}edges"),
             *[c.alias(f"__{tag}{n}") for n, c in G.bounds(rings).items()],
         )
-        low_y, high_y = F.col(f"__{tag}y0"), F.col(f"__{tag}y1")
-        low_x, high_x = F.col(f"__{tag}x0"), F.col(f"__{tag}x1")
-        return flat.withColumn("__cy", F.explode(_cell_range(low_y, high_y, size))).withColumn(
-            "__cx", F.explode(_cell_range(low_x, high_x, size))
+        return flat.withColumn(f"__{tag}cy", F.explode(_cell_range(low_y, high_y, size))).withColumn(
+            f"__{tag}cx", F.explode(_cell_range(low_x, high_x, size))
         )
 
+    def edge_rows(df: DataFrame, key: str, tag: str) -> DataFrame:
+        return df.select(F.col(key).alias(f"__{tag}id"), G.edges(rings).alias(f"__{tag}edges"))
+
     def c(name: str) -> Column:
         return F.col(f"__{name}")
 
@@ -190,21 +234,22 @@ def overlap_pairs(
     meets = (
         (corner_x < F.least(c("lx1"), c("rx1")))
         & (corner_y < F.least(c("ly1"), c("ry1")))
-        & (c("cx") == _cell(corner_x, size))
-        & (c("cy") == _cell(corner_y, size))
+        & (c("lcx") == _cell(corner_x, size))
+        & (c("lcy") == _cell(corner_y, size))
     )
-    right_side = side(right, right_id, "r").withColumnsRenamed({"__cx": "__rcx", "__cy": "__rcy"})
     candidates = spread_join(
-        side(left, left_id, "l"), right_side, [("__cx", "__rcx"), ("__cy", "__rcy")], "inner", meets
-    )
-    edge_pairs = (
-        candidates.select(
-            c("lid"), c("rid"), c("ledges"), c("redges"),
-            F.least(c("ly0"), c("ry0")).alias("__base"),
-        )
-        .select("__lid", "__rid", "__redges", "__base", F.explode("__ledges").alias("__a"))
-        .select("__lid", "__rid", "__base", "__a", F.explode("__redges").alias("__b"))
-    )
+        boxes(left, left_id, "l"),
+        boxes(right, right_id, "r"),
+        [("__lcx", "__rcx"), ("__lcy", "__rcy")],
+        "inner",
+        meets,
+        grid.small,
+    ).select("__lid", "__rid", F.least(c("ly0"), c("ry0")).alias("__base"))
+    with_edges = spread_join(candidates, edge_rows(left, left_id, "l"), "__lid", "inner")
+    with_edges = spread_join(with_edges, edge_rows(right, right_id, "r"), "__rid", "inner")
+    edge_pairs = with_edges.select(
+        "__lid", "__rid", "__redges", "__base", F.explode("__ledges").alias("__a")
+    ).select("__lid", "__rid", "__base", "__a", F.explode("__redges").alias("__b"))
     return (
         _strip_areas(edge_pairs)
         .groupBy("__lid", "__rid")

@@ -73,6 +73,6 @@ def test_points_are_found_by_an_equi_join(spark):
 
 
 def test_only_needed_columns_are_read(spark):
-    reads = re.findall(r"ReadSchema: struct<([^>]*)>", plan(spark, "crimes_monthly"))
-    wide = [r for r in reads if "l_shipdate" in r]
-    assert wide and all("l_extendedprice" not in r and "l_comment" not in r for r in wide)
+    scans = re.findall(r"FileScan parquet \[([^\]]*)\]", plan(spark, "crimes_monthly"))
+    wide = [s for s in scans if "l_shipdate" in s]
+    assert wide and all("l_extendedprice" not in s and "l_orderkey" not in s for s in wide)

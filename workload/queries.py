@@ -36,7 +36,7 @@ from .inputs import Inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-AREA_CELL, ZIP_CELL, PAIR_CELL = 0.01, 0.00625, 0.05
+AREA_CELL, ZIP_CELL, TRACT_CELL, PAIR_CELL = 0.01, 0.0125, 0.0045, 0.05
 C = F.col
 
 
@@ -387,7 +387,7 @@ def cases_labelled(i: Inputs) -> DataFrame:
         i.polygons("zips").select(
             C("zip").alias("pri_neighborhood"), F.concat(F.lit("near "), "zip").alias("sec_neighborhood"), "rings"
         ),
-        (0.00125, AREA_CELL, ZIP_CELL),
+        (TRACT_CELL, AREA_CELL, ZIP_CELL),
     )
 
 
