@@ -165,8 +165,9 @@ def geocode_rounds(
     for i, r in enumerate(rounds):
         places = places_by_key(r.gazetteer, r.address, r.k, r.box, r.near, r.tie)
         key = F.when(~F.col("__done"), address_key(r.query))
+        asked = addresses.select(address_key(r.query).alias("__key"))
         joined = spread_join(
-            out.withColumn("__key", key), places, "__key", "left"
+            out.withColumn("__key", key), places, "__key", "left", hot_source=asked
         )
         accepted = F.filter("__places", lambda p: accept(F.col(given), p[formatted]))
         slim = F.transform(accepted, lambda p: F.struct(*[p[f].alias(f) for f in r.fields]))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,6 @@ from pyspark.sql.window import Window
 
 from ..functions.missing import sum_present
 from ..session import reliable_checkpoint
-from .columns import union_distinct
 from .joins import spread_join
 
 
@@ -120,12 +121,16 @@ def consolidate(
     folded = df.withColumn(
         label, F.when(F.col(label).isin(list(residual)), F.lit(to)).otherwise(F.col(label))
     )
-    cols = [*keys, label, measure]
-    rest = folded.filter(F.col(label) != to).select(cols)
-    summed = aggregate_by(
-        folded.filter(F.col(label) == to), [*keys, label], **{measure: sum_present(measure)}
+    into = F.col(label) == to
+    whole = reduce(and_, (F.col(k).isNotNull() for k in keys))
+    # One pass: the other rows group by their own value too, which makes them distinct.
+    grouped = (
+        folded.filter(~into | (into & whole))
+        .groupBy(*keys, label, F.when(~into, F.col(measure)).alias("__value"))
+        .agg(sum_present(measure).alias("__sum"))
     )
-    return union_distinct(rest, summed.select(cols))
+    value = F.when(into, F.col("__sum")).otherwise(F.col("__value"))
+    return grouped.select(*keys, label, value.alias(measure))
 
 
 def histogram(df: DataFrame, x: str, bins: int, by: Sequence[str] = ()) -> DataFrame:

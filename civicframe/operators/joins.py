@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,15 +93,17 @@ def spread_join(
     how: str = "left",
     residual: Column | None = None,
     small: bool | None = None,
+    hot_source: DataFrame | None = None,
 ) -> DataFrame:
     """Join whose left side may hold a large share of its rows under one key.
 
     A right side that Spark would broadcast is joined as it is, since then nothing is shuffled;
     ``small`` says so from a bound the caller has computed, where Spark's estimate would not do.
-    Otherwise the rows of the most frequent left keys are spread over ``SALTS`` tasks, and the
-    right rows of these keys, and only these, are repeated once per task. All rows take part,
-    so the result is that of the plain join. ``residual`` may add a condition on both sides.
-    ``how`` is inner, left, semi or anti.
+    Otherwise the rows of the most frequent left keys, and those with a missing key, are spread
+    over ``SALTS`` tasks, and the right rows of these keys, and only these, are repeated once per
+    task. All rows take part, so the result is that of the plain join. ``hot_source`` is a table
+    with the left keys that is cheaper to count than ``left``, such as what it was joined from.
+    ``residual`` may add a condition on both sides. ``how`` is inner, left, semi or anti.
     """
     if how not in ("inner", "left", "semi", "anti"):
         raise ValueError(f"spread_join cannot do {how!r}")
@@ -116,14 +118,21 @@ def spread_join(
         right = F.broadcast(right)
     if not small:
         hot_names = _other_names(left_keys, "h")
+        counted = left if hot_source is None else hot_source
         hot = F.broadcast(
-            hot_keys(left, left_keys).withColumnsRenamed(hot_names).withColumn("__hot", F.lit(True))
+            hot_keys(counted, left_keys)
+            .withColumnsRenamed(hot_names)
+            .withColumn("__hot", F.lit(True))
         )
         marked = left.join(hot, _same([(a, hot_names[a]) for a in left_keys]), "left")
         place = F.pmod(F.xxhash64(F.spark_partition_id(), *left.columns), F.lit(SALTS))
-        left = marked.withColumn("__salt", F.when(F.col("__hot"), place).otherwise(F.lit(0)))
+        spread = F.col("__hot").isNotNull() | reduce(or_, (F.col(a).isNull() for a in left_keys))
+        left = marked.withColumn("__salt", F.when(spread, place).otherwise(F.lit(0)))
         left = left.drop("__hot", *hot_names.values())
-        copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        repeated = F.col("__hot").isNotNull() | reduce(
+            or_, (F.col(names[b]).isNull() for b in right_keys)
+        )
+        copies = F.when(repeated, F.sequence(F.lit(0), F.lit(SALTS - 1)))
         right = (
             right.join(hot, _same([(names[b], hot_names[a]) for a, b in pairs]), "left")
             .withColumn("__place", F.explode(F.coalesce(copies, F.array(F.lit(0)))))

@@ -62,11 +62,18 @@ def expand_years(
     return df.withColumn(out, F.explode(years))
 
 
+def spans_overlap(spans: Mapping[int, tuple[int, int]]) -> bool:
+    """Whether some year is stood for by two source years."""
+    ordered = sorted(spans.values())
+    return any(a[1] >= b[0] for a, b in zip(ordered, ordered[1:], strict=False))
+
+
 def copy_year(df: DataFrame, year_col: str, source: int, target: int) -> DataFrame:
     """Let the rows of one year stand for another year too."""
-    copied = df.filter(F.col(year_col) == source)
     kind = df.schema[year_col].dataType
-    return df.unionByName(copied.withColumn(year_col, F.lit(target).cast(kind))).distinct()
+    both = F.array(F.lit(source).cast(kind), F.lit(target).cast(kind))
+    years = F.when(F.col(year_col) == source, both).otherwise(F.array(year_col))
+    return df.withColumn(year_col, F.explode(years)).distinct()
 
 
 def flatten_candidates(

@@ -74,11 +74,12 @@ def _cell(v: Column, size: float) -> Column:
     return F.floor(v / F.lit(size))
 
 
-def _cell_range(low: Column, high: Column, size: float) -> Column:
-    count = _cell(high, size) - _cell(low, size) + 1
-    hint = F.lit(f"a polygon spans over {MAX_CELLS} cells in one direction: use a larger cell")
-    return F.when(count > MAX_CELLS, F.raise_error(hint)).otherwise(
-        F.sequence(_cell(low, size), _cell(high, size))
+def _cell_range(low: str, high: str, size: float) -> Column:
+    """All cell numbers between two coordinates, given as SQL."""
+    first, last = f"floor(({low}) / {size!r}D)", f"floor(({high}) / {size!r}D)"
+    hint = f"a polygon spans over {MAX_CELLS} cells in one direction: use a larger cell"
+    return F.expr(
+        f"IF({last} - {first} >= {MAX_CELLS}, raise_error('{hint}'), sequence({first}, {last}))"
     )
 
 
@@ -97,7 +98,7 @@ def polygon_cells(polygons: DataFrame, attrs: Sequence[str], rings: str, size: f
         *[c.alias(f"__{n}") for n, c in box.items()],
     )
     rows = base.withColumn(
-        "__cy", F.explode(_cell_range(F.col("__y0") - slack, F.col("__y1") + slack, size))
+        "__cy", F.explode(_cell_range(f"__y0 - {slack!r}D", f"__y1 + {slack!r}D", size))
     )
     in_row = F.expr(
         f"filter(__edges, e -> greatest(e.ay, e.by) >= __cy * {size!r}D - {slack!r}D"
@@ -105,7 +106,7 @@ def polygon_cells(polygons: DataFrame, attrs: Sequence[str], rings: str, size: f
     )
     rows = rows.withColumn("__edges", in_row).filter("size(__edges) > 0")
     cells = rows.withColumn(
-        "__cx", F.explode(_cell_range(F.col("__x0") - slack, F.col("__x1") + slack, size))
+        "__cx", F.explode(_cell_range(f"__x0 - {slack!r}D", f"__x1 + {slack!r}D", size))
     )
     to_right = F.expr(f"filter(__edges, e -> greatest(e.ax, e.bx) >= __cx * {size!r}D - {slack!r}D)")
     cells = cells.withColumn("__edges", to_right)
@@ -127,10 +128,12 @@ def point_in_polygon_join(
     rings: str = "rings",
     cell: float | None = None,
     how: str = "left",
+    origin: DataFrame | None = None,
 ) -> DataFrame:
     """Attach ``attrs`` of every polygon that a point lies strictly within.
 
-    Points without coordinates or outside all polygons stay, with missing attributes, unless
+    ``origin`` is the table the points were made from, with the same coordinates, where counting
+    points per cell is cheaper. Points without coordinates or outside all polygons stay, with missing attributes, unless
     ``how`` is inner; a point within several polygons is repeated.
     """
     clash = set(attrs) & set(points.columns)
@@ -138,12 +141,12 @@ def point_in_polygon_join(
         raise ValueError(f"points already have {sorted(clash)}")
     grid = plan_grid(polygons, rings, cell)
     cells = polygon_cells(polygons, attrs, rings, grid.size)
-    placed = points.withColumns(
-        {"__cx": _cell(F.col(lon), grid.size), "__cy": _cell(F.col(lat), grid.size)}
-    )
+    at = {"__cx": _cell(F.col(lon), grid.size), "__cy": _cell(F.col(lat), grid.size)}
+    placed = points.withColumns(at)
+    source = None if origin is None else origin.withColumns(at)
     few = [f"__e{i}" for i in range(FEW)]
     within = F.col("__whole") | G.inside(f"`{lon}`", f"`{lat}`", "__rest", few)
-    joined = spread_join(placed, cells, ["__cx", "__cy"], how, within, grid.small)
+    joined = spread_join(placed, cells, ["__cx", "__cy"], how, within, grid.small, source)
     return joined.drop("__cx", "__cy", "__whole", "__rest", *few)
 
 
@@ -154,9 +157,10 @@ def enrich_areas(
     lat: str = "lat",
 ) -> DataFrame:
     """Attach several polygon tables to one set of points: name to (polygons, attrs, cell)."""
+    placed = points
     for polygons, attrs, cell in areas.values():
-        points = point_in_polygon_join(points, polygons, attrs, lon, lat, cell=cell)
-    return points
+        placed = point_in_polygon_join(placed, polygons, attrs, lon, lat, cell=cell, origin=points)
+    return placed
 
 
 def _strip_areas(pairs: DataFrame) -> DataFrame:
@@ -165,34 +169,37 @@ def _strip_areas(pairs: DataFrame) -> DataFrame:
     Pairs whose x-ranges do not meet drop out. Steps that are used several times are columns of
     their own.
     """
-    a, b, c = F.col("__a"), F.col("__b"), F.col
-    ranged = pairs.withColumns(
-        {
-            "__lo": F.greatest(F.least(a.ax, a.bx), F.least(b.ax, b.bx)),
-            "__hi": F.least(F.greatest(a.ax, a.bx), F.greatest(b.ax, b.bx)),
-        }
-    ).filter(c("__lo") < c("__hi"))
-
-    def height(at: str, e: Column) -> Column:
-        return e.ay + (e.by - e.ay) * (c(at) - e.ax) / (e.bx - e.ax) - c("__base")
-
-    heights = ranged.withColumns(
-        {
-            "__a0": height("__lo", a),
-            "__a1": height("__hi", a),
-            "__b0": height("__lo", b),
-            "__b1": height("__hi", b),
-        }
+
+    def height(at: str, e: str) -> str:
+        return f"{e}.ay + ({e}.by - {e}.ay) * ({at} - {e}.ax) / ({e}.bx - {e}.ax) - __base"
+
+    ranged = pairs.selectExpr(
+        "*",
+        "greatest(least(__a.ax, __a.bx), least(__b.ax, __b.bx)) AS __lo",
+        "least(greatest(__a.ax, __a.bx), greatest(__b.ax, __b.bx)) AS __hi",
+        "IF((__a.bx < __a.ax) = (__b.bx < __b.ax), 1.0D, -1.0D) AS __sign",
+    ).filter("__lo < __hi")
+    heights = ranged.selectExpr(
+        "*",
+        f"{height('__lo', '__a')} AS __a0",
+        f"{height('__hi', '__a')} AS __a1",
+        f"{height('__lo', '__b')} AS __b0",
+        f"{height('__hi', '__b')} AS __b1",
     )
-    apart = heights.withColumns({"__d0": c("__a0") - c("__b0"), "__d1": c("__a1") - c("__b1")})
-    low0, low1 = F.least("__a0", "__b0"), F.least("__a1", "__b1")
-    t = c("__d0") / F.nullif(c("__d0") - c("__d1"), F.lit(0.0))
-    meeting = c("__a0") + t * (c("__a1") - c("__a0"))
-    mean = F.when(c("__d0") * c("__d1") >= 0, (low0 + low1) / 2).otherwise(
-        (t * (low0 + meeting) + (1 - t) * (meeting + low1)) / 2
+    lower = heights.selectExpr(
+        "*",
+        "__a0 - __b0 AS __d0",
+        "__a1 - __b1 AS __d1",
+        "least(__a0, __b0) AS __m0",
+        "least(__a1, __b1) AS __m1",
+    ).selectExpr("*", "__d0 / nullif(__d0 - __d1, 0.0D) AS __t")
+    # Height at which the two edges cross, used only where they do.
+    meeting = "(__a0 + __t * (__a1 - __a0))"
+    mean = (
+        "CASE WHEN __d0 * __d1 >= 0 THEN (__m0 + __m1) / 2"
+        f" ELSE (__t * (__m0 + {meeting}) + (1 - __t) * ({meeting} + __m1)) / 2 END"
     )
-    sign = F.when((a.bx < a.ax) == (b.bx < b.ax), 1.0).otherwise(-1.0)
-    return apart.withColumn("__strip", sign * (c("__hi") - c("__lo")) * mean)
+    return lower.selectExpr("__lid", "__rid", f"__sign * (__hi - __lo) * {mean} AS __strip")
 
 
 def overlap_pairs(
@@ -214,15 +221,14 @@ def overlap_pairs(
     size = grid.size
 
     def boxes(df: DataFrame, key: str, tag: str) -> DataFrame:
-        low_y, high_y = F.col(f"__{tag}y0"), F.col(f"__{tag}y1")
-        low_x, high_x = F.col(f"__{tag}x0"), F.col(f"__{tag}x1")
         flat = df.select(
             F.col(key).alias(f"__{tag}id"),
             *[c.alias(f"__{tag}{n}") for n, c in G.bounds(rings).items()],
         )
-        return flat.withColumn(f"__{tag}cy", F.explode(_cell_range(low_y, high_y, size))).withColumn(
-            f"__{tag}cx", F.explode(_cell_range(low_x, high_x, size))
-        )
+        for axis in ("y", "x"):
+            cells = _cell_range(f"__{tag}{axis}0", f"__{tag}{axis}1", size)
+            flat = flat.withColumn(f"__{tag}c{axis}", F.explode(cells))
+        return flat
 
     def edge_rows(df: DataFrame, key: str, tag: str) -> DataFrame:
         return df.select(F.col(key).alias(f"__{tag}id"), G.edges(rings).alias(f"__{tag}edges"))
@@ -246,7 +252,9 @@ def overlap_pairs(
         grid.small,
     ).select("__lid", "__rid", F.least(c("ly0"), c("ry0")).alias("__base"))
     with_edges = spread_join(candidates, edge_rows(left, left_id, "l"), "__lid", "inner")
-    with_edges = spread_join(with_edges, edge_rows(right, right_id, "r"), "__rid", "inner")
+    with_edges = spread_join(
+        with_edges, edge_rows(right, right_id, "r"), "__rid", "inner", hot_source=candidates
+    )
     edge_pairs = with_edges.select(
         "__lid", "__rid", "__redges", "__base", F.explode("__ledges").alias("__a")
     ).select("__lid", "__rid", "__base", "__a", F.explode("__redges").alias("__b"))

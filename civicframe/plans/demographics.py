@@ -13,7 +13,7 @@ from ..functions.text import remove_first
 from ..operators.columns import map_columns
 from ..operators.groups import consolidate
 from ..operators.joins import null_safe_join, outer_join_all, semi_join
-from ..operators.reshape import copy_year, expand_years, melt, melt_groups
+from ..operators.reshape import copy_year, expand_years, melt, melt_groups, spans_overlap
 from ..operators.spatial import assign_areas, largest_overlap
 from ..sources.versions import SourceVersion, load_versions
 
@@ -86,18 +86,21 @@ def census_long(
 
     ``census``: geogyear, datayear, zcta and the counts under their names; ``zips``: zip.
     """
-    keys = ["zcta", "join_year", "race", "sex"]
+    if spans_overlap(spans):
+        raise ValueError("a year must not be stood for by two censuses")
+    # A year stands for one census, so all sums and joins are done per census and repeated last.
+    keys = ["zcta", "datayear", "race", "sex"]
     wanted = zips.filter("zip IS NOT NULL").select(F.col("zip").cast("string").alias("zcta"))
     counts = semi_join(census.withColumn("zcta", F.col("zcta").cast("string")), wanted, "zcta")
-    filled = expand_years(counts.distinct(), "datayear", spans, "join_year")
-    by_sex = melt(filled, ["total_males", "total_females"], "sex", "pop_sex", "total_")
+    kept = counts.filter(F.col("datayear").isin(list(spans))).distinct()
+    by_sex = melt(kept, ["total_males", "total_females"], "sex", "pop_sex", "total_")
 
     races = [c for c in census.columns if c.startswith("pop_race_")]
     race = melt(by_sex, races, "race", "pop_race", "pop_race_")
     folded = if_else(F.col("race").isin("mult", "pacific_island"), "other", F.col("race"))
     race = race.withColumn("race", folded).filter("pop_race IS NOT NULL")
     main = race.select(
-        *keys, "geogyear", "datayear", "total_pop", *UNITS, "pop_sex"
+        *keys, "geogyear", F.col("datayear").alias("known"), "total_pop", *UNITS, "pop_sex"
     ).distinct()
     others = [k for k in keys if k != "race"]
     parts = [main, consolidate(race, "race", ["other"], "other", others, "pop_race")]
@@ -107,12 +110,12 @@ def census_long(
         held = held.withColumn("race", remove_first("race", "_occupied"))
         held = held.select(*keys, measure).dropna("any")
         parts.append(consolidate(held, "race", ["mult_race"], "other", others, measure))
-    joined = outer_join_all(parts, keys)
+    joined = expand_years(outer_join_all(parts, keys), "datayear", spans, "join_year")
     sex = classify([(name, F.col("sex") == v) for v, name in SEX_LABELS.items()], F.col("sex"))
     label = classify([(name, F.col("race") == v) for v, name in RACE_LABELS.items()], "Other")
     return joined.withColumns({"sex": sex, "race": label}).select(
-        *keys, "geogyear", "datayear", "total_pop", *UNITS,
-        "pop_sex", "pop_race", "pop_own_race", "pop_rent_race",
+        "zcta", "join_year", "race", "sex", "geogyear", F.col("known").alias("datayear"),
+        "total_pop", *UNITS, "pop_sex", "pop_race", "pop_own_race", "pop_rent_race",
     )
 
 
