@@ -183,19 +183,27 @@ def geocode_rounds(
     return out.withColumn("found", F.coalesce(*answers)).drop("__done", *answers)
 
 
-def accepted_locations(located: DataFrame, key: str = "case_no") -> DataFrame:
-    """Distinct accepted answers with the zip code and city read from the formatted address."""
-    rows = located.filter("round IS NOT NULL").select(key, F.explode("found").alias("__f"))
-    return rows.select(
+def with_zip_and_city(found: DataFrame, key: str = "case_no") -> DataFrame:
+    """Locations with the zip code and city read from their formatted address; distinct.
+
+    ``found``: the key, lat, lon, formatted.
+    """
+    return found.select(
         key,
-        F.col("__f.lat").alias("lat"),
-        F.col("__f.lon").alias("lon"),
-        F.col("__f.formatted").alias("full_address"),
-        parse_zip("__f.formatted").alias("zip"),
-        parse_city("__f.formatted").alias("city"),
+        "lat",
+        "lon",
+        F.col("formatted").alias("full_address"),
+        parse_zip("formatted").alias("zip"),
+        parse_city("formatted").alias("city"),
     ).distinct()
 
 
+def accepted_locations(located: DataFrame, key: str = "case_no") -> DataFrame:
+    """The accepted answers of ``geocode_rounds``, one row each."""
+    rows = located.filter("round IS NOT NULL").select(key, F.explode("found").alias("__f"))
+    return with_zip_and_city(rows.select(key, "__f.*"), key)
+
+
 def unplaced(located: DataFrame) -> DataFrame:
     """Rows that no round could place."""
     return located.filter("round IS NULL").drop("round", "found")

@@ -9,16 +9,21 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import first_nonempty, first_present, if_else, lenient
 from ..functions.text import expand_directions, geocode_request, request_text, row_key
+from ..operators.columns import union_distinct
 from ..operators.geocoding import (
     MISIDENTIFIED,
     Box,
     Round,
+    accepted_locations,
     choose_candidate,
+    geocode_join,
     geocode_rounds,
     house_number_agrees,
     prepare_addresses,
+    with_zip_and_city,
 )
-from ..operators.joins import rename_clashes, spread_join
+from ..operators.groups import first_per_group
+from ..operators.joins import anti_join, rename_clashes, spread_join
 from ..operators.reshape import flatten_candidates
 
 # Bounds and reference point of the geocoder calls, as longitude and latitude.
@@ -46,34 +51,71 @@ def rewritten_address(full_address: Column | str) -> Column:
 
 
 def standard_rounds(
-    first: DataFrame, second: DataFrame, cleaned: DataFrame | None, fallback: DataFrame,
-    address: str = "address",
+    first: DataFrame, second: DataFrame, fallback: DataFrame | None = None, address: str = "address"
 ) -> list[Round]:
-    """Raw address, rewritten address, hand-cleaned address, second provider.
+    """Raw address, rewritten address, and, if given, a second provider.
 
-    The gazetteers stand for what each provider knows. ``cleaned`` may be missing; with it the
-    address table needs a ``cleaned_address`` column, in which empty text counts as none.
+    The gazetteers stand for what each provider knows.
     """
     rounds = [
         Round("raw", F.col("full_address"), first, address, 1, WIDE_BOX, NEAR),
         Round("rewritten", rewritten_address("full_address"), second, address, 3, NARROW_BOX, NEAR),
     ]
-    if cleaned is not None:
-        text = F.when(F.col("cleaned_address") != "", F.col("cleaned_address"))
-        rounds.append(Round("cleaned", text, cleaned, address, 1, NARROW_BOX, NEAR))
-    rounds.append(Round("fallback", F.col("full_address"), fallback, address, 1))
+    if fallback is not None:
+        rounds.append(Round("fallback", F.col("full_address"), fallback, address, 1))
     return rounds
 
 
+def _accept(strict: bool):
+    def accept(given: Column, found: Column) -> Column:
+        return house_number_agrees(given, found, strict)
+
+    return accept
+
+
 def locate_addresses(
     cases: DataFrame, rounds: Sequence[Round], strict: bool = False, from_row: int = 1
 ) -> DataFrame:
     """Addresses of the cases with the round that placed them and the accepted answers."""
+    return geocode_rounds(prepare_addresses(cases, from_row=from_row), rounds, _accept(strict))
 
-    def accept(given: Column, found: Column) -> Column:
-        return house_number_agrees(given, found, strict)
 
-    return geocode_rounds(prepare_addresses(cases, from_row=from_row), rounds, accept)
+def cleaned_locations(
+    worklist: DataFrame, gazetteer: DataFrame, order_by: Sequence[str], address: str = "address"
+) -> DataFrame:
+    """Locations from a hand-edited worklist: ``case_no, lat, lon, formatted``.
+
+    ``worklist``: case_no, full_address_new, cleaned_address, lat, lon, formatted; the first row
+    per case and address counts. Rows with a latitude are taken as they are, the others are
+    looked up by their cleaned address, whose house number the answer must hold.
+    """
+    first = first_per_group(
+        worklist,
+        ["case_no", "full_address_new"],
+        ["cleaned_address", "lat", "lon", "formatted"],
+        order_by,
+    )
+    known = first.filter("lat IS NOT NULL").select("case_no", "lat", "lon", "formatted")
+    todo = first.filter("cleaned_address <> '' AND lat IS NULL").select("case_no", "cleaned_address")
+    found = geocode_join(todo, gazetteer, "cleaned_address", address, 1, NARROW_BOX, NEAR)
+    found = found.filter(house_number_agrees("cleaned_address", "formatted"))
+    return union_distinct(known, found.select("case_no", "lat", "lon", "formatted"))
+
+
+def confirmed_locations(
+    cases: DataFrame,
+    rounds: Sequence[Round],
+    cleaned: DataFrame,
+    fallback: Round,
+    strict: bool = False,
+) -> DataFrame:
+    """Accepted answers of the rounds, the cleaned locations, and of the second provider for the rest."""
+    addresses = prepare_addresses(cases)
+    placed = accepted_locations(geocode_rounds(addresses, rounds, _accept(strict)))
+    confirmed = union_distinct(placed, with_zip_and_city(cleaned))
+    rest = anti_join(addresses, confirmed, "case_no")
+    last = accepted_locations(geocode_rounds(rest, [fallback], _accept(strict)))
+    return union_distinct(confirmed, last)
 
 
 def address_requests(addresses: DataFrame, template: str) -> DataFrame:

@@ -52,7 +52,7 @@ def test_rounds_stop_at_the_first_that_is_accepted(spark):
     first = first.withColumns({"lat": F.lit(41.8), "lon": F.lit(-87.6)})
     second = spark.createDataFrame([(3, "2 NORTH B St X United States", "2 North B, Chicago, IL 60602", 41.8, -87.6)], PLACES)
     last = spark.createDataFrame([(4, "3 C St X", "3 C, Cicero, IL 60804", 0.0, 0.0), (5, "1 S A St X", "1 A late", 0.0, 0.0)], PLACES)
-    located = locating.locate_addresses(todo, locating.standard_rounds(first, second, None, last))
+    located = locating.locate_addresses(todo, locating.standard_rounds(first, second, last))
     assert {(r.case_no, r.round) for r in located.collect()} == {
         ("ME1", "raw"), ("ME2", "rewritten"), ("ME3", "fallback"), ("ME4", None), ("ME5", None),
     }
@@ -61,6 +61,22 @@ def test_rounds_stop_at_the_first_that_is_accepted(spark):
     assert {r.case_no for r in gc.unplaced(located).collect()} == {"ME4", "ME5"}
 
 
+def test_cleaned_locations(spark):
+    work = spark.createDataFrame(
+        [
+            ("ME1", "a", "12 A", None, None, None, 1),
+            ("ME1", "a", "99 Z", None, None, None, 2),
+            ("ME2", "b", "", 41.0, -87.0, "known", 3),
+            ("ME3", "c", "", None, None, None, 4),
+            ("ME4", "d", "13 A", None, None, None, 5),
+        ],
+        "case_no string, full_address_new string, cleaned_address string, lat double, lon double, formatted string, line int",
+    )
+    book = spark.createDataFrame([(1, "12 A.", "12 A St", 41.8, -87.6), (2, "13 A", "A St 9", 41.8, -87.6)], PLACES)
+    got = locating.cleaned_locations(work, book, ["line"])
+    assert {(r.case_no, r.formatted) for r in got.collect()} == {("ME1", "12 A St"), ("ME2", "known")}
+
+
 def choose(c, s):
     """The rule written out: None for cannot be told, -1 for none fits."""
 

@@ -787,6 +787,33 @@ FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3)
     **_ROUND_STEPS,
 )
 ORACLE["geocode_unplaced"] = _sql("SELECT * FROM t4", "prepared", "gazetteer", **_ROUND_STEPS)
+STEPS["cleaned"] = (
+    ("cases", "gazetteer"),
+    f"""
+SELECT case_no, lat, lon, name || ', Oak Park, IL 60301, USA' AS formatted FROM cases
+WHERE (incident_city = 'OAK PARK' OR primary_cause_c IS NOT NULL) AND manner = 'Suicide' AND lat IS NOT NULL
+UNION
+SELECT t.case_no, g.lat, g.lon, g.formatted FROM (
+  SELECT *, {_key("cleaned")} AS k FROM (
+    SELECT case_no, CASE WHEN latino = 'YES' THEN '' ELSE upper(replace(replace(incident_address, '.', ''), '#', ' ')) END AS cleaned FROM cases
+    WHERE (incident_city = 'OAK PARK' OR primary_cause_c IS NOT NULL) AND NOT (manner = 'Suicide' AND lat IS NOT NULL)) WHERE cleaned <> '') t
+JOIN (SELECT *, row_number() OVER (PARTITION BY k ORDER BY km, place_id) AS rank FROM (
+  SELECT *, {_key("upper(short_address)")} AS k, {_KM} AS km FROM gazetteer WHERE {_NARROW})) g ON g.k = t.k AND g.rank = 1
+WHERE {_agrees("t.cleaned", "g.formatted", "[.*0-9{,}]")}
+""",
+)
+ORACLE["cleaned_locations"] = _sql("SELECT * FROM cleaned", "cleaned")
+ORACLE["confirmed_locations"] = _sql(
+    f"""
+SELECT DISTINCT case_no, lat, lon, formatted AS full_address, {_zip("formatted")} AS zip, {_city("formatted")} AS city
+FROM (SELECT * FROM confirmed UNION ALL SELECT * FROM r4)
+""",
+    "prepared", "gazetteer", "cleaned",
+    **{n: _ROUND_STEPS[n] for n in ("r1", "t2", "r2")},
+    confirmed="SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM cleaned",
+    t9="SELECT * FROM prepared WHERE case_no NOT IN (SELECT case_no FROM confirmed)",
+    r4=_round("fallback", "t9", "full_address", "city_address", 1, "true", "0"),
+)
 ORACLE["parse_zip_city"] = _sql(
     f"SELECT place_id, {_zip('formatted')} AS zip, {_city('formatted')} AS city FROM gazetteer", "gazetteer"
 )

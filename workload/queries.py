@@ -760,16 +760,53 @@ def house_number(i: Inputs) -> DataFrame:
     )
 
 
+def _upper_cases(i: Inputs) -> DataFrame:
+    return i.view("cases").withColumn("incident_address", F.upper("incident_address"))
+
+
+def _book(i: Inputs, col: str) -> DataFrame:
+    return i.view("gazetteer").select(
+        "place_id", "formatted", "lat", "lon", F.upper(col).alias("address")
+    )
+
+
+def _first_book(i: Inputs) -> DataFrame:
+    return _book(i, "city_address").filter(C("formatted").contains("Cook County"))
+
+
 def _rounds(i: Inputs) -> DataFrame:
-    places = i.view("gazetteer")
-    source = i.view("cases").withColumn("incident_address", F.upper("incident_address"))
+    rounds = locating.standard_rounds(
+        _first_book(i), _book(i, "long_address"), _book(i, "city_address")
+    )
+    return locating.locate_addresses(_upper_cases(i), rounds)
+
+
+def _cleaned(i: Inputs) -> DataFrame:
+    by_hand = C("manner") == "Suicide"
+    plain = F.replace(F.replace("incident_address", F.lit("."), F.lit("")), F.lit("#"), F.lit(" "))
+    cleaned = F.upper(plain)
+    worklist = i.view("cases").filter("incident_city = 'OAK PARK' OR primary_cause_c IS NOT NULL").select(
+        "case_no",
+        "case_id",
+        C("incident_address").alias("full_address_new"),
+        F.when(C("latino") == "YES", "").otherwise(cleaned).alias("cleaned_address"),
+        F.when(by_hand, C("lat")).alias("lat"),
+        F.when(by_hand, C("lon")).alias("lon"),
+        F.when(by_hand, F.concat(C("name"), F.lit(", Oak Park, IL 60301, USA"))).alias("formatted"),
+    )
+    return locating.cleaned_locations(worklist, _book(i, "short_address"), ["case_id"])
 
-    def book(col: str) -> DataFrame:
-        return places.select("place_id", "formatted", "lat", "lon", F.upper(col).alias("address"))
 
-    first = book("city_address").filter(C("formatted").contains("Cook County"))
-    rounds = locating.standard_rounds(first, book("long_address"), None, book("city_address"))
-    return locating.locate_addresses(source, rounds)
+@query
+def cleaned_locations(i: Inputs) -> DataFrame:
+    return _cleaned(i)
+
+
+@query
+def confirmed_locations(i: Inputs) -> DataFrame:
+    rounds = locating.standard_rounds(_first_book(i), _book(i, "long_address"))
+    fallback = geocoding.Round("fallback", C("full_address"), _book(i, "city_address"), "address")
+    return locating.confirmed_locations(_upper_cases(i), rounds, _cleaned(i), fallback)
 
 
 @query
