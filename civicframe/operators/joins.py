@@ -125,7 +125,8 @@ def spread_join(
             .withColumn("__hot", F.lit(True))
         )
         marked = left.join(hot, _same([(a, hot_names[a]) for a in left_keys]), "left")
-        place = F.pmod(F.xxhash64(F.spark_partition_id(), *left.columns), F.lit(SALTS))
+        # By input partition: the same on a retry, and no column is read for it.
+        place = F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(SALTS))
         spread = F.col("__hot").isNotNull() | reduce(or_, (F.col(a).isNull() for a in left_keys))
         left = marked.withColumn("__salt", F.when(spread, place).otherwise(F.lit(0)))
         left = left.drop("__hot", *hot_names.values())
