@@ -170,15 +170,19 @@ def geocode_rounds(
             out.withColumn("__key", key), places, "__key", "left", hot_source=asked
         )
         accepted = F.filter("__places", lambda p: accept(F.col(given), p[formatted]))
-        slim = F.transform(accepted, lambda p: F.struct(*[p[f].alias(f) for f in r.fields]))
-        hit = F.coalesce(F.size(accepted) > 0, F.lit(False))
-        out = joined.withColumns(
-            {
-                f"__found{i}": F.when(hit, slim),
-                "round": F.when(hit, F.lit(r.name)).otherwise(F.col("round")),
-                "__done": F.col("__done") | hit,
-            }
-        ).drop("__places", "__key")
+        slim = F.transform("__ok", lambda p: F.struct(*[p[f].alias(f) for f in r.fields]))
+        hit = F.coalesce(F.size("__ok") > 0, F.lit(False))
+        out = (
+            joined.withColumn("__ok", accepted)
+            .withColumns(
+                {
+                    f"__found{i}": F.when(hit, slim),
+                    "round": F.when(hit, F.lit(r.name)).otherwise(F.col("round")),
+                    "__done": F.col("__done") | hit,
+                }
+            )
+            .drop("__places", "__key", "__ok")
+        )
         answers.append(f"__found{i}")
     return out.withColumn("found", F.coalesce(*answers)).drop("__done", *answers)
 

@@ -840,8 +840,9 @@ def text_replace(i: Inputs) -> DataFrame:
 
 
 def _flat(i: Inputs) -> DataFrame:
+    # Exploding keeps filters on the fields from being moved below the parser and repeating it.
     parsed = i.view("responses").select(
-        "hash_key", F.from_json("response", RESPONSE_TYPE).alias("response")
+        "hash_key", F.explode(F.array(F.from_json("response", RESPONSE_TYPE))).alias("response")
     )
     return locating.flat_responses(response_rows(parsed, "hash_key", C("response")))
 
