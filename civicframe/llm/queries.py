@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .hilbert import document_shards
+from .mixing import mix
+from .packing import pack
 from .secret_scan import BASE, digest, secret_scan
+from .toxicity import toxicity
 from .url_filter import url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +35,8 @@ def query(fn):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    # Workers started from elsewhere find the package too; a cluster has it installed.
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -66,3 +72,35 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op9_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = document_shards(table(spark, folder, "documents"))
     return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+def held_out(modulus: int) -> Column:
+    """Rows whose crc32 of the id, as text, leaves 2; a missing id does not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == 2, F.lit(False))
+
+
+@query
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    scored = toxicity(docs, labels, ~held_out(4))
+    return scored.withColumns({"held_out": held_out(4), "predicted": (F.col("score") >= 0.3).cast("int")})
+
+
+#: Wanted shares of tokens by domain: quality and toxicity of a document, as labelled.
+MIX_TARGETS = {"q0t0": 0.10, "q1t0": 0.88, "q1t1": 0.02}
+
+
+@query
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return mix(docs, labels, F.concat(F.lit("q"), "quality", F.lit("t"), "toxic"), MIX_TARGETS)
+
+
+@query
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens"
+    )
