@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .hilbert import document_shards
+from .jaccard_join import jaccard_join
 from .mixing import mix
 from .packing import pack
 from .secret_scan import BASE, digest, secret_scan
@@ -104,3 +105,8 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens"
     )
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join(table(spark, folder, "documents"), words=4, num=85, den=100)
