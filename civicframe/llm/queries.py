@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .hilbert import document_shards
 from .jaccard_join import jaccard_join
 from .mixing import mix
+from .near_vectors import near_vectors
 from .packing import pack
 from .secret_scan import BASE, digest, secret_scan
 from .toxicity import toxicity
@@ -110,3 +111,8 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join(table(spark, folder, "documents"), words=4, num=85, den=100)
+
+
+@query
+def op1_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings"))
