@@ -32,7 +32,7 @@ def posteriors(
     sample: int = 20_000,
     features: int = 4_096,
 ) -> DataFrame:
-    """``__id, tokens, posterior array<double>`` in the order of ``domains``, for every row of ``docs``.
+    """``__id, text_hash, tokens, posterior array<double>`` in the order of ``domains``, for every row of ``docs``.
 
     A multinomial logistic regression on hashed term shares, fitted to at most about ``sample``
     labelled documents chosen by a hash of the id. Domains that no chosen label names get a
@@ -44,7 +44,7 @@ def posteriors(
     total = known.count()
     known = known.where(F.pmod(F.xxhash64("__id", F.lit("mix")), F.lit(1_000_000)) < 1_000_000 * min(1.0, sample / max(total, 1)))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("__id"), text.alias("__text"))
+    rows = docs.select(F.col(id_col).alias("__id"), text.alias("__text"), F.xxhash64(text).alias("text_hash"))
     steps = Pipeline(
         stages=[
             RegexTokenizer(inputCol="__text", outputCol="__terms", pattern=TOKEN, gaps=False, toLowercase=True),
@@ -58,14 +58,14 @@ def posteriors(
     measured = rows.withColumn("tokens", token_count(F.col("__text")))
     if len(named) < 2:
         flat = [1.0 if d in named else 0.0 for d in range(len(domains))] if named else [1.0 / len(domains)] * len(domains)
-        return measured.select("__id", "tokens", F.array(*map(F.lit, flat)).alias("posterior"))
+        return measured.select("__id", "text_hash", "tokens", F.array(*map(F.lit, flat)).alias("posterior"))
     model = LogisticRegression(
         featuresCol="__shares", labelCol="__y", family="multinomial", maxIter=40, regParam=1e-4
     ).fit(picked)
     p = vector_to_array("probability")
     known_domains = model.numClasses
     posterior = F.array(*(p[i] if i < known_domains else F.lit(0.0) for i in range(len(domains))))
-    return model.transform(steps.transform(measured)).select("__id", "tokens", posterior.alias("posterior"))
+    return model.transform(steps.transform(measured)).select("__id", "text_hash", "tokens", posterior.alias("posterior"))
 
 
 def fitted_rates(
@@ -122,7 +122,7 @@ def mix(
     budget: float = 1.0,
     sample: int = 20_000,
 ) -> DataFrame:
-    """One row per document: ``id_col, tokens, posterior, rate``.
+    """One row per document: ``id_col, text_hash, tokens, posterior, rate``; the hash tells texts of one id apart.
 
     ``domain`` names a label row's domain, ``targets`` the wanted shares of tokens, ``budget`` the
     wanted tokens as a multiple of those there are. A rate is the expected number of times that the

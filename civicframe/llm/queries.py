@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .hilbert import document_shards
+from .interpolation import interpolated
 from .jaccard_join import jaccard_join
 from .mixing import mix
 from .near_vectors import near_vectors
@@ -116,3 +117,12 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"))
+
+
+@query
+def op4_interpolation(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    # Of the rows to learn from, an eighth is kept for the mixture weights.
+    fold = F.floor(F.crc32(F.col("doc_id").cast("string")) / 7) % 8 == 0
+    scored = interpolated(docs, ~held_out(7), fold)
+    return scored.withColumn("held_out", ~F.col("trained")).drop("trained")

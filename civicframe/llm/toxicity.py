@@ -129,9 +129,12 @@ def toxicity(
     least_z: float = 5.0,
     least_share: float = 0.7,
     evidence: int = 3,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """One row per document: ``id_col, score, evidence array<struct<doc_id, cosine, label>>``.
 
+    Columns named in ``carry`` come instead of ``id_col``, so that a filter needs no join.
+
     At most about ``sample`` labels that ``allowed`` lets through are used, three quarters as
     examples, the rest to calibrate. The vocabulary is the (at most ``vocabulary``) words and word
     beginnings that are more frequent in examples of label 1 by ``least_z`` standard deviations and
@@ -143,6 +146,8 @@ def toxicity(
     """
     spark = docs.sparkSession
     chosen = sampled_labels(labels, id_col, F.col(label_col), allowed, sample)
+    out = carry or [id_col]
+    source = docs.select(F.col(text_col).cast("string").alias("__text"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(out)))
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     # Ids of the sample: bounded by its size.
     picked = texts.join(F.broadcast(chosen), "__id").where("__id is not null")
@@ -223,10 +228,12 @@ def toxicity(
                 )
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [b.column("__id"), pa.array(scores, pa.float64()), pa.array(proofs, kind)], names=["__id", "score", "evidence"]
+                [*b.columns[1:], pa.array(scores, pa.float64()), pa.array(proofs, kind)],
+                names=[*b.schema.names[1:], "__score", "__evidence"],
             )
 
-    kind = texts.schema["__id"].dataType.simpleString()
-    return texts.mapInArrow(
-        score, f"__id {kind}, score double, evidence array<struct<doc_id: long, cosine: double, label: int>>"
-    ).withColumnRenamed("__id", id_col)
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in source.schema.fields[1:])
+    scored = source.mapInArrow(
+        score, f"{kinds}__score double, __evidence array<struct<doc_id: long, cosine: double, label: int>>"
+    )
+    return scored.toDF(*out, "score", "evidence")
