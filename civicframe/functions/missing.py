@@ -112,6 +112,6 @@ def sum_strict(c: Column | str) -> Column:
     return F.when(F.count_if(c.isNull()) == 0, F.coalesce(F.sum(c), F.lit(0)))
 
 
-def money(c: Column | str) -> Column:
-    """Amount as an exact decimal, so that sums do not depend on row order."""
-    return lenient(c, "decimal(18,2)")
+def money(c: Column | str, scale: int = 2) -> Column:
+    """Amount as an exact decimal, so that sums do not depend on row order; rounded to ``scale`` places."""
+    return lenient(c, f"decimal(38,{scale})")

@@ -48,14 +48,19 @@ def repair_names(df: DataFrame) -> DataFrame:
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Exactly the columns of ``schema``, in its order and types; absent ones are missing."""
-    have = set(df.columns)
-    return df.select(
-        [
-            (F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+    """Exactly the columns of ``schema``, in its order and types; absent ones are missing.
+
+    Text that does not fit its type becomes missing.
+    """
+    have = dict(df.dtypes)
+
+    def as_type(f: T.StructField) -> Column:
+        if f.name not in have:
+            return F.lit(None).cast(f.dataType)
+        value, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        return lenient(value, kind) if have[f.name] == "string" and kind != "string" else value.cast(f.dataType)
+
+    return df.select([as_type(f).alias(f.name) for f in schema.fields])
 
 
 def map_columns(df: DataFrame, cols: Sequence[str], fn: Callable[[str], Column]) -> DataFrame:

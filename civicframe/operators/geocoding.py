@@ -13,7 +13,7 @@ from ..functions.missing import first_present, if_else, matches, paste
 from ..functions.text import address_key, extract_first, parse_city, parse_zip
 from .columns import union_distinct
 from .groups import slice_rows, top_k_per_key
-from .joins import spread_join
+from .joins import anti_join, semi_join, spread_join
 
 # Fixed value: the mark of an answer that lies outside the wanted county or state.
 MISIDENTIFIED = "MISIDENTIFIED"
@@ -213,6 +213,25 @@ def unplaced(located: DataFrame) -> DataFrame:
     return located.filter("round IS NULL").drop("round", "found")
 
 
+def ambiguous(located: DataFrame) -> DataFrame:
+    """Rows with more than one accepted answer, for a look by hand."""
+    return located.filter(F.size("found") > 1)
+
+
+def settle(located: DataFrame, rejected: DataFrame, key: str = "case_no") -> tuple[DataFrame, DataFrame]:
+    """Good rows and rows to check, after a look by hand has rejected the answers of some keys.
+
+    The rows to check are those that no round could place, those of the ``rejected`` keys, and all
+    with more than one accepted answer; of these only the rejected leave the good ones.
+    """
+    keys = rejected.select(key).distinct()
+    good = anti_join(located.filter("round IS NOT NULL"), keys, key)
+    refused = semi_join(located.filter("round IS NOT NULL"), keys, key)
+    doubtful = ambiguous(good)
+    check = refused.unionByName(doubtful).drop("round", "found")
+    return good, unplaced(located).unionByName(check)
+
+
 def chosen_index(county: Sequence[Column], state: Sequence[Column], want_county: str, want_state: str):
     """Index of the candidate to take: -1 for none fitting, missing when it cannot be told.
 

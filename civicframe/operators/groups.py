@@ -20,20 +20,16 @@ def aggregate_by(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFram
     return df.dropna(subset=list(keys)).groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
 
 
-def group_total(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
-    """Attach aggregates of each row's group; rows with a missing key form a group."""
-    totals = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
-    return spread_join(df, totals, list(keys), "left")
-
-
-def subtotal(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
-    """``group_total`` for a table that is already aggregated to finer keys.
+def group_total(
+    df: DataFrame, keys: Sequence[str], drop_missing: bool = False, **aggs: Column
+) -> DataFrame:
+    """Attach aggregates of each row's group.
 
-    Its groups hold one row per finer key, however many rows there were before, so a window
-    does without the second pass.
+    Rows with a missing key form a group, or with ``drop_missing`` stay without an aggregate.
     """
-    group = Window.partitionBy(*keys)
-    return df.withColumns({n: a.over(group) for n, a in aggs.items()})
+    grouped = df.dropna(subset=list(keys)) if drop_missing else df
+    totals = grouped.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
+    return spread_join(df, totals, list(keys), "left")
 
 
 def grand_total(df: DataFrame, **aggs: Column) -> DataFrame:

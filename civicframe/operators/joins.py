@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,10 +14,9 @@ from ..session import fits_broadcast
 
 Key = str | tuple[str, str]
 
-# At most this many keys are treated as hot, which bounds the table of them that is broadcast.
-# Any other key holds less than 1/HOT_KEYS of the rows.
-HOT_KEYS = 256
-SALTS = 64
+# A key with more left rows than this is hot: it gets a salt per so many rows. The table of hot keys
+# that is broadcast has one row for so many left rows at most.
+ROWS_PER_TASK = 2_000_000
 
 
 def _pairs(on: str | Sequence[Key]) -> list[tuple[str, str]]:
@@ -75,15 +74,17 @@ def null_safe_join(
     return joined.drop(*names.values())
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_KEYS) -> DataFrame:
-    """The ``limit`` most frequent key values, ties in key order; never more rows than that."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .orderBy(F.desc("__n"), *keys)
-        .limit(limit)
-        .select(*keys)
-    )
+def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int | None = None) -> DataFrame:
+    """Key values, a missing one included, with more than ``rows_per_task`` rows, and ``__salts`` for each."""
+    most = rows_per_task or ROWS_PER_TASK
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most)
+    return counted.select(*keys, F.ceil(F.col("__n") / most).alias("__salts"))
+
+
+def _row_hash(df: DataFrame) -> Column:
+    """A hash of the row's values and its partition: the same on a retry, however rows were dealt."""
+    hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in hashable])
 
 
 def spread_join(
@@ -99,10 +100,11 @@ def spread_join(
 
     A right side that Spark would broadcast is joined as it is, since then nothing is shuffled;
     ``small`` says so from a bound the caller has computed, where Spark's estimate would not do.
-    Otherwise the rows of the most frequent left keys, and those with a missing key, are spread
-    over ``SALTS`` tasks, and the right rows of these keys, and only these, are repeated once per
-    task. All rows take part, so the result is that of the plain join. ``hot_source`` is a table
-    with the left keys that is cheaper to count than ``left``, such as what it was joined from.
+    Otherwise the rows of a left key that has more than ``ROWS_PER_TASK`` are spread by a hash of
+    the row over as many tasks as its count asks for, and the right rows of these keys, and only
+    these, are repeated once per task; a missing key is a key like others. All rows take part, so
+    the result is that of the plain join, whichever form the size asks for. ``hot_source`` is a
+    table with the left keys that is cheaper to count than ``left``, such as what it was joined from.
     ``residual`` may add a condition on both sides. ``how`` is inner, left, semi or anti.
     """
     if how not in ("inner", "left", "semi", "anti"):
@@ -119,25 +121,16 @@ def spread_join(
     if not small:
         hot_names = _other_names(left_keys, "h")
         counted = left if hot_source is None else hot_source
-        hot = F.broadcast(
-            hot_keys(counted, left_keys)
-            .withColumnsRenamed(hot_names)
-            .withColumn("__hot", F.lit(True))
-        )
+        hot = F.broadcast(hot_keys(counted, left_keys).withColumnsRenamed(hot_names))
+        salts = F.coalesce("__salts", F.lit(1))
+        place = _row_hash(left)
         marked = left.join(hot, _same([(a, hot_names[a]) for a in left_keys]), "left")
-        # By input partition: the same on a retry, and no column is read for it.
-        place = F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(SALTS))
-        spread = F.col("__hot").isNotNull() | reduce(or_, (F.col(a).isNull() for a in left_keys))
-        left = marked.withColumn("__salt", F.when(spread, place).otherwise(F.lit(0)))
-        left = left.drop("__hot", *hot_names.values())
-        repeated = F.col("__hot").isNotNull() | reduce(
-            or_, (F.col(names[b]).isNull() for b in right_keys)
-        )
-        copies = F.when(repeated, F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        left = marked.withColumn("__salt", F.when(salts > 1, F.pmod(place, salts)).otherwise(F.lit(0)))
+        left = left.drop("__salts", *hot_names.values())
         right = (
             right.join(hot, _same([(names[b], hot_names[a]) for a, b in pairs]), "left")
-            .withColumn("__place", F.explode(F.coalesce(copies, F.array(F.lit(0)))))
-            .drop("__hot", *hot_names.values())
+            .withColumn("__place", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+            .drop("__salts", *hot_names.values())
         )
         # Keeps a side that only looks small, such as an exploded one, from being broadcast.
         right = right.hint("merge")
@@ -152,7 +145,8 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "left") -> DataFr
     shared = [c for c in left.columns if c in right.columns]
     if not shared:
         raise ValueError("the two sides share no column")
-    return null_safe_join(left, right, shared, how)
+    join = spread_join if how in ("inner", "left", "semi", "anti") else null_safe_join
+    return join(left, right, shared, how)
 
 
 def outer_join_all(frames: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
@@ -199,6 +193,8 @@ def apply_overrides(
 def look_up(df: DataFrame, mapping: DataFrame, on: str | Sequence[Key]) -> DataFrame:
     """Attach a mapping table's columns; rows without a mapping drop out.
 
-    A mapping that turns out small at run time is broadcast, so ``df`` is then not shuffled.
+    A mapping that Spark would broadcast is, so ``df`` is then not shuffled; beside a larger one
+    the hot keys of ``df`` are spread.
     """
-    return null_safe_join(df, mapping, on, "inner")
+    df, mapping = rename_clashes(df, mapping, _pairs(on), ("_x", "_y"))
+    return spread_join(df, mapping, on, "inner")

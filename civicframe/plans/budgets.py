@@ -22,7 +22,7 @@ from ..functions.missing import (
 )
 from ..functions.text import title_case
 from ..operators.columns import conform, pick, schema, union_distinct
-from ..operators.groups import aggregate_by, grand_total, group_total, subtotal
+from ..operators.groups import aggregate_by, grand_total, group_total
 from ..operators.joins import look_up
 from ..operators.reshape import melt_rest, separate
 from ..sources.versions import SourceVersion, load_versions
@@ -49,6 +49,8 @@ EXPENDITURE_SCHEMA = schema(
 
 # Names the amount column has in the city datasets, apart from ``amount``.
 CITY_AMOUNT_NAMES = ["X_ordinance_amount_", "appropriation_ordinance"]
+# Years whose keys come padded with blanks.
+PADDED_YEARS = (2013, 2015)
 # Columns of the county time series that are not used.
 WIDE_EXTRA = ["short_title", "department_id", "url", "department_description", "control_officer"]
 
@@ -107,7 +109,7 @@ def city_budget(versions: Sequence[SourceVersion], departments: DataFrame) -> Da
     keys = ["year", "fund_type", "fund_description", "department_description"]
     sums = aggregate_by(lines, keys, amount=sum_present(money("amount")))
     mapped = look_up(sums, departments, "department_description")
-    full = subtotal(mapped, ["year"], year_total=F.sum("amount"))
+    full = group_total(mapped, ["year"], year_total=F.sum("amount"))
     return full.withColumns({c: F.col(c).cast("double") for c in ("amount", "year_total")}).distinct()
 
 
@@ -118,9 +120,9 @@ def _county(df: DataFrame) -> DataFrame:
 def _by_year(lines: DataFrame) -> DataFrame:
     """Present amounts added up by year, fund, department and category, with the year's total."""
     keys = ["year", "fund", "department", "category"]
+    lines = lines.withColumn("year", lenient("year", "int"))
     sums = aggregate_by(lines, keys, amount=sum_present(money("amount")))
-    sums = subtotal(sums, ["year"], year_total=F.sum("amount"))
-    return _county(sums.withColumn("year", lenient("year", "int")))
+    return _county(group_total(sums, ["year"], year_total=F.sum("amount")))
 
 
 def _one_year(lines: DataFrame, year: int) -> DataFrame:
@@ -189,9 +191,13 @@ def county_budget_mapped(
     by_summary: Mapping[int, DataFrame],
     wide: DataFrame,
     maps: Mapping[object, DataFrame],
+    padded: Sequence[int] = PADDED_YEARS,
 ) -> DataFrame:
     """County appropriations of all years, categories from mapping tables.
 
+    Keys of the ``padded`` years are trimmed before the mapping is looked up; those of other years
+    must agree with it as they are.
+
     ``by_function``: funds, function_area, department, year, amount. ``by_tab`` (per year): fund,
     tab, fund_type, department_name, general_fund_type, amount. ``by_summary`` (per year):
     genfundtype, sort_for_summary, depttitle, fundtype, amount. ``wide``: fund, department and
@@ -200,11 +206,13 @@ def county_budget_mapped(
     function_keys = ["funds", "function_area", "department"]
     parts = [_by_year(_by_function(look_up(by_function, maps["function"], function_keys)))]
     for year, df in by_tab.items():
-        mapped = look_up(trimmed(df, "fund"), maps[year], ["fund", "tab"])
+        lines = trimmed(df, "fund") if year in padded else df
+        mapped = look_up(lines, maps[year], ["fund", "tab"])
         parts.append(_one_year(_by_tab(mapped), year))
     summary_keys = ["genfundtype", "sort_for_summary", "depttitle"]
     for year, df in by_summary.items():
-        mapped = look_up(trimmed(df, "depttitle"), maps[year], summary_keys)
+        lines = trimmed(df, "depttitle") if year in padded else df
+        mapped = look_up(lines, maps[year], summary_keys)
         parts.append(_one_year(_by_summary(mapped), year))
     lines = look_up(wide_to_lines(wide), maps["wide"], ["fund", "department"])
     parts.append(_by_year(lines.withColumnRenamed("appropriations", "amount")))
@@ -307,8 +315,8 @@ def wide_expenditures(wide: DataFrame) -> DataFrame:
         {
             "fund": classify([(HEALTH, health), (SAFETY, safety)], department),
             "year": lenient("year", "int"),
-            "amount": F.col("expenditures").cast("decimal(18,2)"),
+            "amount": money("expenditures"),
         }
     )
-    rows = group_total(rows, ["year"], year_total=sum_present("amount"))
+    rows = group_total(rows, ["year"], drop_missing=True, year_total=sum_present("amount"))
     return conform(rows.filter("amount IS NOT NULL"), EXPENDITURE_SCHEMA)

@@ -22,14 +22,15 @@ def monthly_counts(
 ) -> DataFrame:
     """Crimes per month and group, with the community area's name.
 
-    Types without a category drop out, and so do crimes with a missing key: those without a
-    community area, and, when ``zips`` is given, those within no zip polygon. Without ``zips``
-    the zip key is left out. ``community_names``: community_area, community.
+    Crimes are a set: one that is delivered twice counts once. Types without a category drop out,
+    and so do crimes with a missing key: those without a community area, and, when ``zips`` is
+    given, those within no zip polygon. Without ``zips`` the zip key is left out.
+    ``community_names``: community_area, community.
     """
     keys = KEYS if zips is not None else [k for k in KEYS if k != "zip"]
-    found = crimes.withColumn("month", month_floor("date"))
+    found = crimes.dropna(subset=["date", "arrest", "community_area", "year"]).distinct()
+    found = look_up(found.withColumn("month", month_floor("date")), categories, "primary_type")
     if zips is not None:
-        found = point_in_polygon_join(found, zips, ["zip"], "longitude", "latitude", cell=cell)
-    found = look_up(found, categories, "primary_type")
+        found = point_in_polygon_join(found, zips, ["zip"], "longitude", "latitude", cell=cell, how="inner")
     counts = aggregate_by(found, keys, count_of_crimes=F.count(F.lit(1)))
     return spread_join(counts, community_names, "community_area", "left")

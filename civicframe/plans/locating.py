@@ -156,6 +156,22 @@ def status_rule(loc_type: Column, status: Column) -> Column:
     )
 
 
+def merge_manual_fields(cases: DataFrame, manual: DataFrame) -> DataFrame:
+    """Let hand-made location fields win where they are neither missing nor empty.
+
+    ``cases``: incident_address, street, city, state, zip, lat, lon. ``manual``: raw and the same
+    location fields with ``_fin``, as text.
+    """
+    cases, manual = rename_clashes(cases, manual, [("incident_address", "raw")], ("_x", "_y"))
+    joined = spread_join(cases, manual, [("incident_address", "raw")], "left")
+    typed = {"zip": "int", "lat": "double", "lon": "double"}
+    fields = {c: first_nonempty(F.upper(c + "_fin"), F.col(c)) for c in ("street", "city", "state")}
+    for c, kind in typed.items():
+        given = F.col(c + "_fin").cast("string")
+        fields[c] = F.when(given != "", lenient(given, kind)).otherwise(F.col(c))
+    return joined.withColumns(fields).drop(*[c for c in joined.columns if c.endswith("_fin")])
+
+
 def merge_location_fields(cases: DataFrame, chosen: DataFrame) -> DataFrame:
     """Let chosen location fields win over the case's own, field by field.
 

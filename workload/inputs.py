@@ -7,6 +7,8 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from civicframe.session import tune
+
 from .views import VIEWS, rings_sql
 
 
@@ -14,7 +16,7 @@ class Inputs:
     """Tables and views of one folder, as lazy DataFrames; a plan is built once, data is not kept."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = spark
+        self.spark = tune(spark)
         self.folder = folder
 
     @cache

@@ -106,7 +106,7 @@ STEPS |= {
     "tract_area": (("tracts_areas",), _largest("tracts_areas")),
     "tract_named": (("tracts_named",), _largest("tracts_named")),
     "tract_zip": (("tracts_zips",), _largest("tracts_zips")),
-    "money": (("budget_lines",), "SELECT * REPLACE (TRY_CAST(amount AS DECIMAL(18,2)) AS amount) FROM budget_lines"),
+    "money": (("budget_lines",), "SELECT * REPLACE (TRY_CAST(amount AS DECIMAL(38,2)) AS amount) FROM budget_lines"),
     "gun": (
         ("cases",),
         f"""
@@ -177,7 +177,7 @@ ORACLE: dict[str, str] = {}
 ORACLE["crimes_monthly"] = _sql(
     """
 SELECT CAST(date_trunc('month', date) AS DATE) AS month, crime_category, arrest, c.community_area, year, count(*) AS count_of_crimes, any_value(n.community) AS community
-FROM crimes c JOIN crime_categories USING (primary_type) LEFT JOIN community_names n ON c.community_area = n.community_area
+FROM (SELECT DISTINCT * FROM crimes) c JOIN crime_categories USING (primary_type) LEFT JOIN community_names n ON c.community_area = n.community_area
 WHERE c.community_area IS NOT NULL GROUP BY ALL
 """,
     "crimes", "crime_categories", "community_names",
@@ -185,7 +185,7 @@ WHERE c.community_area IS NOT NULL GROUP BY ALL
 ORACLE["crimes_monthly_by_area"] = _sql(
     """
 SELECT CAST(date_trunc('month', date) AS DATE) AS month, crime_category, arrest, c.community_area, z.zip, year, count(*) AS count_of_crimes, any_value(n.community) AS community
-FROM crimes c JOIN crimes_in_zips z ON c.longitude = z.px AND c.latitude = z.py JOIN crime_categories USING (primary_type)
+FROM (SELECT DISTINCT * FROM crimes) c JOIN crimes_in_zips z ON c.longitude = z.px AND c.latitude = z.py JOIN crime_categories USING (primary_type)
 LEFT JOIN community_names n ON c.community_area = n.community_area
 WHERE c.community_area IS NOT NULL GROUP BY ALL
 """,
@@ -236,13 +236,13 @@ SELECT *, CAST(sum(amount) OVER (PARTITION BY year) AS DOUBLE) AS year_total FRO
 
 _CATEGORY = "CASE WHEN contains(department, 'Hospital') THEN 'Public Health' WHEN contains(department, 'Sheriff') THEN 'Public Safety' ELSE 'Other' END"
 _WIDE = """
-SELECT fund, department, year, CAST(sum(CASE WHEN status = 'F' THEN a END) AS BIGINT) AS expenditures, CAST(sum(CASE WHEN status = 'O' THEN a END) AS BIGINT) AS appropriations
-FROM (SELECT funds AS fund, department, year, status, CAST(clean_amount AS BIGINT) AS a FROM budget_lines WHERE status IN ('F', 'O')) GROUP BY ALL
+SELECT fund, department, year, CAST(sum(CASE WHEN status <> 'O' THEN a END) AS BIGINT) AS expenditures, CAST(sum(CASE WHEN status = 'O' THEN a END) AS BIGINT) AS appropriations
+FROM (SELECT funds AS fund, department, CASE WHEN status = 'P' THEN -1 ELSE year END AS year, status, CAST(clean_amount AS BIGINT) AS a FROM budget_lines) GROUP BY ALL
 """
 # Every fund and department has a column for every year; absent cells are missing.
 _WIDE_FULL = """
-SELECT g.fund, g.department, y.year, w.expenditures, w.appropriations
-FROM (SELECT DISTINCT fund, department FROM wide) g CROSS JOIN (VALUES (1995), (1996), (1997), (1998), (1999), (2000), (2001)) AS y(year)
+SELECT g.fund, g.department, nullif(y.year, -1) AS year, w.expenditures, w.appropriations
+FROM (SELECT DISTINCT fund, department FROM wide) g CROSS JOIN (VALUES (1995), (1996), (1997), (1998), (1999), (2000), (2001), (-1)) AS y(year)
 LEFT JOIN wide w ON w.fund = g.fund AND w.department = g.department AND w.year = y.year
 """
 
@@ -259,7 +259,7 @@ def _one_year(lines: str, year: int) -> str:
     return f"""
 SELECT fund, genfundtype, department, category, {year} AS year, CAST(amount AS DOUBLE) AS amount,
        CAST(CASE WHEN count(*) OVER () = count(amount) OVER () THEN sum(amount) OVER () END AS DOUBLE) AS year_total
-FROM (SELECT fund, genfundtype, department, category, CASE WHEN count(*) = count(TRY_CAST(amount AS DECIMAL(18,2))) THEN sum(TRY_CAST(amount AS DECIMAL(18,2))) END AS amount
+FROM (SELECT fund, genfundtype, department, category, CASE WHEN count(*) = count(TRY_CAST(amount AS DECIMAL(38,2))) THEN sum(TRY_CAST(amount AS DECIMAL(38,2))) END AS amount
       FROM {lines} WHERE amount IS NOT NULL AND fund IS NOT NULL AND genfundtype IS NOT NULL AND department IS NOT NULL AND category IS NOT NULL
       GROUP BY fund, genfundtype, department, category)
 """
@@ -287,18 +287,20 @@ _FIVE = "SELECT * FROM a UNION SELECT * FROM b UNION SELECT * FROM c UNION SELEC
 
 
 def _mapped_tab(year: int) -> str:
+    key = "trim(fund)" if year == 1998 else "fund"
     return _one_year(
         f"""(SELECT l.funds AS fund, l.general_fund_type AS genfundtype, l.department, m.category, l.amount
-FROM (SELECT *, trim(fund) AS tfund FROM budget_lines WHERE year = {year}) l
-JOIN (SELECT DISTINCT trim(fund) AS tfund, tab, CASE WHEN tab IS NULL THEN 'Other' ELSE 'Public Safety' END AS category FROM budget_lines WHERE department NOT LIKE 'Finance%') m
+FROM (SELECT *, {key} AS tfund FROM budget_lines WHERE year = {year}) l
+JOIN (SELECT DISTINCT {key} AS tfund, tab, CASE WHEN tab IS NULL THEN 'Other' ELSE 'Public Safety' END AS category FROM budget_lines WHERE department NOT LIKE 'Finance%') m
   ON l.tfund IS NOT DISTINCT FROM m.tfund AND l.tab IS NOT DISTINCT FROM m.tab)""",
         {1998: 2015, 1997: 2014}[year],
     )
 
 
 def _mapped_summary(year: int) -> str:
+    title = "department" if year == 1996 else "department || ' ' AS department"
     return _one_year(
-        f"(SELECT funds AS fund, general_fund_type AS genfundtype, department, {_CATEGORY} AS category, clean_amount AS amount FROM budget_lines WHERE year = {year} AND department NOT LIKE 'Finance%')",
+        f"(SELECT funds AS fund, general_fund_type AS genfundtype, {title}, {_CATEGORY} AS category, clean_amount AS amount FROM budget_lines WHERE year = {year} AND department NOT LIKE 'Finance%')",
         {1995: 2012, 1996: 2013}[year],
     )
 
@@ -363,7 +365,7 @@ def _spent_tab(year: int) -> str:
     label = _ruled(f"tab = '{_SYSTEM}' OR coalesce(contains(fund, 'Solid Waste'), false)", _TAB_SAFETY, _title("tab"))
     return f"""
 SELECT label AS fund, fund_type, {({1998: 2015, 1997: 2014})[year]} AS year, CAST(a AS DOUBLE) AS amount, CAST(sum(a) OVER () AS DOUBLE) AS year_total
-FROM (SELECT {label} AS label, funds AS fund_type, CAST(clean_amount AS DECIMAL(18,2)) AS a FROM budget_lines WHERE year = {year}) WHERE label IS NOT NULL AND a IS NOT NULL
+FROM (SELECT {label} AS label, funds AS fund_type, CAST(clean_amount AS DECIMAL(38,2)) AS a FROM budget_lines WHERE year = {year}) WHERE label IS NOT NULL AND a IS NOT NULL
 """
 
 
@@ -386,7 +388,7 @@ ORACLE["budget_expenditures"] = _sql(
     b=_spent_tab(1997),
     c=f"""
 SELECT label AS fund, fund AS fund_type, year, CAST(amount AS DOUBLE) AS amount, CAST(total AS DOUBLE) AS year_total FROM (
-  SELECT *, coalesce(sum(amount) OVER (PARTITION BY year), 0) AS total FROM (
+  SELECT *, CASE WHEN year IS NOT NULL THEN coalesce(sum(amount) OVER (PARTITION BY year), 0) END AS total FROM (
     SELECT {_SPENT_WIDE} AS label, fund, year, unnest([expenditures, 0]) AS amount FROM wide_full)) WHERE amount IS NOT NULL
 """,
     d=f"""
@@ -396,8 +398,8 @@ FROM budget_lines WHERE year = 2001
 )
 ORACLE["budget_melt_separate"] = _sql(
     """
-SELECT fund, department, CAST(year AS VARCHAR) AS year, expenditures, 0 AS appropriations FROM wide_full
-UNION ALL SELECT fund, department, CAST(year AS VARCHAR), 0, appropriations FROM wide_full
+SELECT fund, department, coalesce(CAST(year AS VARCHAR), 'prior') AS year, expenditures, 0 AS appropriations FROM wide_full
+UNION ALL SELECT fund, department, coalesce(CAST(year AS VARCHAR), 'prior'), 0, appropriations FROM wide_full
 """,
     "budget_lines",
     wide=_WIDE,
@@ -787,6 +789,27 @@ FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3)
     **_ROUND_STEPS,
 )
 ORACLE["geocode_unplaced"] = _sql("SELECT * FROM t4", "prepared", "gazetteer", **_ROUND_STEPS)
+_ANSWERED = """
+SELECT case_no, count(*) AS n FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3) GROUP BY case_no
+"""
+_REFUSED = "(SELECT case_no FROM cases WHERE case_id % 6 = 1)"
+ORACLE["geocode_to_check"] = _sql(
+    f"""
+SELECT p.* FROM prepared p LEFT JOIN answered a ON p.case_no = a.case_no
+WHERE a.n IS NULL OR p.case_no IN {_REFUSED} OR a.n > 1
+""",
+    "prepared", "gazetteer", "cases",
+    **_ROUND_STEPS,
+    answered=_ANSWERED,
+)
+ORACLE["geocode_settled"] = _sql(
+    f"""
+SELECT DISTINCT case_no, lat, lon, formatted AS full_address, {_zip("formatted")} AS zip, {_city("formatted")} AS city
+FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3) WHERE case_no NOT IN {_REFUSED}
+""",
+    "prepared", "gazetteer", "cases",
+    **_ROUND_STEPS,
+)
 STEPS["cleaned"] = (
     ("cases", "gazetteer"),
     f"""
@@ -877,6 +900,18 @@ LEFT JOIN (SELECT replace(replace(short_address, ' S ', ' S. '), 'Street ', 'Str
     "cases", "gazetteer",
 )
 
+ORACLE["location_fields_manual"] = _sql(
+    """
+SELECT incident_address, case_no, CASE WHEN place_id % 3 <> 0 THEN upper(short_address) ELSE 'old street' END AS street,
+       CASE WHEN place_id % 2 = 0 THEN 'EVANSTON' ELSE incident_city END AS city, 'IL' AS state,
+       CASE WHEN place_id % 3 <> 0 THEN 60601 ELSE age + 60600 END AS zip,
+       CASE WHEN place_id % 3 <> 0 THEN g.glat ELSE lat END AS lat, CASE WHEN place_id % 3 <> 0 THEN g.glon ELSE lon END AS lon
+FROM cases c
+LEFT JOIN (SELECT replace(replace(short_address, ' S ', ' S. '), 'Street ', 'Street#') AS raw, short_address, place_id, lat AS glat, lon AS glon FROM gazetteer) g ON c.incident_address = g.raw
+""",
+    "cases", "gazetteer",
+)
+
 # Profiles, positions, checks
 
 ORACLE["freq_sorted"] = _sql(

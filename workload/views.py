@@ -38,7 +38,7 @@ SELECT l_orderkey * 10 + l_linenumber AS id, l_shipdate AS date, CAST(year(l_shi
        CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE CAST(l_suppkey % 25 AS STRING) END AS community_area,
        CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE CAST(41.6 AS DOUBLE) + CAST((l_partkey * 7919) % 5000 AS DOUBLE) / 10000 END AS latitude,
        CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE CAST(-87.95 AS DOUBLE) + CAST((l_suppkey * 1047 + l_linenumber * 531) % 4000 AS DOUBLE) / 10000 END AS longitude
-FROM {lineitem}
+FROM {lineitem} JOIN (VALUES (1), (2)) AS d(delivery) ON d.delivery = 1 OR l_partkey % 13 = 0
 """,
     "crime_categories": """
 SELECT * FROM (VALUES ('AF','Violent'), ('AO','Violent'), ('NF','Property'), ('RF','Other'), ('RO','Other')) AS t(primary_type, crime_category)
