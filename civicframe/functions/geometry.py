@@ -125,6 +125,11 @@ def _touching(px: str, py: str, e: str) -> str:
 
 
 def inside(px: str, py: str, edge_list: str, few: Sequence[str] = ()) -> Column:
+    """``inside_sql`` as a column."""
+    return F.expr(inside_sql(px, py, edge_list, few))
+
+
+def inside_sql(px: str, py: str, edge_list: str, few: Sequence[str] = ()) -> str:
     """Point strictly within: odd crossings to the right, and on no edge.
 
     Arguments are SQL names or expressions. Edges may be given as columns in ``few``, which
@@ -136,7 +141,7 @@ def inside(px: str, py: str, edge_list: str, few: Sequence[str] = ()) -> Column:
     for e in few:
         crossed += f" + IF({_crossing(px, py, e)}, 1, 0)"
         touched = f"coalesce({_touching(px, py, e)}, false) OR {touched}"
-    return F.expr(f"({crossed}) % 2 = 1 AND NOT ({touched})")
+    return f"({crossed}) % 2 = 1 AND NOT ({touched})"
 
 
 def to_web_mercator(lon: Column | str, lat: Column | str) -> Column:

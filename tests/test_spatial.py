@@ -66,10 +66,42 @@ def test_clashing_names_are_refused(spark):
         spatial.point_in_polygon_join(df, table(spark, [("s", [SQUARE])]), ["id"])
 
 
-def test_too_many_cells_is_an_error(spark):
-    df = spark.createDataFrame([(1.0, 1.0)], "lon double, lat double")
-    with pytest.raises(Exception, match="larger cell"):
-        spatial.point_in_polygon_join(df, table(spark, [("s", [SQUARE])]), ["id"], cell=1e-9).collect()
+def test_small_cells_and_large_polygons(spark):
+    """Cells far smaller than a polygon are no trouble: it takes larger ones."""
+    big = [(x * 1e6, y * 1e6) for x, y in SQUARE]
+    comb = [(i / 2, 0.0 if i % 2 else 3.0) for i in range(101)] + [(50.0, -1.0), (0.0, -1.0)]
+    comb = comb[::-1]
+    polygons = [("s", [SQUARE]), ("big", [big]), ("comb", [comb])]
+    rng = random.Random(8)
+    points = [(i, rng.uniform(-1, 51), rng.uniform(-2, 5)) for i in range(200)] + [(500, None, 1.0), (501, -9.0, -9.0)]
+    df = spark.createDataFrame(points, "n int, lon double, lat double")
+    expected = set()
+    for i, x, y in points:
+        hits = [] if x is None else [n for n, rings in polygons if within(x, y, rings)]
+        expected |= {(i, h) for h in hits or [None]}
+    for cell in (1e-9, 0.5, None):
+        got = spatial.point_in_polygon_join(df, table(spark, polygons), ["id"], cell=cell)
+        assert sorted(((r.n, r.id) for r in got.collect()), key=repr) == sorted(expected, key=repr)
+
+
+def test_size_of_cells_is_an_upper_bound(spark):
+    """A comb's edges stand in all rows that they reach into, and are counted there."""
+    comb = [(i / 200, 0.0 if i % 2 else 3.0) for i in range(401)] + [(2.0, -1.0), (0.0, -1.0)]
+    polygons = table(spark, [("comb", [comb[::-1]]), *((f"s{i}", [[(x / 9 + i, y / 9) for x, y in SQUARE]]) for i in range(9))])
+    grid = spatial.plan_grid(polygons, ["id"])
+    edges = 0
+    for level in grid.levels:
+        cells = spatial.polygon_cells(polygons, ["id"], "rings", grid.size * 2.0**level)
+        edges = max(edges, cells.agg(F.sum(F.size("__rest"))).first()[0])
+    assert grid.cell_bytes >= 32 * edges
+
+
+def test_shuffled_form_is_salted(spark, no_broadcast, monkeypatch):
+    monkeypatch.setattr(spatial, "MAX_BROADCAST", 0)
+    df = spark.createDataFrame([(i, 2.0, 0.5) for i in range(60)], "n int, lon double, lat double")
+    got = spatial.point_in_polygon_join(df, table(spark, [("s", [SQUARE])]), ["id"], cell=0.5)
+    assert "__salt" in got._jdf.queryExecution().executedPlan().toString()
+    assert got.filter("id = 's'").count() == 60
 
 
 def areas(spark, left, right, cell):
@@ -84,8 +116,38 @@ def test_overlap_area(spark):
     assert got[("h", "b")] == pytest.approx(2 * 3 - 1 * 2)
     apart = [(x + 40, y) for x, y in SQUARE]
     assert areas(spark, [("a", [SQUARE])], [("b", [apart])], 3.0) == {}
-    beside = [(x + 4, y) for x, y in SQUARE]
-    assert areas(spark, [("a", [SQUARE])], [("b", [beside])], 3.0) == {}
+    # Polygons that touch along an edge or in a corner are pairs of area 0.
+    for dx, dy in ((4, 0), (4, 4), (-4, 1), (2, 4)):
+        beside = [(x + dx, y + dy) for x, y in SQUARE]
+        assert areas(spark, [("a", [SQUARE])], [("b", [beside])], 3.0) == {("a", "b"): 0.0}
+    corner = [(5.0, 2.0), (8.0, 1.0), (8.0, 3.0)]
+    assert areas(spark, [("a", [SQUARE])], [("b", [corner])], 3.0) == {}
+    tip = [(4.0, 2.0), (8.0, 1.0), (8.0, 3.0)]
+    assert areas(spark, [("a", [SQUARE])], [("b", [tip])], 3.0) == {("a", "b"): 0.0}
+
+
+def test_nested_and_tiny_pairs(spark):
+    inner = [(x / 8 + 1.7, y / 8 + 1.7) for x, y in SQUARE]
+    got = areas(spark, [("a", [SQUARE]), ("h", [SQUARE, HOLE])], [("in", [inner])], 1.0)
+    assert got == {("a", "in"): pytest.approx(0.25)}
+    assert areas(spark, [("in", [inner])], [("a", [SQUARE])], 1.0) == {("in", "a"): pytest.approx(0.25)}
+    for scale in (1e-6, 1e-9, 1e9):
+        small = [(x * scale + 0.1, y * scale) for x, y in SQUARE]
+        moved = [(x * scale + 0.1 + 2 * scale, y * scale) for x, y in SQUARE]
+        got = areas(spark, [("a", [small])], [("b", [moved])], None)
+        assert got == {("a", "b"): pytest.approx(8 * scale * scale, rel=1e-4)}
+    mixed = areas(spark, [("a", [SQUARE]), ("t", [[(x * 1e-5 + 1, y * 1e-5 + 1) for x, y in SQUARE]])], [("b", [SQUARE])], None)
+    assert mixed[("a", "b")] == pytest.approx(16) and mixed[("t", "b")] == pytest.approx(16e-10, rel=1e-3)
+
+
+def test_long_boundaries_meet_strip_by_strip(spark):
+    """The rows that edges make together grow with the edges, not with their product."""
+    n = 1500
+    def ring(shift):
+        return [(math.cos(2 * math.pi * i / n) + shift, math.sin(2 * math.pi * i / n)) for i in range(n)]
+    pairs = spatial._measured_pairs(table(spark, [("a", [ring(0)])]), table(spark, [("b", [ring(0.5)])]).withColumnRenamed("id", "rid"), "id", "rid", "rings")
+    half = math.acos(0.25)
+    assert pairs.first().overlap == pytest.approx(2 * half - 0.5 * math.sin(half) * 1, rel=1e-3)
 
 
 @pytest.mark.parametrize("cell", [0.4, 2.0, 30.0])
@@ -119,6 +181,10 @@ def test_largest_overlap_and_left_rows(spark):
     right = right.withColumnRenamed("id", "rid").withColumn("name", F.upper("rid"))
     got = spatial.largest_overlap_join(left, right, "id", "rid", ["name"], cell=2.0)
     assert {(r.id, r.rid, r.name) for r in got.collect()} == {("l", "r1", "R1"), ("far", None, None)}
+    touched = table(spark, [("t", [[(x - 3.5, y) for x, y in SQUARE]]), ("u", [[(x - 4, y) for x, y in SQUARE]])])
+    only = right.filter("rid = 'r1'").unionByName(table(spark, [("r0", [SQUARE])]).select(F.col("id").alias("rid"), "rings", F.lit("x").alias("name")))
+    best = {r.id: (r.rid, round(r.overlap, 9)) for r in spatial.largest_overlap(touched, only, "id", "rid").collect()}
+    assert best == {"t": ("r0", 2.0), "u": ("r0", 0.0)}
     every = spatial.polygon_overlap_join(left, right, "id", "rid", cell=2.0)
     assert sorted((r.id, str(r.rid)) for r in every.collect()) == [("far", "None"), ("l", "r1"), ("l", "r2")]
 
