@@ -299,7 +299,7 @@ def jaccard_join(
         .select("id", "met", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     )
     together = (
-        texts.join(dealt, "id")
+        texts.join(dealt.hint("merge"), "id")  # what met grows with the corpus: never broadcast
         .select("met", "lo", "hi", "block", "id", "text")
         .repartition(tasks(docs.sparkSession), "met", "lo", "hi")
         .sortWithinPartitions("met", "lo", "hi")
