@@ -16,7 +16,7 @@ from .store import components, stored, tasks
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _SHIFT = np.uint64(31)
 #: Words whose hash a task remembers, at most.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class Words(dict):
@@ -230,7 +230,7 @@ def jaccard_join(
                 if len(own):
                     held.append((own, int(ids[i])))
                     room += len(own)
-                if room > 4_000_000:
+                if room > 1_500_000:
                     yield merged(held)
                     held, room = [], 0
             if held:
