@@ -44,9 +44,37 @@ HAVING sum(CASE WHEN (e.ay > p.py) <> (e.byy > p.py) AND p.px < (e.bx - e.ax) *
 """
 
 
+def _turn(p: str, x: str, y: str) -> str:
+    return f"(({p}.bx - {p}.ax) * ({y} - {p}.ay) - ({p}.byy - {p}.ay) * ({x} - {p}.ax))"
+
+
 def _overlaps(left: str, lkey: str, right: str, rkey: str) -> str:
-    """Pairs of polygons with the area they share."""
+    """Pairs of polygons with a point in common, and the area they share.
+
+    Whether they have one is found from edges that meet and vertices inside, not from the area.
+    """
+    box = "min(least(ax, bx)) AS x0, max(greatest(ax, bx)) AS x1, min(least(ay, byy)) AS y0, max(greatest(ay, byy)) AS y1, first(ax ORDER BY ax, ay) AS vx, first(ay ORDER BY ax, ay) AS vy"
+    meets = (
+        f"greatest(a.ax, a.bx) >= least(b.ax, b.bx) AND greatest(b.ax, b.bx) >= least(a.ax, a.bx)"
+        f" AND greatest(a.ay, a.byy) >= least(b.ay, b.byy) AND greatest(b.ay, b.byy) >= least(a.ay, a.byy)"
+        f" AND {_turn('a', 'b.ax', 'b.ay')} * {_turn('a', 'b.bx', 'b.byy')} <= 0 AND {_turn('b', 'a.ax', 'a.ay')} * {_turn('b', 'a.bx', 'a.byy')} <= 0"
+    )
+
+    def held(own: str, edges: str, key: str, other: str) -> str:
+        return f"""
+SELECT q.lid, q.rid FROM near q JOIN {edges} e ON e.{key} = q.{other}
+GROUP BY q.lid, q.rid HAVING sum(CASE WHEN (e.ay > q.{own}y) <> (e.byy > q.{own}y) AND q.{own}x < (e.bx - e.ax) * (q.{own}y - e.ay) / (e.byy - e.ay) + e.ax THEN 1 ELSE 0 END) % 2 = 1
+"""
+
     return f"""
+WITH near AS (
+  SELECT l.{lkey} AS lid, r.{rkey} AS rid, least(l.y0, r.y0) AS base, l.vx AS lx, l.vy AS ly, r.vx AS rx, r.vy AS ry
+  FROM (SELECT {lkey}, {box} FROM {left} GROUP BY {lkey}) l JOIN (SELECT {rkey}, {box} FROM {right} GROUP BY {rkey}) r
+    ON l.x0 <= r.x1 AND r.x0 <= l.x1 AND l.y0 <= r.y1 AND r.y0 <= l.y1
+), common AS (
+  SELECT DISTINCT lid, rid FROM near JOIN {left} a ON a.{lkey} = lid JOIN {right} b ON b.{rkey} = rid WHERE {meets}
+  UNION ({held("l", right, rkey, "rid")}) UNION ({held("r", left, lkey, "lid")})
+), areas AS (
 SELECT lid, rid, sum(sgn * (hi - lo) * CASE WHEN (a0 - b0) * (a1 - b1) >= 0 THEN (least(a0, b0) + least(a1, b1)) / 2
     ELSE (t * (least(a0, b0) + a0 + t * (a1 - a0)) + (1 - t) * (a0 + t * (a1 - a0) + least(a1, b1))) / 2 END) AS overlap
 FROM (
@@ -54,16 +82,14 @@ FROM (
     SELECT *, aay + (aby - aay) * (lo - aax) / (abx - aax) - base AS a0, aay + (aby - aay) * (hi - aax) / (abx - aax) - base AS a1,
            bay + (bby - bay) * (lo - bax) / (bbx - bax) - base AS b0, bay + (bby - bay) * (hi - bax) / (bbx - bax) - base AS b1
     FROM (
-      SELECT l.{lkey} AS lid, r.{rkey} AS rid, a.ax AS aax, a.ay AS aay, a.bx AS abx, a.byy AS aby, b.ax AS bax, b.ay AS bay, b.bx AS bbx, b.byy AS bby,
-             least(l.y0, r.y0) AS base, greatest(least(a.ax, a.bx), least(b.ax, b.bx)) AS lo, least(greatest(a.ax, a.bx), greatest(b.ax, b.bx)) AS hi,
+      SELECT lid, rid, base, a.ax AS aax, a.ay AS aay, a.bx AS abx, a.byy AS aby, b.ax AS bax, b.ay AS bay, b.bx AS bbx, b.byy AS bby,
+             greatest(least(a.ax, a.bx), least(b.ax, b.bx)) AS lo, least(greatest(a.ax, a.bx), greatest(b.ax, b.bx)) AS hi,
              CASE WHEN (a.bx < a.ax) = (b.bx < b.ax) THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sgn
-      FROM (SELECT {lkey}, min(ax) AS x0, max(ax) AS x1, min(ay) AS y0, max(ay) AS y1 FROM {left} GROUP BY {lkey}) l
-      JOIN (SELECT {rkey}, min(ax) AS x0, max(ax) AS x1, min(ay) AS y0, max(ay) AS y1 FROM {right} GROUP BY {rkey}) r
-        ON l.x0 < r.x1 AND r.x0 < l.x1 AND l.y0 < r.y1 AND r.y0 < l.y1
-      JOIN {left} a ON a.{lkey} = l.{lkey} JOIN {right} b ON b.{rkey} = r.{rkey}
+      FROM near JOIN {left} a ON a.{lkey} = lid JOIN {right} b ON b.{rkey} = rid
     ) WHERE lo < hi
   )
-) GROUP BY lid, rid HAVING overlap > 1e-12
+) GROUP BY lid, rid)
+SELECT c.lid, c.rid, greatest(coalesce(overlap, 0), 0) AS overlap FROM common c LEFT JOIN areas a ON a.lid = c.lid AND a.rid = c.rid
 """
 
 
