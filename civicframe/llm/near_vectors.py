@@ -13,7 +13,7 @@ from .jaccard_join import Forest
 from .store import components, stored, tasks
 
 #: Radii of the levels below a block's root, each half of the one before.
-RADII = (1.0, 0.5, 0.25, 0.125)
+RADII = (0.5, 0.25, 0.125)
 #: Distances and bounds are compared with this much to spare; the decision on a pair is exact.
 EPS = 1e-6
 
@@ -122,16 +122,20 @@ def dual(a: Tree, b: Tree, threshold: float, same: bool) -> tuple[np.ndarray, np
 
     rows_a, rows_b = np.zeros(len(a.x)), np.zeros(len(b.x))
 
-    def rows(lo: int, hi: int, lo2: int, hi2: int) -> None:
-        for s in range(lo, hi, 1024):
-            e = min(s + 1024, hi)
-            near = a.x[s:e] @ b.x[lo2:hi2].T >= threshold
-            if same and lo == lo2:
-                near[np.arange(e - s), np.arange(s - lo, e - lo)] = False
-                rows_a[s:e] += near @ b.weight[lo2:hi2]
-            elif near.any():
-                rows_a[s:e] += near @ b.weight[lo2:hi2]
-                rows_b[lo2:hi2] += a.weight[s:e] @ near
+    def rows(lo: int, hi: int, others: np.ndarray) -> None:
+        """Rows ``lo`` to ``hi`` of ``a`` against the rows ``others`` of ``b``."""
+        for s in range(lo, hi, 256):
+            e = min(s + 256, hi)
+            near = a.x[s:e] @ b.x[others].T >= threshold
+            itself = (others >= lo) & (others < hi) & same
+            if same:
+                near &= others[None, :] != np.arange(s, e)[:, None]
+            hit = near.any(0)
+            if not hit.any():
+                continue
+            near, column, itself = near[:, hit], others[hit], itself[hit]
+            rows_a[s:e] += near @ b.weight[column]
+            rows_b[column[~itself]] += a.weight[s:e] @ near[:, ~itself]
             left = near.any(1)
             while left.any():
                 group = np.zeros(e - s, bool)
@@ -145,34 +149,42 @@ def dual(a: Tree, b: Tree, threshold: float, same: bool) -> tuple[np.ndarray, np
                 first = s + int(group.argmax())
                 for i in np.flatnonzero(group):
                     forest.join(first, s + int(i))
-                for j in np.flatnonzero(columns):
-                    forest.join(first, lo2 + int(j) + shift)
+                for j in column[columns]:
+                    forest.join(first, int(j) + shift)
                 left &= ~group
 
-    def children(tree: Tree, level: int, lo: int, hi: int) -> tuple[int, int]:
-        start = tree.levels[level][0]
-        return int(np.searchsorted(start, lo)), int(np.searchsorted(start, hi))
-
-    waiting = [(0, 0, 0)]
-    while waiting:
-        level, i, j = waiting.pop()
-        (sa, ea, ra), (sb, eb, rb) = a.levels[level], b.levels[level]
-        if level == len(RADII):
-            rows(int(sa[i]), int(ea[i]), int(sb[j]), int(eb[j]))
-            continue
-        (na, ma), (nb, mb) = children(a, level + 1, sa[i], ea[i]), children(b, level + 1, sb[j], eb[j])
-        (sa, ea, ra), (sb, eb, rb) = a.levels[level + 1], b.levels[level + 1]
-        for s in range(na, ma, 512):
-            e = min(s + 512, ma)
-            gap = apart(a.x[sa[s:e]], b.x[sb[nb:mb]])
-            reach = ra[s:e, None] + rb[None, nb:mb]
-            near = gap <= reach + t + EPS
-            inside = gap + reach < t - EPS
-            if same and i == j:  # each unordered pair of nodes once
-                near &= np.arange(s, e)[:, None] <= np.arange(nb, mb)[None, :]
-            for p, q in np.argwhere(near & inside):
-                all_linked(int(sa[s + p]), int(ea[s + p]), int(sb[nb + q]), int(eb[nb + q]))
-            waiting += [(level + 1, s + int(p), nb + int(q)) for p, q in np.argwhere(near & ~inside)]
+    def members(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """All numbers of the given ranges."""
+        size = end - start
+        return np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+
+    # A node of `a` with all nodes of `b` that it has to be compared with.
+    waiting = [(0, np.zeros(1, np.int64))]
+    for level in range(len(RADII)):
+        (sa, ea, _), (sb, eb, _) = a.levels[level], b.levels[level]
+        (ca, da, ra), (cb, db, rb) = a.levels[level + 1], b.levels[level + 1]
+        first_a, last_a = np.searchsorted(ca, sa), np.searchsorted(ca, ea)
+        first_b, last_b = np.searchsorted(cb, sb), np.searchsorted(cb, eb)
+        below = []
+        for i, others in waiting:
+            theirs = members(first_b[others], last_b[others])
+            centres = b.x[cb[theirs]]
+            for s in range(first_a[i], last_a[i], 256):
+                e = min(s + 256, last_a[i])
+                gap = apart(a.x[ca[s:e]], centres)
+                reach = ra[s:e, None] + rb[None, theirs]
+                near = gap <= reach + t + EPS
+                inside = gap + reach < t - EPS
+                if same:  # each unordered pair of nodes once
+                    near &= np.arange(s, e)[:, None] <= theirs[None, :]
+                for p, q in np.argwhere(near & inside):
+                    all_linked(int(ca[s + p]), int(da[s + p]), int(cb[theirs[q]]), int(db[theirs[q]]))
+                near &= ~inside
+                below += [(s + int(p), theirs[near[p]]) for p in np.flatnonzero(near.any(1))]
+        waiting = below
+    (sa, ea, _), (sb, eb, _) = a.levels[-1], b.levels[-1]
+    for i, others in waiting:
+        rows(int(sa[i]), int(ea[i]), members(sb[others], eb[others]))
     got_a, got_b = np.cumsum(links_a[:-1]) + rows_a, np.cumsum(links_b[:-1]) + rows_b
     if same:
         return got_a + got_b - np.cumsum(with_itself[:-1]) * a.weight, got_b[:0], forest
