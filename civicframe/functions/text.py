@@ -71,8 +71,10 @@ def extract_all(c: Column | str, pattern: str) -> Column:
 
 
 def parse_zip(c: Column | str) -> Column:
-    """Five-digit code of a formatted address: the only match, else the last of several."""
-    return F.try_element_at(extract_all(c, "[0-9]{5}"), F.lit(-1))
+    """Five-digit code of a formatted address: the only match, else all after the first, a blank between them."""
+    codes = extract_all(c, "[0-9]{5}")
+    several = F.array_join(F.slice(codes, F.lit(2), F.greatest(F.size(codes), F.lit(1))), " ")
+    return F.when(F.size(codes) > 1, several).otherwise(F.get(codes, 0))
 
 
 def parse_city(c: Column | str) -> Column:

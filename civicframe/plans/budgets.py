@@ -47,8 +47,6 @@ EXPENDITURE_SCHEMA = schema(
     fund="string", fund_type="string", year="int", amount="double", year_total="double"
 )
 
-# Names the amount column has in the city datasets, apart from ``amount``.
-CITY_AMOUNT_NAMES = ["X_ordinance_amount_", "appropriation_ordinance"]
 # Years whose keys come padded with blanks.
 PADDED_YEARS = (2013, 2015)
 # Columns of the county time series that are not used.

@@ -79,6 +79,11 @@ SEX_LABELS = {"males": "Male", "females": "Female"}
 UNITS = ["occupied_units", "vacant_units", "owner_occupied", "renter_occupied"]
 
 
+def named_counts(coded: DataFrame) -> DataFrame:
+    """Census counts under their names instead of their codes; other columns stay."""
+    return coded.withColumnsRenamed(CENSUS_NAMES)
+
+
 def census_long(
     census: DataFrame, zips: DataFrame, spans: Mapping[int, tuple[int, int]] = CENSUS_SPANS
 ) -> DataFrame:

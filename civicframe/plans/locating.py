@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from ..operators.geocoding import (
     with_zip_and_city,
 )
 from ..operators.groups import first_per_group
-from ..operators.joins import anti_join, rename_clashes, spread_join
+from ..operators.joins import rename_clashes, spread_join
 from ..operators.reshape import flatten_candidates
 
 # Bounds and reference point of the geocoder calls, as longitude and latitude.
@@ -109,13 +110,16 @@ def confirmed_locations(
     fallback: Round,
     strict: bool = False,
 ) -> DataFrame:
-    """Accepted answers of the rounds, the cleaned locations, and of the second provider for the rest."""
-    addresses = prepare_addresses(cases)
-    placed = accepted_locations(geocode_rounds(addresses, rounds, _accept(strict)))
-    confirmed = union_distinct(placed, with_zip_and_city(cleaned))
-    rest = anti_join(addresses, confirmed, "case_no")
-    last = accepted_locations(geocode_rounds(rest, [fallback], _accept(strict)))
-    return union_distinct(confirmed, last)
+    """Accepted answers of the rounds, the cleaned locations, and of the second provider for the rest.
+
+    The second provider is one more round, asked only about cases without a cleaned location, so
+    the rounds are worked out once.
+    """
+    known = cleaned.select("case_no").distinct().withColumn("__cleaned", F.lit(True))
+    addresses = spread_join(prepare_addresses(cases), known, "case_no", "left")
+    last = replace(fallback, query=F.when(F.col("__cleaned").isNull(), fallback.query))
+    located = geocode_rounds(addresses, [*rounds, last], _accept(strict))
+    return union_distinct(accepted_locations(located), with_zip_and_city(cleaned))
 
 
 def address_requests(addresses: DataFrame, template: str) -> DataFrame:

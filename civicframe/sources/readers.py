@@ -166,9 +166,16 @@ def response_rows(df: DataFrame, key: str, response: Column) -> DataFrame:
     )
 
 
-def read_geocode_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Responses kept as one JSON map of key to response per file."""
-    text = spark.read.text(path, wholetext=True)
-    entries = F.explode(F.from_json("value", f"map<string,{RESPONSE_TYPE}>"))
-    rows = text.select(entries.alias("key", "response"))
-    return response_rows(rows, "key", F.col("response"))
+def response_entries(df: DataFrame, text: str) -> DataFrame:
+    """The responses of JSON maps of key to response, one row each."""
+    entries = F.explode(F.from_json(text, f"map<string,{RESPONSE_TYPE}>"))
+    return response_rows(df.select(entries.alias("key", "response")), "key", F.col("response"))
+
+
+def read_geocode_responses(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    """Responses kept as JSON maps of key to response: one per file, or one per line.
+
+    A file that is one map is one value and one task, of 2 GB at most. Land large collections as
+    lines, one map of any size each, and read them with ``by_line``: their files are split.
+    """
+    return response_entries(spark.read.text(path, wholetext=not by_line), "value")

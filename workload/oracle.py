@@ -527,7 +527,7 @@ LEFT JOIN a ON k.case_no IS NOT DISTINCT FROM a.case_no LEFT JOIN z ON k.case_no
 """,
     "named_places", "manual_places", "api_places", "case_zips",
     n="SELECT case_no, count(*) AS c FROM named_places WHERE case_no IS NOT NULL GROUP BY 1",
-    m="SELECT case_no, count(*) AS c FROM manual_places GROUP BY 1",
+    m="SELECT case_no, count(*) AS c FROM manual_places WHERE case_no IS NOT NULL GROUP BY 1",
     a="SELECT case_no, count(*) AS c FROM api_places GROUP BY 1",
     z="SELECT DISTINCT zip AS case_no, 1 AS c FROM case_zips",
 )
@@ -798,7 +798,8 @@ _CITY = r"regexp_extract_all({f}, ',\s[A-Za-z\s]+,\s')"
 
 
 def _zip(f: str) -> str:
-    return f"list_extract({_ZIP.replace('{f}', f)}, -1)"
+    codes = _ZIP.replace("{f}", f)
+    return f"CASE WHEN len({codes}) > 1 THEN array_to_string(({codes})[2:], ' ') ELSE list_extract({codes}, 1) END"
 
 
 def _city(f: str) -> str:
@@ -926,6 +927,19 @@ LEFT JOIN (SELECT replace(replace(short_address, ' S ', ' S. '), 'Street ', 'Str
     "cases", "gazetteer",
 )
 
+ORACLE["response_maps"] = _sql(
+    """
+SELECT md5(CAST(c_custkey AS VARCHAR)) AS "HASH_KEY", CAST(c_custkey AS VARCHAR) || ' MAIN' AS "RAW",
+       1 + CASE WHEN c_custkey % 5 = 0 THEN 0 WHEN c_custkey % 7 = 0 THEN 1 ELSE 2 END AS candidates FROM customer
+"""
+)
+ORACLE["headers_repaired"] = _sql(
+    'SELECT case_id AS "X_id", age AS "Age..years.", sex AS "...3", lat AS "lat", lon AS "lat.1" FROM cases', "cases"
+)
+ORACLE["geojson_rings"] = _sql(
+    "SELECT geoid10, round(area, 8) AS area, 1 AS rings FROM centres", "tracts_e", centres=_CENTROID
+)
+ORACLE["census_named"] = _sql("SELECT zcta, datayear, total_pop, pop_race_white FROM census", "census")
 ORACLE["location_fields_manual"] = _sql(
     """
 SELECT incident_address, case_no, CASE WHEN place_id % 3 <> 0 THEN upper(short_address) ELSE 'old street' END AS street,

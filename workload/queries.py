@@ -29,6 +29,7 @@ from civicframe.plans import (
     opioid,
     profile,
 )
+from civicframe.sources import readers, writers
 from civicframe.sources.readers import RESPONSE_TYPE, response_rows
 from civicframe.sources.versions import SourceVersion
 
@@ -916,6 +917,34 @@ def location_fields_merged(i: Inputs) -> DataFrame:
     return locating.merge_location_fields(source, chosen)
 
 
+@query
+def response_maps(i: Inputs) -> DataFrame:
+    texts = i.view("responses").select(
+        F.concat(F.lit('{"'), "hash_key", F.lit('":'), "response", F.lit("}")).alias("value")
+    )
+    rows = readers.response_entries(texts, "value")
+    return rows.withColumn("candidates", F.size("candidates"))
+
+
+@query
+def headers_repaired(i: Inputs) -> DataFrame:
+    source = i.view("cases").select("case_id", "age", "sex", "lat", "lon")
+    return columns.repair_names(source.toDF("_id", "Age (years)", "_c2", "lat", "lat"))
+
+
+@query
+def geojson_rings(i: Inputs) -> DataFrame:
+    texts = i.polygons("tracts").select("geoid10", F.to_json(writers.geojson_geometry("rings")).alias("shape"))
+    shapes = readers.geometry_column(texts, "shape")
+    return shapes.select("geoid10", F.round(geometry.polygon_area("rings"), 8).alias("area"), F.size("rings").alias("rings"))
+
+
+@query
+def census_named(i: Inputs) -> DataFrame:
+    coded = i.view("census").select("zcta", "datayear", C("total_pop").alias("CL8AA"), C("pop_race_white").alias("CM1AA"))
+    return demographics.named_counts(coded)
+
+
 @query
 def location_fields_manual(i: Inputs) -> DataFrame:
     source = i.view("cases").select(

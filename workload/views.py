@@ -80,7 +80,7 @@ SELECT 'Y' || CAST(d.datayear AS STRING) AS geogyear, d.datayear AS datayear, CA
 FROM {supplier} JOIN (VALUES (1990), (2000), (2010)) AS d(datayear) ON d.datayear > 0
 """,
     "case_zips": """
-SELECT CASE WHEN s_nationkey = 3 THEN NULL ELSE CAST(60600 + s_suppkey AS STRING) END AS zip FROM {supplier} WHERE s_acctbal > 0
+SELECT CASE WHEN s_nationkey = 3 OR s_acctbal <= 0 THEN NULL ELSE CAST(60600 + s_suppkey AS STRING) END AS zip FROM {supplier}
 """,
     "gazetteer": """
 SELECT p_partkey AS place_id,
@@ -97,13 +97,13 @@ FROM {part}
 SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'ME' || CAST(CAST(year(o_orderdate) AS INT) AS STRING) || '-' || lpad(CAST(o_orderkey AS STRING), 12, '0') END AS case_no,
        CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(41.6 AS DOUBLE) + CAST((o_orderkey * 3) % 5000 AS DOUBLE) / 10000 END AS lat,
        CAST(-87.95 AS DOUBLE) + CAST((o_orderkey * 3) % 4000 AS DOUBLE) / 10000 AS lon
-FROM {orders} WHERE o_orderpriority IN ('1-URGENT', '5-LOW')
+FROM {orders}
 """,
     "manual_places": """
-SELECT 'ME' || CAST(CAST(year(o_orderdate) AS INT) AS STRING) || '-' || lpad(CAST(o_orderkey AS STRING), 12, '0') AS case_no,
+SELECT CASE WHEN o_orderstatus = 'F' THEN 'ME' || CAST(CAST(year(o_orderdate) AS INT) AS STRING) || '-' || lpad(CAST(o_orderkey AS STRING), 12, '0') END AS case_no,
        CAST(41.6 AS DOUBLE) + CAST((o_orderkey * 11) % 5000 AS DOUBLE) / 10000 AS lat,
        CAST(-87.95 AS DOUBLE) + CAST((o_orderkey * 11) % 4000 AS DOUBLE) / 10000 AS lon
-FROM {orders} WHERE o_orderstatus = 'F'
+FROM {orders}
 """,
     "api_places": """
 SELECT 'ME' || CAST(CAST(year(o_orderdate) AS INT) AS STRING) || '-' || lpad(CAST(o_orderkey AS STRING), 12, '0') AS case_no,
