@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 from pathlib import Path
 
@@ -15,7 +16,7 @@ from .jaccard_join import jaccard_join
 from .mixing import mix
 from .near_vectors import near_vectors
 from .packing import pack
-from .secret_scan import BASE, digest, secret_scan
+from .secret_scan import BASE, MORE, Rule, digest, secret_scan
 from .toxicity import toxicity
 from .url_filter import url_filter
 
@@ -126,3 +127,64 @@ def op4_interpolation(spark: SparkSession, folder: str) -> DataFrame:
     fold = F.floor(F.crc32(F.col("doc_id").cast("string")) / 7) % 8 == 0
     scored = interpolated(docs, ~held_out(7), fold)
     return scored.withColumn("held_out", ~F.col("trained")).drop("trained")
+
+
+#: Components of pairs ``links(i, j)``, both ways, over ``nodes(id)``: the smallest id that can be reached.
+_REACHED = """
+reached(id, node) AS (
+    SELECT id, id FROM nodes
+    UNION
+    SELECT r.id, l.j FROM reached r JOIN links l ON r.node = l.i
+), least_id AS (SELECT id, min(node) AS component_id FROM reached GROUP BY id)
+"""
+
+ORACLE["op1_near_vectors"] = f"""
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.95
+), nodes AS (SELECT vec_id AS id FROM embeddings), {_REACHED}
+SELECT id AS vec_id, (SELECT count(*) FROM links WHERE i = id) AS n_links, component_id, component_id = id AS kept FROM least_id
+"""
+
+ORACLE["op10_jaccard_join"] = f"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' '))) END AS s FROM words
+), each AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+), links AS (
+    SELECT a.doc_id AS i, b.doc_id AS j FROM each a JOIN each b ON a.x = b.x AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), nodes AS (SELECT doc_id AS id FROM documents), {_REACHED}
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN least_id ON id = doc_id
+"""
+
+
+def _spans_sql(rank: int, rule: Rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return f"""
+SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, p[k] AS start, m[k] AS stop, g[k] AS g FROM (
+    SELECT doc_id, unnest(range(1, len(g) + 1)) AS k, g,
+        list_transform(range(1, len(g) + 1), lambda k: coalesce(list_sum(list_transform(b[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0)) AS p,
+        list_transform(range(1, len(g) + 1), lambda k: coalesce(list_sum(list_transform(b[1:k], lambda x: length(x))), 0) + list_sum(list_transform(m[1:k], lambda x: length(x)))) AS m
+    FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS b, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {rule.group}) AS g
+          FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WHERE regexp_matches(t, '{pattern}')))
+WHERE length(g[k]) >= {rule.least}
+"""
+
+
+_BASE_KINDS = ", ".join(f"'{r.kind}'" for r in BASE)
+ORACLE["op8_secret_scan"] = f"""
+WITH spans AS ({" UNION ALL ".join(_spans_sql(k, r) for k, r in enumerate(BASE + MORE))}),
+named AS (SELECT doc_id, kind, start, rank, kind || ':' || CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR) AS s FROM spans)
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)},
+    sha256(coalesce(string_agg(s, ',' ORDER BY start, rank) FILTER (kind IN ({_BASE_KINDS})), '')) AS base_sha256,
+    coalesce(string_agg(s, ',' ORDER BY start, rank), '') AS spans
+FROM documents d LEFT JOIN named n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
