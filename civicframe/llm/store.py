@@ -43,9 +43,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Rows ``(id, component_id)`` for every id in ``edges(a, b)``; the smallest id names a component.
 
     Large-star and small-star take turns until the edges stay the same. Both find a node's smallest
-    neighbour by an aggregate that starts before the shuffle; the join that follows is a plain
-    equi-join whose hot keys the adaptive planner may split. ``rounds`` only ends a run that a bug
-    keeps from settling.
+    neighbour by an aggregate that starts before the shuffle. It is written before the join, so that
+    both sides of the join are plain shuffles, of which the adaptive planner splits the partition
+    of a node with very many neighbours. ``rounds`` only ends a run that a bug keeps from settling.
     """
     edges = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
@@ -57,9 +57,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             )
         before = now
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large)
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).where("a != b")
         edges = stored(small.distinct())
     raise RuntimeError(f"components did not settle in {rounds} rounds")
