@@ -12,14 +12,19 @@ from pyspark.sql import functions as F
 BLANK = r"[\x20\x09-\x0D]"
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; a single-machine session may do without."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
+        context = spark.sparkContext
+        if context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="civicframe-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = tempfile.mkdtemp(prefix="civicframe-")
+        folder = _OWN[context.applicationId]
     return folder.rstrip("/")
 
 
