@@ -49,6 +49,7 @@ def spread(data: bytes, kind) -> np.ndarray:
 
 
 def sorted_squeezed(x: np.ndarray) -> bytes:
+    """Numbers that mostly ascend, as differences; any others come back right too."""
     return squeezed(np.diff(x, prepend=np.uint64(0)))
 
 
@@ -162,8 +163,12 @@ def interpolated(
             stream = np.concatenate(words)
             lengths = np.array(about[1])
             part = np.repeat(np.array(about[2], np.uint8), lengths)
-            vocabulary, rank = np.unique(stream, return_inverse=True)
-            found = [(PACK, number, 0, 0, number % parts, squeezed(rank.astype(np.uint32)), vocabulary.tobytes(), meta_of(*about), None)]
+            vocabulary, rank, often = np.unique(stream, return_inverse=True, return_counts=True)
+            # Frequent words get small numbers, which take less room.
+            by_count = np.lexsort((vocabulary, -often))
+            code = np.empty(len(by_count), np.uint32)
+            code[by_count] = np.arange(len(by_count))
+            found = [(PACK, number, 0, 0, number % parts, squeezed(code[rank]), sorted_squeezed(vocabulary[by_count]), meta_of(*about), None)]
             grams, place = np.unique(pairs_of(stream, starts_of(lengths)), return_inverse=True)
             # The mark before the text is a context, seen once per document.
             docs_in = [sum(p >= 1 for p in about[2]), sum(p == 1 for p in about[2])]
@@ -234,15 +239,21 @@ def interpolated(
                 for order in (1, 2)
                 for k in (0, 1)
             }
-            vocabulary = np.frombuffer(pack[1], np.uint64)
+            vocabulary = sorted_spread(pack[1])
             stream = vocabulary[spread(pack[0], np.uint32)]
-            _, lengths, _, _ = meta(pack[2])
+            _, lengths, part, _ = meta(pack[2])
             _, place = np.unique(pairs_of(stream, starts_of(lengths)), return_inverse=True)
-            spot = int(np.searchsorted(vocabulary, START))
-            ones = [totals[1, k] for k in (0, 1)]
-            start = np.array([t[spot] for t in ones], np.uint64)
-            ones = np.concatenate([start, *(np.delete(t, spot) for t in ones)])
-            twos = np.concatenate([totals[2, k][place] for k in (0, 1)])
+            # Totals come in the order of fingerprints, with the start's among them.
+            by_name = np.argsort(vocabulary)
+            spot = int(np.searchsorted(vocabulary[by_name], START))
+            ones = [np.array([totals[1, k][spot] for k in (0, 1)], np.uint64)]
+            for k in (0, 1):
+                own = np.empty(len(vocabulary), np.uint64)
+                own[by_name] = np.delete(totals[1, k], spot)
+                ones.append(own)
+            ones = np.concatenate(ones)
+            # Counts without the held-out part are needed where that part is scored, and only there.
+            twos = np.concatenate([totals[2, 0][place], totals[2, 1][place[np.repeat(part == 2, lengths)]]])
             return table([(PACK, number, 0, 0, number, pack[0], squeezed(ones), pack[2], squeezed(twos))])
 
         for b in batches:
@@ -270,12 +281,15 @@ def interpolated(
                 starts = starts_of(lengths)
                 size, tokens = (len(ones) - 2) // 2, len(rank)
                 counts = []
+                held = np.zeros(tokens)
+                held[np.repeat(part == 2, lengths)] = twos[tokens:]
+                bigrams = (twos[:tokens].astype(float), held)
                 for k in (0, 1):
                     one = ones[2 + k * size : 2 + (k + 1) * size][rank].astype(float)
                     before = np.empty(tokens)
                     before[1:] = one[:-1]
                     before[starts] = float(ones[k])
-                    counts.append((twos[k * tokens : (k + 1) * tokens].astype(float), before, one))
+                    counts.append((bigrams[k], before, one))
                 yield ids, lengths, part, known, starts, counts
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
