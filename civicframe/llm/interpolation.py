@@ -24,7 +24,7 @@ from .store import stored, tasks
 #: Fingerprints of the marks before a text and after it; words hash into the same range.
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Tokens of a block, about.
-BLOCK = 2_000_000
+BLOCK = 3_000_000
 #: Context counts fall into buckets by powers of two up to this one.
 BUCKETS = 18
 #: Width of the bins, in natural logarithms, in which held-out tokens are counted for the mixture weights.
