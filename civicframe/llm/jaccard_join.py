@@ -285,9 +285,11 @@ def jaccard_join(
     known_sets = sets.where("n > 0 and id is not null")
     first = known_sets.groupBy("digest").agg(F.min("id").alias("first"), F.first("n").alias("n"))
     keyed = texts.where("id is not null").mapInArrow(route, "key long, id long")
-    # Neighbours in the order of ids under one key: as many rows as ids, however many share the key.
-    chained = keyed.selectExpr("key", "id", "lag(id) over (partition by key order by id) as before")
-    met = components(chained.where("before is not null").select(F.col("before").alias("a"), F.col("id").alias("b")))
+    # Each id with the smallest one under its key: as many rows as ids, however many share the key.
+    starred = keyed.selectExpr(
+        "id as b", "first_value(id) over (partition by key order by id rows between unbounded preceding and current row) as a"
+    )
+    met = components(starred.where("a != b"))
     met = met.withColumnRenamed("component_id", "met").join(known_sets.select("id", "digest"), "id").join(first, "digest")
     met = stored(met.select(F.col("first").alias("id"), "met", "n").distinct())
     groups = met.groupBy("met").agg(F.count("id").alias("rows"), F.sum("n").alias("all")).where("rows > 1")
