@@ -62,18 +62,28 @@ def level_tops(num: int, den: int) -> list[int]:
     return tops
 
 
+#: Parts of a class, of which a key leaves out one.
+PARTS = 3
+
+
+@cache
 def classes(level: int, num: int, den: int) -> tuple[int, int]:
-    """Number of classes at a level and how many of them a set may have empty without telling."""
+    """For a level: the number of classes, and how many of them a set need not be told by."""
     differ = 2 * level_tops(num, den)[level] * (den - num) // (den + num)
-    spare = differ // 100 + 2 if differ else 0
-    return differ + 1 + spare, spare
+    least = differ // 2 + 1
+    spare = -(-least // 5) if differ else 0
+    return least + spare, spare
 
 
 def routing_keys(found: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys such that two different sets of similarity ``num / den`` or more share one at least.
 
-    Linked sets of a level differ in at most d shingles. Dealt into d + 1 classes (and some spare
-    ones), they agree in whole classes; a key is the fingerprint of a class.
+    Linked sets of a level differ in at most d shingles. Dealt into d // 2 + 1 + e classes, they
+    differ in one shingle at most in e + 1 classes or more; of a class's three parts two then agree,
+    and a key is the fingerprint of two parts. Texts that only share a passage agree in small keys,
+    so a set leaves out keys below a size that it chooses: the largest for which at most e of its
+    classes have a smaller key. Of the e + 1 classes one has none in the set that chose the larger
+    size, and keys that agree are of one size, so a common key is left.
     """
     n = len(found)
     if n * den < num * (n + 1):  # no other set can be near enough
@@ -82,12 +92,14 @@ def routing_keys(found: np.ndarray, num: int, den: int) -> np.ndarray:
     keys = []
     for level in (own, own + 1):
         m, spare = classes(level, num, den)
-        at = ((found >> np.uint64(17)) % np.uint64(m)).astype(np.int64)
-        low = np.bincount(at, (found & np.uint64(0xFFFFFFFF)).astype(float), m).astype(np.uint64)
-        high = np.bincount(at, (found >> np.uint64(32)).astype(float), m).astype(np.uint64)
-        key = mixed(mixed(low * _MIX[0] + high) + (np.arange(m, dtype=np.uint64) * _MIX[2] + np.uint64(level)))
-        full = np.bincount(at, minlength=m) > 0
-        keys.append(key[full] if m - full.sum() <= spare else key)
+        at = ((found >> np.uint64(17)) % np.uint64(m * PARTS)).astype(np.int64)
+        # Sums of halves of the fingerprints are exact in doubles.
+        sums = [np.bincount(at, w, m * PARTS).reshape(m, PARTS) for w in (
+            (found & np.uint64(0xFFFFFFFF)).astype(float), (found >> np.uint64(32)).astype(float), np.ones(n))]
+        low, high, size = (x.sum(1, keepdims=True) - x for x in sums)
+        place = np.arange(m * PARTS, dtype=np.uint64).reshape(m, PARTS) * _MIX[2] + np.uint64(level)
+        key = mixed(mixed(low.astype(np.uint64) * _MIX[0] + high.astype(np.uint64)) + place)
+        keys.append(key[size >= np.sort(size.min(1))[spare]])
     return np.concatenate(keys)
 
 
