@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from civicframe.operators import joins  # noqa: E402
+from civicframe.operators import joins, spatial  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -32,6 +32,7 @@ def no_broadcast(spark, monkeypatch):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     # So few rows make a key hot that even tiny tables have some.
     monkeypatch.setattr(joins, "ROWS_PER_TASK", 3)
+    monkeypatch.setattr(spatial, "MAX_BROADCAST", 0)
     yield
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 

@@ -5,9 +5,9 @@ import re
 import pytest
 
 import __spark_entry__ as entry_points
+from workload.compare import compare, connect
 from workload.oracle import ORACLE
 from workload.queries import QUERIES
-from workload.compare import compare, connect
 
 FOLDER = entry_points.SMOKE_DIR
 # The queries of the operators for training data have tests of their own.
@@ -53,6 +53,7 @@ def test_query(spark, duck, name):
 @pytest.mark.parametrize("name", SPREAD)
 def test_query_without_broadcast(spark, duck, no_broadcast, name):
     df = entry_points.queries()[name](spark, FOLDER)
+    assert "__salt" in df._jdf.queryExecution().executedPlan().toString()
     assert compare(df, duck, entry_points.oracle_sql()[name]) is None
 
 

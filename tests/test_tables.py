@@ -219,3 +219,21 @@ def test_no_rows_lost_with_random_keys(spark, no_broadcast):
     right = spark.createDataFrame([("a", "A"), (None, "N")], "k string, w string")
     out = joins.spread_join(left, right, "k", "left")
     assert out.count() == 200 and out.filter("w IS NULL").count() == left.filter("k = 'b'").count()
+
+
+def test_a_hot_key_is_spread_after_a_shuffle_by_it(spark, no_broadcast, monkeypatch):
+    monkeypatch.setattr(joins, "ROWS_PER_TASK", 1000)
+    left = spark.range(20_000).select(F.when(F.col("id") % 10 < 9, 1).otherwise(F.col("id")).alias("k"), "id").repartition(4, "k")
+    hot = joins.hot_keys(left, ["k"]).collect()
+    assert [(r["k"], r["__salts"]) for r in hot] == [(1, 18)]
+    salts = left.where("k = 1").select(F.pmod(joins._row_hash(left), F.lit(18)).alias("s")).groupBy("s").count().collect()
+    assert len(salts) == 18 and max(r["count"] for r in salts) < 1500
+    right = spark.range(20_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    assert joins.spread_join(left, right, "k", "inner").count() == 20_000
+
+
+def test_missing_right_keys_are_copied_only_when_hot_on_the_left(spark, no_broadcast):
+    left = spark.createDataFrame([(1,), (2,)], "k int")
+    right = spark.createDataFrame([(1, "a"), *[(None, "b")] * 50], "k int, v string")
+    assert joins.hot_keys(left, ["k"]).count() == 0
+    assert joins.spread_join(left, right, "k", "left").count() == 2
