@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,77 +30,165 @@ def counted_terms(text: str | None) -> dict[bytes, int]:
     return counts
 
 
+def prints(terms: Iterable[bytes]) -> np.ndarray:
+    """64-bit fingerprints of terms; terms are equal when these are."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, terms), np.uint64)
+
+
+def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """``start[i] .. start[i] + length[i] - 1`` for every i, one after the other."""
+    shift = start - np.cumsum(length) + length
+    return np.repeat(shift, length) + np.arange(int(length.sum()))
+
+
 class BlockMaxIndex:
-    """Examples as unit vectors over a vocabulary, in postings with a maximum per term and block of examples."""
+    """Examples as unit vectors over all their terms.
+
+    Rare or weighty terms have postings by term. Common ones, which are in more than ``block`` examples
+    and weigh little, have a maximum per block and postings by example, read for few examples only.
+    ``terms`` and the terms of ``examples`` (key, label, terms, counts) are bytes or fingerprints.
+    """
+
+    #: Weight up to which a term can be common.
+    LIGHT = 1.0
 
-    def __init__(self, terms: list[bytes], idf: np.ndarray, examples: list[tuple], block: int = 64):
-        self.place = {t: i for i, t in enumerate(terms)}
-        self.idf = idf
-        vectors = [(self.vector(dict(zip(t, n, strict=True))), key, y) for key, y, t, n in examples]
-        vectors = [v for v in vectors if len(v[0][0])]
+    def __init__(self, terms, idf: np.ndarray, examples: list[tuple], block: int = 64):
+        own = terms if isinstance(terms, np.ndarray) else prints(terms)
+        order = np.argsort(own)
+        self.terms, self.place, self.idf = own[order], order, np.asarray(idf, float)
+        vectors = []
+        for key, y, t, n in examples:
+            at, n = self.found(t if isinstance(t, np.ndarray) else prints(t), np.asarray(n))
+            if len(at):
+                w = (1 + np.log(n)) * self.idf[at]
+                norm = np.sqrt((w * w).sum())
+                vectors.append((int(at[w.argmax()]), key, y, at.astype(np.int32), n.astype(np.min_scalar_type(int(n.max()))), norm))
         # Alike examples share a block, which keeps its maxima sharp.
-        vectors.sort(key=lambda v: (int(v[0][0][v[0][1].argmax()]), v[0][0].tolist(), v[1]))
+        vectors.sort(key=lambda v: v[:2])
+        rows, width = len(vectors), len(self.idf)
         self.keys = [v[1] for v in vectors]
         self.labels = np.array([v[2] for v in vectors], float)
-        self.block = block
-        blocks = -(-len(vectors) // block)
-        term = np.concatenate([v[0][0] for v in vectors]) if vectors else np.zeros(0, int)
-        self.of = np.repeat(np.arange(len(vectors)), [len(v[0][0]) for v in vectors]) if vectors else term
-        self.weight = np.concatenate([v[0][1] for v in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((self.of, term))
-        term, self.of, self.weight = term[order], self.of[order], self.weight[order]
-        cell = term * blocks + self.of // block
-        self.start = np.searchsorted(cell, np.arange(len(terms) * blocks + 1)).reshape(-1)
-        self.peak = np.zeros((len(terms), blocks))
-        np.maximum.at(self.peak.reshape(-1), cell, self.weight)
-        self.blocks = blocks
+        self.block, self.blocks = block, -(-rows // block)
+        self.norm = np.array([v[5] for v in vectors])
+        if not rows:
+            return
+        of = np.repeat(np.arange(rows, dtype=np.int32), [len(v[3]) for v in vectors])
+        term, count = np.concatenate([v[3] for v in vectors]), np.concatenate([v[4] for v in vectors])
+        del vectors
+        #: 1 + log n by n.
+        self.grown = 1 + np.log(np.maximum(np.arange(int(count.max()) + 1), 1))
+        often = (np.bincount(term, minlength=width) > block) & (self.idf <= self.LIGHT)
+        #: Place of a common term among those, or -1.
+        self.common = np.where(often, np.cumsum(often) - 1, -1)
+        far = often[term]
+        t, self.near_of, self.near_count = term[~far], of[~far], count[~far]
+        by_term = np.argsort(t, kind="stable")
+        self.near_of, self.near_count = self.near_of[by_term], self.near_count[by_term]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=width))])
+        self.far_term, self.far_count = self.common[term[far]].astype(np.int32), count[far]
+        self.far_start = np.concatenate([[0], np.cumsum(np.bincount(of[far], minlength=rows))])
+        self.far_idf = self.idf[often]
+        value = self.grown[self.far_count] * self.far_idf[self.far_term] / self.norm[of[far]]
+        #: Length of the part of an example over common terms, and the largest value of a common term in a block.
+        self.far_norm = np.sqrt(np.bincount(of[far], value * value, rows))
+        peak = np.zeros((self.blocks, len(self.far_idf)))
+        np.maximum.at(peak.reshape(-1), of[far].astype(np.int64) // block * max(len(self.far_idf), 1) + self.far_term, value)
+        self.peak = np.ascontiguousarray(peak.T)
+
+    def found(self, own: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the known terms with weight, ascending, and their numbers."""
+        if not len(self.terms) or not len(own):
+            return np.zeros(0, int), np.zeros(0, int)
+        i = np.minimum(np.searchsorted(self.terms, own), len(self.terms) - 1)
+        same = self.terms[i] == own
+        at, n = self.place[i[same]], n[same]
+        order = np.argsort(at)
+        order = order[self.idf[at[order]] > 0]
+        return at[order], n[order]
 
     def vector(self, counts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-        place = self.place
-        found = sorted((place[t], n) for t, n in counts.items() if t in place)
-        if not found:
-            return np.zeros(0, int), np.zeros(0)
-        at = np.array([f[0] for f in found])
-        w = (1 + np.log([f[1] for f in found])) * self.idf[at]
+        return self.unit(prints(counts), np.fromiter(counts.values(), int, len(counts)))
+
+    def unit(self, own: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, n = self.found(own, n)
+        if not len(at):
+            return at, np.zeros(0)
+        w = (1 + np.log(n)) * self.idf[at]
         return at, w / np.sqrt((w * w).sum())
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the ``k`` nearest examples with any common term; ties by number.
+        """Numbers and cosines, to 12 places, of the ``k`` nearest examples with any common term; ties by number.
 
-        Blocks come in order of their upper bound. The first whose bound is under the k-th best
-        cosine ends the search, so the result is exact.
+        The part over other terms is summed for all examples. What common terms can add is at most
+        what the block's maxima allow, and at most the product of both lengths. Only examples that
+        may still be under the first ``k`` with it are summed in full, so the result is exact.
         """
         if not len(at) or not self.blocks:
             return np.zeros(0, int), np.zeros(0)
-        bound = w @ self.peak[at]
-        best_i, best_s = np.zeros(0, int), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_i) == k and bound[b] < best_s[-1] - 1e-12:
-                break
-            score = np.zeros(self.block)
-            for t, x in zip(at, w, strict=True):
-                lo, hi = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
-                score[self.of[lo:hi] - b * self.block] += x * self.weight[lo:hi]
-            hit = np.flatnonzero(score > 0)
-            i, s = np.concatenate([best_i, hit + b * self.block]), np.concatenate([best_s, score[hit]])
-            order = np.lexsort((i, -np.round(s, 12)))[:k]
-            best_i, best_s = i[order], s[order]
-        return best_i, best_s
-
-    def vote(self, counts: dict[bytes, int], k: int, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
-        """Share of label 1 among the neighbours, each with its cosine as weight, drawn to ``prior`` where they are few or far."""
-        i, s = self.nearest(*self.vector(counts), k)
+        far = self.common[at] >= 0
+        t, x = at[~far], w[~far] * self.idf[at[~far]]
+        length = self.start[t + 1] - self.start[t]
+        i = ranges(self.start[t], length)
+        score = np.bincount(self.near_of[i], np.repeat(x, length) * self.grown[self.near_count[i]], len(self.keys)) / self.norm
+        if far.any():
+            c, q = self.common[at[far]], w[far]
+            most = np.repeat(q @ self.peak[c], self.block)[: len(score)]
+            most = score + np.minimum(most, np.sqrt((q * q).sum()) * self.far_norm)
+            least = np.partition(score, -k)[-k] if len(score) > k else 0.0
+            near = np.flatnonzero((most > 0) & (most >= least - 1e-9))
+            full = np.zeros(len(self.far_idf))
+            full[c] = q * self.far_idf[c]
+            begin, length = self.far_start[near], self.far_start[near + 1] - self.far_start[near]
+            i = ranges(begin, length)
+            more = np.bincount(np.repeat(np.arange(len(near)), length), full[self.far_term[i]] * self.grown[self.far_count[i]], len(near))
+            score = score[near] + more / self.norm[near]
+        else:
+            near = np.arange(len(score))
+        score = np.round(score, 12)
+        hit = np.flatnonzero(score > 0)
+        if len(hit) > k:
+            hit = hit[score[hit] >= np.partition(score[hit], -k)[-k]]
+        order = hit[np.lexsort((near[hit], -score[hit]))[:k]]
+        return near[order], score[order]
+
+    def vote(self, own: np.ndarray, n: np.ndarray, k: int, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+        """Share of label 1 among the neighbours, each with its cosine as weight, drawn to ``prior`` where they are few or far.
+
+        Nothing in a text without words is toxic: its neighbours count as equal to it and of label 0.
+        """
+        if not len(own):
+            return prior / (k + 1.0), np.zeros(0, int), np.zeros(0)
+        i, s = self.nearest(*self.unit(own, n), k)
         return (float((s * self.labels[i]).sum()) + prior) / (float(s.sum()) + 1.0), i, s
 
 
+def packed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints and numbers of a text's terms."""
+    counts = counted_terms(text)
+    return prints(counts), np.fromiter(counts.values(), int, len(counts))
+
+
+def feature_weights(n: np.ndarray, n1: np.ndarray, share: float) -> np.ndarray:
+    """How much more a term is in examples of label 1 than chance has it, in standard deviations, from 0.1 up.
+
+    ``n1`` of the ``n`` examples with the term have label 1, ``share`` of all examples. The 1 in the
+    variance keeps terms of few examples low. No term has a weight of 0.
+    """
+    return 0.1 + np.maximum(0.0, n1 - n * share) / np.sqrt(n * share * (1 - share) + 1)
+
+
+#: Pull of the logistic curve towards the raw votes: few labels do not turn it over.
+PULL = 0.3
+
+
 def platt(raw: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
     """Slope and offset of a logistic curve through (log-odds of ``raw``, ``y``), a little regularised."""
     x = np.column_stack([np.log(raw / (1 - raw)), np.ones(len(raw))])
     beta = np.array([1.0, 0.0])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        g = x.T @ (p - y) + 0.01 * (beta - [1.0, 0.0])
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2)
+        g = x.T @ (p - y) + PULL * (beta - [1.0, 0.0])
+        h = (x * (p * (1 - p))[:, None]).T @ x + PULL * np.eye(2)
         step = np.linalg.solve(h, g)
         beta = beta - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
@@ -124,10 +213,7 @@ def toxicity(
     text_col: str = "text",
     label_col: str = "toxic",
     sample: int = 16_000,
-    vocabulary: int = 4_096,
     k: int = 15,
-    least_z: float = 5.0,
-    least_share: float = 0.7,
     evidence: int = 3,
     carry: list[str] | None = None,
 ) -> DataFrame:
@@ -136,13 +222,13 @@ def toxicity(
     Columns named in ``carry`` come instead of ``id_col``, so that a filter needs no join.
 
     At most about ``sample`` labels that ``allowed`` lets through are used, three quarters as
-    examples, the rest to calibrate. The vocabulary is the (at most ``vocabulary``) words and word
-    beginnings that are more frequent in examples of label 1 by ``least_z`` standard deviations and
-    whose examples have label 1 in ``least_share`` of cases; cosines are exact over it. The score is the calibrated vote of the ``k`` nearest
-    examples and depends on the text alone. Texts without a word of the vocabulary, empty and
-    missing ones too, get the calibrated prior. Without any label of either kind all scores are the
-    known share of label 1, or 0. Whole texts are read; the model that is broadcast is bounded by
-    ``sample`` and ``vocabulary``.
+    examples, the rest to calibrate. Examples are indexed over all their words and word beginnings;
+    cosines are exact. A term's weight is its IDF times what ``feature_weights`` says. The score is
+    the calibrated vote of the ``k`` nearest examples and depends on the text alone. Empty and
+    missing texts score as if all neighbours were of label 0, texts without a known term get the
+    calibrated prior. Without any label of either kind all scores are the known share of label 1,
+    or 0. Whole texts are read; the model that is broadcast has a posting for each term of an
+    example, and at most about ``sample`` examples.
     """
     spark = docs.sparkSession
     chosen = sampled_labels(labels, id_col, F.col(label_col), allowed, sample)
@@ -154,64 +240,42 @@ def toxicity(
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = [counted_terms(t.as_py()) for t in b.column("__text")]
+            own = [packed(t.as_py()) for t in b.column("__text")]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("__id"),
                     b.column("__y").cast(pa.float64()),
                     pa.array([u % 4 == 0 for u in b.column("__u").to_pylist()]),
-                    pa.array([list(c) for c in counts], pa.list_(pa.binary())),
-                    pa.array([list(c.values()) for c in counts], pa.list_(pa.int64())),
+                    pa.array([t.tobytes() for t, _ in own], pa.binary()),
+                    pa.array([n.astype(np.uint32).tobytes() for _, n in own], pa.binary()),
                 ],
                 names=["id", "y", "check", "terms", "counts"],
             )
 
     vectors = stored(
         picked.select(F.col("__id").cast("long").alias("__id"), "__y", "__u", "__text").mapInArrow(
-            features, "id long, y double, check boolean, terms array<binary>, counts array<long>"
+            features, "id long, y double, check boolean, terms binary, counts binary"
         )
     )
-    examples = vectors.where("not check")
-    ones, total = examples.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.count(F.lit(1))).first()
+    unpacked = lambda r: (r["id"], r["y"], np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["counts"], np.uint32))
+    # A task's rows at a time: bounded by the sample.
+    sets = sorted(map(unpacked, vectors.where("not check").toLocalIterator()), key=lambda r: (r[0], r[1], r[2].tobytes()))
+    total, ones = len(sets), sum(r[1] for r in sets)
     share = ones / total if total else 0.0
-    each = examples.select("y", F.explode("terms").alias("term")).groupBy("term")
-    each = each.agg(F.sum("y").alias("n1"), F.count(F.lit(1)).alias("n"))
-    m = F.col("n") / F.lit(float(max(total, 1)))
-    gap = F.col("n1") / F.lit(max(ones, 1.0)) - (F.col("n") - F.col("n1")) / F.lit(max(total - ones, 1.0))
-    spread = F.sqrt(m * (1 - m) * (1 / max(ones, 1.0) + 1 / max(total - ones, 1.0)) + 1e-12)
-    terms = (
-        each.where("n >= 4").withColumn("z", gap / spread)
-        .where((F.col("z") >= least_z) & ((F.col("n1") + share) / (F.col("n") + 1) >= least_share))
-        .orderBy(F.col("z").desc(), "term").limit(vocabulary).collect()
-    )
-    names = [bytes(r["term"]) for r in terms]
-    idf = np.array([np.log(1 + total / r["n"]) for r in terms])
-    vocabulary_set = frozenset(names)
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = b.to_pylist()
-            kept = [[(t, n) for t, n in zip(r["terms"], r["counts"], strict=True) if t in vocabulary_set] for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(b.column(n) for n in ("id", "y", "check")),
-                    pa.array([[t for t, _ in x] for x in kept], pa.list_(pa.binary())),
-                    pa.array([[n for _, n in x] for x in kept], pa.list_(pa.int64())),
-                ],
-                names=["id", "y", "check", "terms", "counts"],
-            )
-
-    # The sample's vectors over the vocabulary: bounded by both.
-    rows = vectors.mapInArrow(narrow, vectors.schema).collect()
-    rows.sort(key=lambda r: r["id"])
-    sets = [(r["id"], r["y"], [bytes(t) for t in r["terms"]], r["counts"]) for r in rows if not r["check"]]
-    index = BlockMaxIndex(names, idf, sets)
+    term = np.concatenate([np.zeros(0, np.uint64), *(r[2] for r in sets)])
+    names, n = np.unique(term, return_counts=True)
+    toxic, some = np.unique(np.concatenate([np.zeros(0, np.uint64), *(r[2] for r in sets if r[1] > 0)]), return_counts=True)
+    n1 = np.zeros(len(names))
+    n1[np.searchsorted(names, toxic)] = some
+    del term
+    index = BlockMaxIndex(names, np.log(max(total, 1) / n) * feature_weights(n, n1, share), sets)
+    del sets
     prior = min(max(share, 1e-4), 1 - 1e-4)
-    held = [r for r in rows if r["check"]]
     slope, offset = 1.0, 0.0
-    if held and 0 < share < 1:
-        raw = np.array([index.vote({bytes(t): n for t, n in zip(r["terms"], r["counts"], strict=True)}, k, prior)[0] for r in held])
-        slope, offset = platt(raw, np.array([r["y"] for r in held]))
+    if 0 < share < 1:
+        held = [(index.vote(t, n, k, prior)[0], y) for _, y, t, n in map(unpacked, vectors.where("check").toLocalIterator())]
+        if held:
+            slope, offset = platt(np.array([r for r, _ in held]), np.array([y for _, y in held]))
     only = None if 0 < share < 1 else share
     model = spark.sparkContext.broadcast(index)
 
@@ -220,7 +284,7 @@ def toxicity(
         for b in batches:
             scores, proofs = [], []
             for text in b.column("__text"):
-                raw, i, s = found.vote(counted_terms(text.as_py()), k, prior)
+                raw, i, s = found.vote(*packed(text.as_py()), k, prior)
                 x = slope * np.log(raw / (1 - raw)) + offset
                 scores.append(only if only is not None else float(1 / (1 + np.exp(-x))))
                 proofs.append(

@@ -144,6 +144,17 @@ def test_toxicity_odd_rows(spark):
     }
 
 
+def test_toxicity_small_table(spark):
+    """With few examples too, documents have evidence and most toxic ones are found."""
+    folder = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in QUERIES["op2_toxicity"](spark, folder).collect()}
+    held = [(rows[r.doc_id], r.toxic) for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if rows[r.doc_id].held_out]
+    assert all(p.evidence for p, _ in held)
+    hits = sum(p.predicted for p, y in held if y)
+    assert hits >= 0.75 * sum(y for _, y in held)
+    assert sum(p.predicted for p, y in held if not y) <= 0.05 * sum(not y for _, y in held)
+
+
 def brute_rates(a, wanted, keep, steps=4000):
     """The same least squares, by plain steps on the whole matrix of token shares."""
     share = np.maximum(a.sum(0), 1e-9)

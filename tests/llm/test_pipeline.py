@@ -38,6 +38,15 @@ def test_toxic_documents_go(spark, folder):
     assert ids == Counter([i for i in range(500) if i % 10] + [900, 901, None])
 
 
+def test_toxic_documents_of_a_small_table_go(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    left = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, folder).collect()}
+    labels = spark.read.parquet(f"{folder}/labels.parquet").collect()
+    gone = [r.toxic for r in labels if r.doc_id not in left]
+    assert sum(gone) >= 0.85 * sum(r.toxic for r in labels) and sum(gone) >= 0.9 * len(gone)
+
+
 def test_one_of_equal_texts_stays(spark, folder):
     texts = [(5, "a b"), (3, "a  b"), (3, "a  b"), (3, "c"), (9, "c"), (None, "c"), (None, "d"), (7, None), (6, " "), (8, "")]
     left = corpus_pipeline.drop_copies(spark, frame(spark, texts), folder)
