@@ -52,7 +52,7 @@ class BlockMaxIndex:
     #: Weight up to which a term can be common.
     LIGHT = 1.0
 
-    def __init__(self, terms, idf: np.ndarray, examples: list[tuple], block: int = 64):
+    def __init__(self, terms, idf: np.ndarray, examples: Iterable[tuple], block: int = 64):
         own = terms if isinstance(terms, np.ndarray) else prints(terms)
         order = np.argsort(own)
         self.terms, self.place, self.idf = own[order], order, np.asarray(idf, float)
@@ -81,18 +81,20 @@ class BlockMaxIndex:
         #: Place of a common term among those, or -1.
         self.common = np.where(often, np.cumsum(often) - 1, -1)
         far = often[term]
-        t, self.near_of, self.near_count = term[~far], of[~far], count[~far]
-        by_term = np.argsort(t, kind="stable")
-        self.near_of, self.near_count = self.near_of[by_term], self.near_count[by_term]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=width))])
-        self.far_term, self.far_count = self.common[term[far]].astype(np.int32), count[far]
-        self.far_start = np.concatenate([[0], np.cumsum(np.bincount(of[far], minlength=rows))])
+        self.far_term, self.far_count, far_of = self.common[term[far]].astype(np.int32), count[far], of[far]
+        term, of, count = term[~far], of[~far], count[~far]
+        by_term = np.argsort(term, kind="stable")
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=width))])
+        del term, far
+        self.near_of, self.near_count = of[by_term], count[by_term]
+        del of, count, by_term
+        self.far_start = np.concatenate([[0], np.cumsum(np.bincount(far_of, minlength=rows))])
         self.far_idf = self.idf[often]
-        value = self.grown[self.far_count] * self.far_idf[self.far_term] / self.norm[of[far]]
+        value = self.grown[self.far_count] * self.far_idf[self.far_term] / self.norm[far_of]
         #: Length of the part of an example over common terms, and the largest value of a common term in a block.
-        self.far_norm = np.sqrt(np.bincount(of[far], value * value, rows))
+        self.far_norm = np.sqrt(np.bincount(far_of, value * value, rows))
         peak = np.zeros((self.blocks, len(self.far_idf)))
-        np.maximum.at(peak.reshape(-1), of[far].astype(np.int64) // block * max(len(self.far_idf), 1) + self.far_term, value)
+        np.maximum.at(peak.reshape(-1), far_of.astype(np.int64) // block * max(len(self.far_idf), 1) + self.far_term, value)
         self.peak = np.ascontiguousarray(peak.T)
 
     def found(self, own: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,13 +265,15 @@ def toxicity(
     total, ones = len(sets), sum(r[1] for r in sets)
     share = ones / total if total else 0.0
     term = np.concatenate([np.zeros(0, np.uint64), *(r[2] for r in sets)])
-    names, n = np.unique(term, return_counts=True)
+    term.sort()
+    new = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])[: len(term)])
+    names, n = term[new], np.diff(np.append(new, len(term)))
     toxic, some = np.unique(np.concatenate([np.zeros(0, np.uint64), *(r[2] for r in sets if r[1] > 0)]), return_counts=True)
     n1 = np.zeros(len(names))
     n1[np.searchsorted(names, toxic)] = some
-    del term
-    index = BlockMaxIndex(names, np.log(max(total, 1) / n) * feature_weights(n, n1, share), sets)
-    del sets
+    del term, new
+    # An example's own arrays go as soon as it is in the index.
+    index = BlockMaxIndex(names, np.log(max(total, 1) / n) * feature_weights(n, n1, share), (sets.pop() for _ in range(total)))
     prior = min(max(share, 1e-4), 1 - 1e-4)
     slope, offset = 1.0, 0.0
     if 0 < share < 1:
