@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,7 +74,7 @@ class BlockMaxIndex:
         self.norm = np.array([v[5] for v in vectors])
         if not rows:
             return
-        of = np.repeat(np.arange(rows, dtype=np.int32), [len(v[3]) for v in vectors])
+        of = np.repeat(np.arange(rows, dtype=np.min_scalar_type(rows)), [len(v[3]) for v in vectors])
         term, count = np.concatenate([v[3] for v in vectors]), np.concatenate([v[4] for v in vectors])
         del vectors
         #: 1 + log n by n.
@@ -81,7 +83,7 @@ class BlockMaxIndex:
         #: Place of a common term among those, or -1.
         self.common = np.where(often, np.cumsum(often) - 1, -1)
         far = often[term]
-        self.far_term, self.far_count, far_of = self.common[term[far]].astype(np.int32), count[far], of[far]
+        self.far_term, self.far_count, far_of = self.common[term[far]].astype(np.min_scalar_type(int(often.sum()))), count[far], of[far]
         term, of, count = term[~far], of[~far], count[~far]
         by_term = np.argsort(term, kind="stable")
         self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=width))])
@@ -281,10 +283,12 @@ def toxicity(
         if held:
             slope, offset = platt(np.array([r for r, _ in held]), np.array([y for _, y in held]))
     only = None if 0 < share < 1 else share
-    model = spark.sparkContext.broadcast(index)
+    # Spark keeps a copy in several places of each machine.
+    model = spark.sparkContext.broadcast(zstandard.compress(pickle.dumps(index, 5)))
+    del index
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = model.value
+        found = pickle.loads(zstandard.decompress(model.value))
         for b in batches:
             scores, proofs = [], []
             for text in b.column("__text"):
