@@ -39,6 +39,9 @@ def posteriors(
     posterior of 0; with fewer than two named, the posterior is 1 for the one named, or equal shares.
     """
     number = reduce(lambda a, d: a.when(domain == d[1], float(d[0])), enumerate(domains), F.when(F.lit(False), 0.0))
+    other = labels.where(domain.isNotNull() & ~domain.isin(domains)).select(domain.alias("d")).first()
+    if other:
+        raise ValueError(f"a label names the domain {other.d}, which has no target")
     known = labels.select(F.col(id_col).alias("__id"), number.alias("__y")).where("__id is not null and __y is not null")
     known = known.groupBy("__id").agg(F.min("__y").alias("__y"))
     total = known.count()
@@ -127,7 +130,8 @@ def mix(
     ``domain`` names a label row's domain, ``targets`` the wanted shares of tokens, ``budget`` the
     wanted tokens as a multiple of those there are. A rate is the expected number of times that the
     document appears in the mixture. Missing and empty texts have one token, for their end. Labels
-    without a domain among the targets, or for absent documents, are not used. Rows that repeat an
+    without a domain, or for absent documents, are not used; one that names a domain without a target
+    is an error. Rows that repeat an
     id are rated each. A domain that no document can belong to is left out of the fit.
     """
     known = stored(posteriors(docs, labels, domain, list(targets), id_col, text_col, sample))

@@ -90,8 +90,8 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumns({"held_out": held_out(4), "predicted": (F.col("score") >= 0.3).cast("int")})
 
 
-#: Wanted shares of tokens by domain: quality and toxicity of a document, as labelled.
-MIX_TARGETS = {"q0t0": 0.10, "q1t0": 0.88, "q1t1": 0.02}
+#: Wanted shares of tokens by domain: quality and toxicity of a document, as labelled. What is both poor and toxic is not wanted.
+MIX_TARGETS = {"q0t0": 0.10, "q0t1": 0.0, "q1t0": 0.88, "q1t1": 0.02}
 
 
 @query

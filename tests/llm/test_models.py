@@ -199,3 +199,14 @@ def test_mix_without_labels(spark):
     rows = mix(docs, labels, F.concat(F.lit("q"), "quality"), {"q0": 0.5, "q1": 0.5}).collect()
     assert Counter(r.doc_id for r in rows) == {1: 2, 2: 1} and all(abs(r.rate - 1) < 1e-6 for r in rows)
     assert mix(docs.limit(0), labels, F.concat(F.lit("q"), "quality"), {"q0": 0.5, "q1": 0.5}).count() == 0
+
+
+def test_every_labelled_domain_has_a_target(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    with pytest.raises(ValueError, match="q0"):
+        mix(docs, labels, F.concat(F.lit("q"), "quality"), {"q1": 1.0})
+    rows = QUERIES["op3_mixing"](spark, "/root/testdata/sf0.01").collect()
+    total = sum(r.tokens for r in rows)
+    got = [sum(r.rate * r.tokens * r.posterior[d] for r in rows) / total for d in range(4)]
+    assert np.allclose(got, [0.10, 0.0, 0.88, 0.02], atol=0.02)
