@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .fill_middle import fill_middle
 from .hilbert import document_shards
 from .interpolation import interpolated
 from .jaccard_join import jaccard_join
 from .mixing import mix
 from .near_vectors import near_vectors
 from .packing import pack
+from .phrase_automata import repeated_phrases
+from .prefix_trie import prefix_trie
 from .secret_scan import BASE, MORE, Rule, digest, secret_scan
 from .toxicity import toxicity
 from .url_filter import url_filter
@@ -188,3 +191,96 @@ SELECT d.doc_id, {", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}"
     coalesce(string_agg(s, ',' ORDER BY start, rank), '') AS spans
 FROM documents d LEFT JOIN named n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+
+@query
+def op11_phrase_automata(spark: SparkSession, folder: str) -> DataFrame:
+    left = repeated_phrases(table(spark, folder, "documents"), size=35)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE["op11_phrase_automata"] = r"""
+WITH d AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+    SELECT r, k, array_to_string(w[k:k + 34], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS k FROM d)
+), again AS (SELECT s FROM starts GROUP BY s HAVING count(*) > 1
+), recurring AS (SELECT r, k FROM starts JOIN again USING (s)
+), words AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d
+), marked AS (
+    SELECT words.r, p, x, p - max(k) OVER (PARTITION BY words.r ORDER BY p) < 35 AS gone
+    FROM words LEFT JOIN recurring ON recurring.r = words.r AND k = p
+), counted AS (
+    SELECT r, count(*) FILTER (gone) AS n, string_agg(x, ' ' ORDER BY p) FILTER (gone IS NOT TRUE) AS kept FROM marked GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN counted USING (r)
+"""
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(table(spark, folder, "conversations"))
+
+
+#: crc32 of a string of ASCII, bit by bit.
+_CRC32 = """
+4294967295 - list_reduce([CAST(4294967295 AS UBIGINT)] || list_transform(string_split({s}, ''), lambda ch: CAST(ascii(ch) AS UBIGINT)), lambda acc, b:
+    list_reduce([xor(acc, b)] || CAST(range(8) AS UBIGINT[]), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS UBIGINT)) ELSE x >> 1 END))
+"""
+
+ORACLE["op12_prefix_trie"] = f"""
+WITH own AS (
+    SELECT conv_id AS c, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), taken AS (SELECT c, turns, CAST(({_CRC32.format(s="CAST(c AS VARCHAR)")}) % 4 AS BIGINT) AS h FROM own
+), rebuilt AS (
+    SELECT t.c, CASE WHEN t.h = 0 OR g.c IS NULL THEN [] ELSE g.turns[1:t.h] END || t.turns[t.h + 1:] AS s
+    FROM taken t LEFT JOIN own g ON g.c = t.c - t.c % 20
+), members AS (SELECT c, d, s[1:d] AS k, len(s) = d AS ends FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM rebuilt)
+), nodes AS (
+    SELECT k, d, min(c) AS conv_id, count(*) AS n_convs,
+        CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(k[d].text, '[^\\x20\\x09-\\x0D]+')) END AS saved,
+        sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+    FROM members GROUP BY k, d
+), children AS (SELECT k[1:d - 1] AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY k[1:d - 1]
+), under AS (
+    SELECT n.k[1:a] AS k, count(*) FILTER (children.n IS NULL) AS n_leaves, sum(n.saved) AS saved_tokens
+    FROM (SELECT k, saved, unnest(range(0, d + 1)) AS a FROM nodes) n LEFT JOIN children ON children.k = n.k GROUP BY n.k[1:a]
+)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(children.n, 0) AS n_children,
+    under.n_leaves, CAST(under.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON n.d = p.d + 1 AND p.k = n.k[1:n.d - 1] LEFT JOIN children ON children.k = n.k JOIN under ON under.k = n.k
+"""
+
+
+@query
+def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    moved = fill_middle(table(spark, folder, "documents"))
+    return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+ORACLE["op13_fill_middle"] = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+        regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+    FROM documents
+), drawn AS (
+    SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS UBIGINT) AS h1, CAST('0x' || h[9:16] AS UBIGINT) AS h2,
+        CAST('0x' || h[17:24] AS UBIGINT) AS h3, CAST('0x' || h[25:32] AS UBIGINT) AS h4
+    FROM d
+), cut AS (
+    SELECT *, CAST(least(h1 % (n + 1), h2 % (n + 1)) AS BIGINT) AS a, CAST(greatest(h1 % (n + 1), h2 % (n + 1)) AS BIGINT) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+             WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+    FROM drawn
+), parts AS (
+    SELECT *, CASE WHEN a = 0 THEN '' ELSE array_to_string(u[1:a], '') END AS p,
+        CASE WHEN b = a THEN '' ELSE array_to_string(u[a + 1:b], '') END AS m, CASE WHEN b = n THEN '' ELSE array_to_string(u[b + 1:n], '') END AS s
+    FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+    sha256(t) AS restored_sha256
+FROM parts
+"""
