@@ -3,38 +3,38 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .jaccard_join import Words
 from .store import stored
 
 #: ASCII marks and digits count as blanks between words.
 SPLIT = bytes(i if i > 127 or chr(i).isalpha() else 32 for i in range(256))
-PREFIXES = (4, 5, 6, 7, 8)
+PREFIXES = (5,)
+#: Bytes of the index in one row.
+PART = 8_000_000
 
 
-def counted_terms(text: str | None) -> dict[bytes, int]:
-    """Words, lower-cased in ASCII, and beginnings of longer words, with their number."""
-    counts: dict[bytes, int] = {}
-    for w in (text or "").encode("utf-8", "replace").lower().translate(SPLIT).split():
-        counts[w] = counts.get(w, 0) + 1
-    for w, n in list(counts.items()):
-        for p in PREFIXES:
-            if len(w) >= p:
-                key = w[:p] + b"*"
-                counts[key] = counts.get(key, 0) + n
-    return counts
+def counted_terms(text: str | None, known: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of a text's terms, ascending, and their numbers: words, lower-cased in ASCII, and beginnings of longer words.
 
-
-def prints(terms: Iterable[bytes]) -> np.ndarray:
-    """64-bit fingerprints of terms; terms are equal when these are."""
-    return np.fromiter(map(xxhash.xxh64_intdigest, terms), np.uint64)
+    Terms are equal when their 64-bit fingerprints are. ``known`` remembers fingerprints.
+    """
+    words = Counter((text or "").encode("utf-8", "replace").lower().translate(SPLIT).split())
+    terms, often = list(words), list(words.values())
+    for p in PREFIXES:
+        longer = [(w[:p] + b"*", n) for w, n in words.items() if len(w) >= p]
+        terms += [w for w, _ in longer]
+        often += [n for _, n in longer]
+    found, place = np.unique(np.fromiter(map(known.__getitem__, terms), np.uint64, len(terms)), return_inverse=True)
+    return found, np.bincount(place, often, len(found)).astype(np.int64)
 
 
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -44,110 +44,103 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Examples as unit vectors over all their terms.
+    """Examples as unit vectors: postings by term, and for each term its largest value in every block of examples.
 
-    Rare or weighty terms have postings by term. Common ones, which are in more than ``block`` examples
-    and weigh little, have a maximum per block and postings by example, read for few examples only.
-    ``terms`` and the terms of ``examples`` (key, label, terms, counts) are bytes or fingerprints.
+    ``terms`` are ascending fingerprints, ``weight`` their weights; ``examples`` are rows (key, label,
+    terms, counts). Examples without a known term are left out.
     """
 
-    #: Weight up to which a term can be common.
-    LIGHT = 1.0
+    #: Share of the bound on a text's cosine whose terms are summed for all blocks.
+    FIRST = 0.8
 
-    def __init__(self, terms, idf: np.ndarray, examples: Iterable[tuple], block: int = 64):
-        own = terms if isinstance(terms, np.ndarray) else prints(terms)
-        order = np.argsort(own)
-        self.terms, self.place, self.idf = own[order], order, np.asarray(idf, float)
+    def __init__(self, terms: np.ndarray, weight: np.ndarray, examples: list[tuple], block: int = 64):
+        self.terms, self.weight, self.block = terms, np.asarray(weight, float), block
         vectors = []
-        for key, y, t, n in examples:
-            at, n = self.found(t if isinstance(t, np.ndarray) else prints(t), np.asarray(n))
+        for key, y, own, n in examples:
+            at, w = self.unit(own, n)
             if len(at):
-                w = (1 + np.log(n)) * self.idf[at]
-                norm = np.sqrt((w * w).sum())
-                vectors.append((int(at[w.argmax()]), key, y, at.astype(np.int32), n.astype(np.min_scalar_type(int(n.max()))), norm))
+                vectors.append((int(at[w.argmax()]), key, y, at, w))
         # Alike examples share a block, which keeps its maxima sharp.
-        vectors.sort(key=lambda v: v[:2])
-        rows, width = len(vectors), len(self.idf)
-        self.keys = [v[1] for v in vectors]
-        self.labels = np.array([v[2] for v in vectors], float)
-        self.block, self.blocks = block, -(-rows // block)
-        self.norm = np.array([v[5] for v in vectors])
-        if not rows:
-            return
-        of = np.repeat(np.arange(rows, dtype=np.min_scalar_type(rows)), [len(v[3]) for v in vectors])
-        term, count = np.concatenate([v[3] for v in vectors]), np.concatenate([v[4] for v in vectors])
+        vectors.sort(key=lambda v: v[:3])
+        rows, width = len(vectors), len(self.weight)
+        self.keys, self.labels = [v[1] for v in vectors], np.array([v[2] for v in vectors], float)
+        self.blocks = -(-rows // block)
+        empty = [np.zeros(0, int)], [np.zeros(0)]
+        self.far_start = np.cumsum([0, *(len(v[3]) for v in vectors)])
+        #: By example: terms and values.
+        self.far_term = np.concatenate([v[3] for v in vectors] or empty[0]).astype(np.int32)
+        self.far_value = np.concatenate([v[4] for v in vectors] or empty[1])
         del vectors
-        #: 1 + log n by n.
-        self.grown = 1 + np.log(np.maximum(np.arange(int(count.max()) + 1), 1))
-        often = (np.bincount(term, minlength=width) > block) & (self.idf <= self.LIGHT)
-        #: Place of a common term among those, or -1.
-        self.common = np.where(often, np.cumsum(often) - 1, -1)
-        far = often[term]
-        self.far_term, self.far_count, far_of = self.common[term[far]].astype(np.min_scalar_type(int(often.sum()))), count[far], of[far]
-        term, of, count = term[~far], of[~far], count[~far]
-        by_term = np.argsort(term, kind="stable")
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=width))])
-        del term, far
-        self.near_of, self.near_count = of[by_term], count[by_term]
-        del of, count, by_term
-        self.far_start = np.concatenate([[0], np.cumsum(np.bincount(far_of, minlength=rows))])
-        self.far_idf = self.idf[often]
-        value = self.grown[self.far_count] * self.far_idf[self.far_term] / self.norm[far_of]
-        #: Length of the part of an example over common terms, and the largest value of a common term in a block.
-        self.far_norm = np.sqrt(np.bincount(far_of, value * value, rows))
-        peak = np.zeros((self.blocks, len(self.far_idf)))
-        np.maximum.at(peak.reshape(-1), far_of.astype(np.int64) // block * max(len(self.far_idf), 1) + self.far_term, value)
-        self.peak = np.ascontiguousarray(peak.T)
-
-    def found(self, own: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the known terms with weight, ascending, and their numbers."""
+        order = np.argsort(self.far_term, kind="stable")
+        of = np.repeat(np.arange(rows, dtype=np.int32), np.diff(self.far_start))
+        #: By term: examples, ascending, and values.
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(self.far_term, minlength=width))])
+        self.of, self.value = of[order], self.far_value[order]
+        term, where = self.far_term[order], self.of // block
+        new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (where[1:] != where[:-1])])[: len(term)])
+        #: By term: blocks that hold it, the largest value in each, and the largest of all.
+        self.peak_start = np.searchsorted(term[new], np.arange(width + 1))
+        self.peak_block, self.peak = where[new], np.maximum.reduceat(self.value, new) if len(new) else np.zeros(0)
+        self.top = np.zeros(width)
+        np.maximum.at(self.top, term[new], self.peak)
+        self.full = np.zeros(width)
+
+    def __reduce__(self):
+        kept = {k: v for k, v in self.__dict__.items() if k != "full"}
+        return _opened, (kept,)
+
+    def unit(self, own: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the known terms with weight, ascending, and their values in a vector of length 1."""
         if not len(self.terms) or not len(own):
-            return np.zeros(0, int), np.zeros(0, int)
+            return np.zeros(0, int), np.zeros(0)
         i = np.minimum(np.searchsorted(self.terms, own), len(self.terms) - 1)
-        same = self.terms[i] == own
-        at, n = self.place[i[same]], n[same]
-        order = np.argsort(at)
-        order = order[self.idf[at[order]] > 0]
-        return at[order], n[order]
+        same = (self.terms[i] == own) & (self.weight[i] > 0)
+        at = i[same]
+        w = (1 + np.log(n[same])) * self.weight[at]
+        return at, w / np.sqrt((w * w).sum()) if len(at) else w
 
-    def vector(self, counts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-        return self.unit(prints(counts), np.fromiter(counts.values(), int, len(counts)))
-
-    def unit(self, own: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, n = self.found(own, n)
-        if not len(at):
-            return at, np.zeros(0)
-        w = (1 + np.log(n)) * self.idf[at]
-        return at, w / np.sqrt((w * w).sum())
+    def summed(self, at: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What these terms add to the cosine of every example."""
+        length = self.start[at + 1] - self.start[at]
+        i = ranges(self.start[at], length)
+        return np.bincount(self.of[i], self.value[i] * np.repeat(w, length), len(self.keys))
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines, to 12 places, of the ``k`` nearest examples with any common term; ties by number.
 
-        The part over other terms is summed for all examples. What common terms can add is at most
-        what the block's maxima allow, and at most the product of both lengths. Only examples that
-        may still be under the first ``k`` with it are summed in full, so the result is exact.
+        Terms go by falling bound, the largest value that they have anywhere. The first ones, which make
+        up most of the bound, are summed. What the others can add to a block is the sum of their
+        maxima there: a block whose best sum with it stays under the ``k``-th cosine so far is not
+        opened, and neither is such an example of an open block. The rest is summed in full, by
+        whichever lists are shorter, so the result is exact.
         """
         if not len(at) or not self.blocks:
             return np.zeros(0, int), np.zeros(0)
-        far = self.common[at] >= 0
-        t, x = at[~far], w[~far] * self.idf[at[~far]]
-        length = self.start[t + 1] - self.start[t]
-        i = ranges(self.start[t], length)
-        score = np.bincount(self.near_of[i], np.repeat(x, length) * self.grown[self.near_count[i]], len(self.keys)) / self.norm
-        if far.any():
-            c, q = self.common[at[far]], w[far]
-            most = np.repeat(q @ self.peak[c], self.block)[: len(score)]
-            most = score + np.minimum(most, np.sqrt((q * q).sum()) * self.far_norm)
+        bound = w * self.top[at]
+        order = np.argsort(-bound, kind="stable")
+        at, w, bound = at[order], w[order], bound[order]
+        cut = int(np.searchsorted(np.cumsum(bound), self.FIRST * bound.sum())) + 1
+        score = self.summed(at[:cut], w[:cut])
+        near = np.arange(len(score))
+        if cut < len(at):
+            rest, x = at[cut:], w[cut:]
+            length = self.peak_start[rest + 1] - self.peak_start[rest]
+            i = ranges(self.peak_start[rest], length)
+            more = np.bincount(self.peak_block[i], np.repeat(x, length) * self.peak[i], self.blocks)
             least = np.partition(score, -k)[-k] if len(score) > k else 0.0
-            near = np.flatnonzero((most > 0) & (most >= least - 1e-9))
-            full = np.zeros(len(self.far_idf))
-            full[c] = q * self.far_idf[c]
-            begin, length = self.far_start[near], self.far_start[near + 1] - self.far_start[near]
-            i = ranges(begin, length)
-            more = np.bincount(np.repeat(np.arange(len(near)), length), full[self.far_term[i]] * self.grown[self.far_count[i]], len(near))
-            score = score[near] + more / self.norm[near]
-        else:
-            near = np.arange(len(score))
+            best = np.maximum.reduceat(score, np.arange(0, len(score), self.block))
+            open_ = np.repeat(best + more >= least - 1e-9, self.block)[: len(score)]
+            most = score + np.repeat(more, self.block)[: len(score)]
+            near = np.flatnonzero(open_ & (most > 0) & (most >= least - 1e-9))
+            size = self.far_start[near + 1] - self.far_start[near]
+            if size.sum() < (self.start[rest + 1] - self.start[rest]).sum():
+                self.full[rest] = x
+                j = ranges(self.far_start[near], size)
+                more = np.bincount(np.repeat(np.arange(len(near)), size), self.full[self.far_term[j]] * self.far_value[j], len(near))
+                self.full[rest] = 0
+                score = score[near] + more
+            else:
+                score = (score + self.summed(rest, x))[near]
         score = np.round(score, 12)
         hit = np.flatnonzero(score > 0)
         if len(hit) > k:
@@ -166,19 +159,32 @@ class BlockMaxIndex:
         return (float((s * self.labels[i]).sum()) + prior) / (float(s.sum()) + 1.0), i, s
 
 
-def packed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints and numbers of a text's terms."""
-    counts = counted_terms(text)
-    return prints(counts), np.fromiter(counts.values(), int, len(counts))
+def _opened(kept: dict) -> BlockMaxIndex:
+    index = BlockMaxIndex.__new__(BlockMaxIndex)
+    index.__dict__.update(kept)
+    index.full = np.zeros(len(index.weight))
+    return index
+
+
+def indexed(sets: list[tuple]) -> tuple[BlockMaxIndex, float]:
+    """Index of examples (key, label, terms, counts), and the share of label 1 among them."""
+    sets = sorted(sets, key=lambda r: (r[0], r[1], r[2].tobytes()))
+    total = len(sets)
+    share = sum(r[1] for r in sets) / total if total else 0.0
+    names, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(r[2] for r in sets)]), return_counts=True)
+    toxic, some = np.unique(np.concatenate([np.zeros(0, np.uint64), *(r[2] for r in sets if r[1] > 0)]), return_counts=True)
+    n1 = np.zeros(len(names))
+    n1[np.searchsorted(names, toxic)] = some
+    return BlockMaxIndex(names, np.log(max(total, 1) / n) * feature_weights(n, n1, share), sets), share
 
 
 def feature_weights(n: np.ndarray, n1: np.ndarray, share: float) -> np.ndarray:
-    """How much more a term is in examples of label 1 than chance has it, in standard deviations, from 0.1 up.
+    """1, and half of how much more a term is in examples of label 1 than chance has it, in standard deviations.
 
     ``n1`` of the ``n`` examples with the term have label 1, ``share`` of all examples. The 1 in the
-    variance keeps terms of few examples low. No term has a weight of 0.
+    variance keeps terms of few examples low.
     """
-    return 0.1 + np.maximum(0.0, n1 - n * share) / np.sqrt(n * share * (1 - share) + 1)
+    return 1 + 0.5 * np.maximum(0.0, n1 - n * share) / np.sqrt(n * share * (1 - share) + 1)
 
 
 #: Pull of the logistic curve towards the raw votes: few labels do not turn it over.
@@ -216,17 +222,19 @@ def toxicity(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    sample: int = 16_000,
+    sample: int = 3_000,
     k: int = 15,
     evidence: int = 3,
     carry: list[str] | None = None,
+    named: tuple[str, str] = ("score", "evidence"),
 ) -> DataFrame:
     """One row per document: ``id_col, score, evidence array<struct<doc_id, cosine, label>>``.
 
-    Columns named in ``carry`` come instead of ``id_col``, so that a filter needs no join.
+    Columns named in ``carry`` come instead of ``id_col``, so that a filter needs no join; ``named``
+    are the names of the other two, for tables that have such columns.
 
-    At most about ``sample`` labels that ``allowed`` lets through are used, three quarters as
-    examples, the rest to calibrate. Examples are indexed over all their words and word beginnings;
+    At most about ``sample`` labelled ids that ``allowed`` lets through are used, a text of each, three
+    quarters as examples, the rest to calibrate. Examples are indexed over all their words and word beginnings;
     cosines are exact. A term's weight is its IDF times what ``feature_weights`` says. The score is
     the calibrated vote of the ``k`` nearest examples and depends on the text alone. Empty and
     missing texts score as if all neighbours were of label 0, texts without a known term get the
@@ -238,13 +246,15 @@ def toxicity(
     chosen = sampled_labels(labels, id_col, F.col(label_col), allowed, sample)
     out = carry or [id_col]
     source = docs.select(F.col(text_col).cast("string").alias("__text"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(out)))
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    # Ids of the sample: bounded by its size.
-    picked = texts.join(F.broadcast(chosen), "__id").where("__id is not null")
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    # Ids of the sample: bounded by its size. An id that comes with several texts is one example.
+    picked = texts.join(F.broadcast(chosen), "__id").groupBy("__id", "__y", "__u")
+    picked = picked.agg(F.min_by("__text", F.struct(F.xxhash64("__text"), "__text")).alias("__text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for b in batches:
-            own = [packed(t.as_py()) for t in b.column("__text")]
+            own = [counted_terms(t.as_py(), known) for t in b.column("__text")]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("__id"),
@@ -257,42 +267,51 @@ def toxicity(
             )
 
     vectors = stored(
-        picked.select(F.col("__id").cast("long").alias("__id"), "__y", "__u", "__text").mapInArrow(
-            features, "id long, y double, check boolean, terms binary, counts binary"
-        )
+        picked.select("__id", "__y", "__u", "__text").mapInArrow(features, "id long, y double, check boolean, terms binary, counts binary")
     )
-    unpacked = lambda r: (r["id"], r["y"], np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["counts"], np.uint32))
-    # A task's rows at a time: bounded by the sample.
-    sets = sorted(map(unpacked, vectors.where("not check").toLocalIterator()), key=lambda r: (r[0], r[1], r[2].tobytes()))
-    total, ones = len(sets), sum(r[1] for r in sets)
-    share = ones / total if total else 0.0
-    term = np.concatenate([np.zeros(0, np.uint64), *(r[2] for r in sets)])
-    term.sort()
-    new = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])[: len(term)])
-    names, n = term[new], np.diff(np.append(new, len(term)))
-    toxic, some = np.unique(np.concatenate([np.zeros(0, np.uint64), *(r[2] for r in sets if r[1] > 0)]), return_counts=True)
-    n1 = np.zeros(len(names))
-    n1[np.searchsorted(names, toxic)] = some
-    del term, new
-    # An example's own arrays go as soon as it is in the index.
-    index = BlockMaxIndex(names, np.log(max(total, 1) / n) * feature_weights(n, n1, share), (sets.pop() for _ in range(total)))
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for i in range(b.num_rows):
+                key, y, terms, counts = (b.column(c)[i].as_py() for c in ("id", "y", "terms", "counts"))
+                yield key, y, np.frombuffer(terms, np.uint64), np.frombuffer(counts, np.uint32)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, share = indexed(list(unpacked(batches)))
+        data = zstandard.compress(pickle.dumps(index, 5))
+        for at in range(0, len(data), PART):
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([data[at : at + PART]]), pa.array([share])], names=["at", "data", "share"])
+
+    # One task builds the index of at most about ``sample`` examples; the driver passes its bytes on.
+    parts = vectors.where("not check").coalesce(1).mapInArrow(build, "at long, data binary, share double").collect()
+    share = parts[0]["share"]
     prior = min(max(share, 1e-4), 1 - 1e-4)
+    model = spark.sparkContext.broadcast(b"".join(bytes(r["data"]) for r in sorted(parts, key=lambda r: r["at"])))
+    del parts
+
+    def opened() -> BlockMaxIndex:
+        return pickle.loads(zstandard.decompress(model.value))
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = opened()
+        for _, y, terms, counts in unpacked(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([index.vote(terms, counts, k, prior)[0]]), pa.array([y])], names=["raw", "y"])
+
     slope, offset = 1.0, 0.0
     if 0 < share < 1:
-        held = [(index.vote(t, n, k, prior)[0], y) for _, y, t, n in map(unpacked, vectors.where("check").toLocalIterator())]
-        if held:
-            slope, offset = platt(np.array([r for r, _ in held]), np.array([y for _, y in held]))
+        # Two numbers for each row kept aside: bounded by ``sample``.
+        held = np.array([tuple(r) for r in vectors.where("check").mapInArrow(votes, "raw double, y double").collect()], float)
+        if len(held):
+            held = held[np.lexsort(held.T)]
+            slope, offset = platt(held[:, 0], held[:, 1])
     only = None if 0 < share < 1 else share
-    # Spark keeps a copy in several places of each machine.
-    model = spark.sparkContext.broadcast(zstandard.compress(pickle.dumps(index, 5)))
-    del index
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = pickle.loads(zstandard.decompress(model.value))
+        found, known = opened(), Words()
         for b in batches:
             scores, proofs = [], []
             for text in b.column("__text"):
-                raw, i, s = found.vote(*packed(text.as_py()), k, prior)
+                raw, i, s = found.vote(*counted_terms(text.as_py(), known), k, prior)
                 x = slope * np.log(raw / (1 - raw)) + offset
                 scores.append(only if only is not None else float(1 / (1 + np.exp(-x))))
                 proofs.append(
@@ -308,4 +327,4 @@ def toxicity(
     scored = source.mapInArrow(
         score, f"{kinds}__score double, __evidence array<struct<doc_id: long, cosine: double, label: int>>"
     )
-    return scored.toDF(*out, "score", "evidence")
+    return scored.toDF(*out, *named)

@@ -11,7 +11,8 @@ from tokenizers import Tokenizer
 from civicframe.llm.mixing import fitted_rates, mix
 from civicframe.llm.packing import encoder, pack, pack_rows
 from civicframe.llm.queries import QUERIES
-from civicframe.llm.toxicity import BlockMaxIndex, counted_terms, platt, toxicity
+from civicframe.llm.jaccard_join import Words
+from civicframe.llm.toxicity import BlockMaxIndex, counted_terms, feature_weights, platt, toxicity
 from pyspark.sql import functions as F
 
 FOLDER = "/root/testdata/sf0.001"
@@ -83,20 +84,26 @@ def test_packing_query(spark):
     assert sum(r.length for r in rows) == sum(len(x) + 1 for x in docs.values())
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("first", [0.1, 0.8, 1.0])
+def test_block_max_search_is_exact(first):
     rng = np.random.default_rng(2)
-    words = [f"w{i}".encode() for i in range(40)]
-    draw = lambda: {words[i]: int(rng.integers(1, 4)) for i in set(rng.geometric(0.12, rng.integers(0, 8)) % 40)}
-    examples = [(i, float(rng.integers(2)), *map(list, zip(*d.items(), strict=True))) if (d := draw()) else (i, 0.0, [], []) for i in range(500)]
+    names = np.sort(rng.integers(0, 2**63, 40).astype(np.uint64))
+
+    def draw():
+        terms = np.unique(rng.geometric(0.12, rng.integers(0, 8)) % 40)
+        return names[terms], rng.integers(1, 4, len(terms))
+
+    examples = [(i, float(rng.integers(2)), *draw()) for i in range(500)]
     examples += [(500 + i, *examples[i][1:]) for i in range(100)]
-    index = BlockMaxIndex(words, rng.uniform(0.5, 3, 40), examples, block=16)
+    index = BlockMaxIndex(names, rng.uniform(0, 3, 40).round(1), examples, block=16)
+    index.FIRST = first
     dense = np.zeros((len(index.keys), 40))
     by_key = {e[0]: e for e in examples}
     for n, key in enumerate(index.keys):
-        at, w = index.vector(dict(zip(*by_key[key][2:], strict=True)))
+        at, w = index.unit(*by_key[key][2:])
         dense[n, at] = w
     for _ in range(200):
-        at, w = index.vector(draw())
+        at, w = index.unit(*draw())
         i, s = index.nearest(at, w, 15)
         q = np.zeros(40)
         q[at] = w
@@ -105,6 +112,59 @@ def test_block_max_search_is_exact():
         assert i.tolist() == best and np.allclose(s, full[best])
 
 
+def test_toxicity_query_against_brute_force(spark):
+    """Weights, cosines of all pairs, votes and calibration of the whole query, worked out plainly."""
+    rows = QUERIES["op2_toxicity"](spark, FOLDER).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    marks = spark.read.parquet(f"{FOLDER}/labels.parquet").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    marks = marks.withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))).collect()
+    marks = [r for r in marks if r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    known = Words()
+    counts = {i: dict(zip(*(x.tolist() for x in counted_terms(t, known)), strict=True)) for i, t in texts.items()}
+    chosen, aside = [r for r in marks if r.u % 4], [r for r in marks if r.u % 4 == 0]
+    names = sorted({t for r in chosen for t in counts[r.doc_id]})
+    place = {t: k for k, t in enumerate(names)}
+    n, n1 = np.zeros(len(names)), np.zeros(len(names))
+    for r in chosen:
+        for t in counts[r.doc_id]:
+            n[place[t]] += 1
+            n1[place[t]] += r.y
+    share = sum(r.y for r in chosen) / len(chosen)
+    weight = np.log(len(chosen) / n) * feature_weights(n, n1, share)
+
+    def vector(i):
+        v = np.zeros(len(names))
+        for t, c in counts[i].items():
+            if t in place:
+                v[place[t]] = (1 + np.log(c)) * weight[place[t]]
+        return v / (np.linalg.norm(v) or 1)
+
+    ordered = sorted(((int(v.argmax()), r.doc_id, v, r.y) for r in chosen if (v := vector(r.doc_id)).any()), key=lambda x: x[:2])
+    matrix = np.array([v for *_, v, _ in ordered])
+
+    def vote(i):
+        if not counts[i]:
+            return share / 16, []
+        cosine = np.round(matrix @ vector(i), 12)
+        best = [j for j in np.lexsort((np.arange(len(cosine)), -cosine)) if cosine[j] > 0][:15]
+        return (sum(cosine[j] * ordered[j][3] for j in best) + share) / (sum(cosine[j] for j in best) + 1), [ordered[j][1] for j in best[:3]]
+
+    slope, offset = platt(np.array([vote(r.doc_id)[0] for r in aside]), np.array([r.y for r in aside], float))
+    for r in rows:
+        raw, evidence = vote(r.doc_id)
+        assert abs(r.score - 1 / (1 + np.exp(-(slope * np.log(raw / (1 - raw)) + offset)))) < 1e-8
+        assert [e.doc_id for e in r.evidence] == evidence
+
+
+def test_one_text_of_an_id_is_an_example(spark):
+    texts = [(1, f"text number {i}") for i in range(300)] + [(i, f"plain w{i}" if i % 2 else f"rotten w{i}") for i in range(2, 60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(1, 60)], "doc_id long, toxic int")
+    found = {e.doc_id: e.label for r in toxicity(docs, labels, F.lit(True), evidence=15).collect() for e in r.evidence if e.doc_id == 1}
+    assert len(found) <= 1
+    assert max(Counter(e.doc_id for e in r.evidence)[1] for r in toxicity(docs, labels, F.lit(True), evidence=15).collect()) <= 1
+
+
 def test_platt_is_calibrated():
     raw = np.repeat([0.1, 0.5, 0.9], 200)
     y = np.concatenate([np.arange(200) < n for n in (4, 60, 180)]).astype(float)
@@ -139,9 +199,10 @@ def test_toxicity_odd_rows(spark):
     assert sorted(by[5])[1] == by[None][0] == by[6][0]
     assert toxicity(docs.limit(0), labels, F.lit(True)).count() == 0
     assert {r.score for r in toxicity(docs, labels.limit(0), F.lit(True)).collect()} == {0.0}
-    assert counted_terms("Ab-ab, vequ9 abcdef") == {
-        b"ab": 2, b"vequ": 1, b"vequ*": 1, b"abcdef": 1, b"abcd*": 1, b"abcde*": 1, b"abcdef*": 1
-    }
+    known = Words()
+    terms, often = counted_terms("Ab-ab, vequ9 abcdef", known)
+    expected = {known[b"ab"]: 2, known[b"vequ"]: 1, known[b"abcdef"]: 1, known[b"abcde*"]: 1}
+    assert dict(zip(terms.tolist(), often.tolist(), strict=True)) == expected and not len(counted_terms(None, known)[0])
 
 
 def test_toxicity_small_table(spark):
