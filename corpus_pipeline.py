@@ -22,8 +22,11 @@ TARGETS = {"q0": 0.05, "q1": 0.95}
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text scores under ``TOXIC_FROM``; all labels are learned from."""
-    scored = toxicity(docs, table(spark, sf_dir, "labels"), F.lit(True), carry=docs.columns)
-    return scored.where(F.col("score") < TOXIC_FROM).select(*docs.columns)
+    # Names that no column of the documents has.
+    room = "_" * max(map(len, docs.columns))
+    names = (f"{room}score", f"{room}evidence")
+    scored = toxicity(docs, table(spark, sf_dir, "labels"), F.lit(True), carry=docs.columns, named=names)
+    return scored.where(F.col(names[0]) < TOXIC_FROM).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
