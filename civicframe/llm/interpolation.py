@@ -25,6 +25,10 @@ from .store import stored, tasks
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Tokens of a block, about.
 BLOCK = 3_000_000
+#: Tokens of a block that are scored at a time, about; a longer document is scored as a whole.
+SLICE = 200_000
+#: Characters of input for each shard of the exchange.
+SHARD_CHARS = 20_000_000
 #: Context counts fall into buckets by powers of two up to this one.
 BUCKETS = 18
 #: Width of the bins, in natural logarithms, in which held-out tokens are counted for the mixture weights.
@@ -121,13 +125,17 @@ def interpolated(
     table gives an empty result. ``train`` and ``fold`` count as false where they are missing.
     """
     spark = docs.sparkSession
-    parts, limit = shards or tasks(spark), block
+    limit = block
     yes = lambda c: F.coalesce(c, F.lit(False))
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(text_col).cast("string").alias("text"),
         (yes(train).cast("int") + (yes(train) & yes(fold)).cast("int")).alias("part"),
     )
+    parts = shards
+    if parts is None:
+        chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+        parts = max(tasks(spark), -(-chars // SHARD_CHARS))
     types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
     names = ROW.replace(",", "").split()[::2]
 
@@ -205,16 +213,11 @@ def interpolated(
             yield block()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Totals per shard; packs pass through to their block's task."""
-        asked = defaultdict(list)
-        for b in batches:
-            for i in range(b.num_rows):
-                row = [c[i].as_py() for c in b.columns]
-                if row[0] == PACK:
-                    yield table([(*row[:4], row[1], *row[5:])])
-                else:
-                    asked[row[2], row[3]].append((row[1], row[5], row[6], row[7]))
-        for (order, shard), held in asked.items():
+        """Totals per shard, one shard after the other; packs pass through to their block's task."""
+        now, held = None, []
+
+        def totals_of() -> Iterator[pa.RecordBatch]:
+            order, shard = now
             grams = [sorted_spread(x[1]) for x in held]
             names_of, place = np.unique(np.concatenate(grams), return_inverse=True)
             edge = np.cumsum([0, *map(len, grams)])
@@ -228,12 +231,25 @@ def interpolated(
                 back = [squeezed(t[place[lo:hi]].astype(np.uint64)) for t in totals]
                 yield table([(ANSWER, number, order, shard, number, None, *back, None)])
 
+        for b in batches:
+            for i in range(b.num_rows):
+                row = [c[i].as_py() for c in b.columns]
+                if row[0] == PACK:
+                    yield table([(*row[:4], row[1], *row[5:])])
+                    continue
+                if now != (row[2], row[3]):
+                    if held:
+                        yield from totals_of()
+                    now, held = (row[2], row[3]), []
+                held.append((row[1], row[5], row[6], row[7]))
+        if held:
+            yield from totals_of()
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Packs with totals: of each word of the block, of the start, and of each token's bigram."""
-        held = defaultdict(lambda: [None, {}])
+        """Packs with totals: of each word of the block, of the start, and of each token's bigram. A block's rows come together."""
+        now, pack, answers = None, None, {}
 
         def finished(number: int) -> pa.RecordBatch:
-            pack, answers = held.pop(number)
             totals = {
                 (order, k): np.concatenate([spread(answers[o, s][k], np.uint64) for o, s in sorted(answers) if o == order])
                 for order in (1, 2)
@@ -261,36 +277,51 @@ def interpolated(
                 row = [c[i].as_py() for c in b.columns]
                 if row[0] == SIZE:
                     yield table([tuple(row)])
-                elif row[0] == PACK:
-                    held[row[1]][0] = row[5:8]
+                    continue
+                if row[1] != now:
+                    if now is not None:
+                        yield finished(now)
+                    now, pack, answers = row[1], None, {}
+                if row[0] == PACK:
+                    pack = row[5:8]
                 else:
-                    held[row[1]][1][row[2], row[3]] = row[6:8]
-        for number in list(held):
-            yield finished(number)
+                    answers[row[2], row[3]] = row[6:8]
+        if now is not None:
+            yield finished(now)
 
-    exchanged = rows.mapInArrow(ask, ROW).repartition(parts, "goes").mapInArrow(answer, ROW).repartition(parts, "goes")
+    asked = rows.mapInArrow(ask, ROW).repartition(parts, "goes").sortWithinPartitions("goes", "grams", "kind")
+    exchanged = asked.mapInArrow(answer, ROW).repartition(parts, "goes").sortWithinPartitions("goes", "kind")
     blocks = stored(exchanged.mapInArrow(counted, ROW))
     packs = blocks.where(F.col("kind") == PACK).select("a", "b", "c", "d")
 
     def opened(batches: Iterator[pa.RecordBatch]):
+        """Blocks in slices of whole documents."""
         for b in batches:
             for i in range(b.num_rows):
                 rank, ones, about, twos = (b.column(c)[i].as_py() for c in "abcd")
                 rank, ones, twos = spread(rank, np.uint32), spread(ones, np.uint64), spread(twos, np.uint64)
                 ids, lengths, part, known = meta(about)
-                starts = starts_of(lengths)
                 size, tokens = (len(ones) - 2) // 2, len(rank)
-                counts = []
-                held = np.zeros(tokens)
-                held[np.repeat(part == 2, lengths)] = twos[tokens:]
-                bigrams = (twos[:tokens].astype(float), held)
-                for k in (0, 1):
-                    one = ones[2 + k * size : 2 + (k + 1) * size][rank].astype(float)
-                    before = np.empty(tokens)
-                    before[1:] = one[:-1]
-                    before[starts] = float(ones[k])
-                    counts.append((bigrams[k], before, one))
-                yield ids, lengths, part, known, starts, counts
+                end = np.cumsum(lengths)
+                # Where the counts of held-out documents' bigrams begin.
+                held_before = np.concatenate([[0], np.cumsum(np.where(part == 2, lengths, 0))])
+                lo = 0
+                while lo < len(ids):
+                    begin = int(end[lo] - lengths[lo])
+                    hi = max(lo + 1, int(np.searchsorted(end, begin + SLICE, "right")))
+                    mine, stop = slice(lo, hi), int(end[hi - 1])
+                    starts = starts_of(lengths[mine])
+                    held = np.zeros(stop - begin)
+                    held[np.repeat(part[mine] == 2, lengths[mine])] = twos[tokens + held_before[lo] : tokens + held_before[hi]]
+                    counts = []
+                    for k, two in enumerate((twos[begin:stop].astype(float), held)):
+                        one = ones[2 + k * size : 2 + (k + 1) * size][rank[begin:stop]].astype(float)
+                        before = np.empty(len(one))
+                        before[1:] = one[:-1]
+                        before[starts] = float(ones[k])
+                        counts.append((two, before, one))
+                    yield ids[mine], lengths[mine], part[mine], known[mine], starts, counts
+                    lo = hi
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, lengths, part, _, _, _ in opened(batches):

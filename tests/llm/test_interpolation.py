@@ -112,6 +112,17 @@ def test_scores_on_a_table(spark, block):
     close(columns(got), brute(rows, lambda i: i % 7 != 2, lambda i: i % 8 == 0))
 
 
+def test_slices_do_not_matter(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").union(spark.createDataFrame([(None, None, "en", "s", 0), (5, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long"))
+    args = (F.col("doc_id") % 7 != 2, F.col("doc_id") % 8 == 0)
+    whole = sorted(map(tuple, interpolated(docs, *args).collect()), key=repr)
+    monkeypatch.setattr("civicframe.llm.interpolation.SLICE", 300)
+    cut = sorted(map(tuple, interpolated(docs, *args, block=5000, shards=3).collect()), key=repr)
+    assert len(whole) == len(cut) == 202
+    for a, b in zip(whole, cut, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
