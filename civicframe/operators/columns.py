@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.missing import lenient
+from .position import POSITION, stacked
 
 
 _TYPES = {
@@ -102,5 +103,13 @@ def union_all(*frames: DataFrame) -> DataFrame:
 
 
 def union_distinct(*frames: DataFrame) -> DataFrame:
-    """Set union by column name, with a single duplicate removal at the end."""
+    """Set union by column name, with a single duplicate removal at the end.
+
+    Tables that carry their input position are stacked in the order given, and of rows that agree in
+    all else the first position stays.
+    """
+    if all(POSITION in f.columns for f in frames):
+        rows = stacked(*frames)
+        others = [c for c in rows.columns if c != POSITION]
+        return rows.groupBy(*others).agg(F.min(POSITION).alias(POSITION)).select(rows.columns)
     return reduce(lambda a, b: a.unionByName(b), frames).distinct()

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.missing import sum_present
 from ..session import reliable_checkpoint
 from .joins import spread_join
+from .position import in_order
 
 
 def aggregate_by(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
@@ -39,29 +40,27 @@ def grand_total(df: DataFrame, **aggs: Column) -> DataFrame:
     return out.withColumns({n: F.col(f"__total.{n}") for n in aggs}).drop("__total")
 
 
-def _picked(df: DataFrame, keys: Sequence[str], order_by: Sequence, k: int) -> DataFrame:
-    if not order_by:
-        raise ValueError("order_by is required: rows have no order of their own")
+def _picked(df: DataFrame, keys: Sequence[str], order_by: Sequence | None, k: int) -> DataFrame:
+    order_by = in_order(df, order_by)
     ranked = df.withColumn(
         "__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))
     )
     return ranked.filter(F.col("__rank") <= k).drop("__rank")
 
 
-def keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence) -> DataFrame:
-    """First row of each key. Each task keeps one row per key before anything is shuffled."""
+def keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence | None = None) -> DataFrame:
+    """First row of each key, in input order if none is given. Each task keeps one row per key before anything is shuffled."""
     return _picked(df, keys, order_by, 1)
 
 
-def top_k_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence, k: int) -> DataFrame:
+def top_k_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence | None, k: int) -> DataFrame:
     """First ``k`` rows of each key, reduced the same way before the shuffle."""
     return _picked(df, keys, order_by, k)
 
 
-def later_rows(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """Rows of each key after its first; ``order_by`` must tell the rows of a key apart."""
-    if not order_by:
-        raise ValueError("order_by is required: rows have no order of their own")
+def later_rows(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] | None = None) -> DataFrame:
+    """Rows of each key after its first; ``order_by`` must tell the rows of a key apart, as the input position does."""
+    order_by = in_order(df, order_by)
     order = F.struct(*order_by)
     firsts = df.groupBy(*keys).agg(F.min(order).alias("__first"))
     return (
@@ -83,11 +82,10 @@ def largest_per_key(
 
 
 def first_per_group(
-    df: DataFrame, keys: Sequence[str], cols: Sequence[str], order_by: Sequence[str]
+    df: DataFrame, keys: Sequence[str], cols: Sequence[str], order_by: Sequence[str] | None = None
 ) -> DataFrame:
     """First value of ``cols`` in each group; rows with a missing key form a group."""
-    if not order_by:
-        raise ValueError("order_by is required: rows have no order of their own")
+    order_by = in_order(df, order_by)
     first = F.min_by(F.struct(*cols), F.struct(*order_by)).alias("__first")
     picked = df.groupBy(*keys).agg(first)
     return picked.select(*keys, *[F.col(f"__first.{c}").alias(c) for c in cols])
@@ -147,16 +145,15 @@ def histogram(df: DataFrame, x: str, bins: int, by: Sequence[str] = ()) -> DataF
     )
 
 
-def with_row_id(df: DataFrame, order_by: Sequence[str], out: str = "row_id") -> DataFrame:
-    """Number the rows from 1 in the order given, without bringing them into one task.
+def with_row_id(df: DataFrame, order_by: Sequence[str] | None = None, out: str = "row_id") -> DataFrame:
+    """Number the rows from 1 in the order given, or that of the input, without bringing them into one task.
 
     Rows are range-partitioned, with a row digest and the input position behind the sort
     columns so that equal rows spread too, and written to the checkpoint folder: numbering
     reads them twice and must find the same partitions. The table of partition sizes that is
     broadcast has one row per partition.
     """
-    if not order_by:
-        raise ValueError("order_by is required: rows have no order of their own")
+    order_by = in_order(df, order_by)
     ties = {
         "__digest": F.xxhash64(*df.columns),
         "__place": F.monotonically_increasing_id(),
@@ -180,7 +177,7 @@ def with_row_id(df: DataFrame, order_by: Sequence[str], out: str = "row_id") ->
 
 
 def slice_rows(
-    df: DataFrame, order_by: Sequence[str], first: int, last: int | None = None
+    df: DataFrame, order_by: Sequence[str] | None, first: int, last: int | None = None
 ) -> DataFrame:
     """Rows ``first`` to ``last`` by position, counted from 1; to the end without ``last``."""
     numbered = with_row_id(df, order_by, "__row")

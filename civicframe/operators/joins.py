@@ -95,6 +95,7 @@ def spread_join(
     residual: Column | None = None,
     small: bool | None = None,
     hot_source: DataFrame | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join whose left side may hold a large share of its rows under one key.
 
@@ -104,12 +105,20 @@ def spread_join(
     the row over as many tasks as its count asks for, and the right rows of these keys, and only
     these, are repeated once per task; a missing key is a key like others. All rows take part, so
     the result is that of the plain join, whichever form the size asks for. ``hot_source`` is a
-    table with the left keys that is cheaper to count than ``left``, such as what it was joined from.
-    ``residual`` may add a condition on both sides. ``how`` is inner, left, semi or anti.
+    table with the left keys that is cheaper to count than ``left``, such as what it was joined from;
+    ``hot`` gives the hot keys themselves, as ``hot_keys`` does.
+    ``residual`` may add a condition on both sides. ``how`` is inner, left, semi or anti; right and
+    full are those of ``outer_join_all``, without a residual.
     """
+    pairs = _pairs(on)
+    if how == "full" and residual is None:
+        return outer_join_all([left, right.withColumnsRenamed({b: a for a, b in pairs})], [a for a, _ in pairs])
+    if how == "right" and residual is None:
+        left, right = rename_clashes(left, right, pairs, ("_x", "_y"))
+        back = spread_join(right.withColumnsRenamed({b: a for a, b in pairs}), left, [a for a, _ in pairs], "left", small=small)
+        return back.select(*left.columns, *(c for c in back.columns if c not in left.columns))
     if how not in ("inner", "left", "semi", "anti"):
         raise ValueError(f"spread_join cannot do {how!r}")
-    pairs = _pairs(on)
     left_keys, right_keys = [a for a, _ in pairs], [b for _, b in pairs]
     names = _other_names(right_keys, "r")
     right = right.withColumnsRenamed(names)
@@ -120,8 +129,9 @@ def spread_join(
         right = F.broadcast(right)
     if not small:
         hot_names = _other_names(left_keys, "h")
-        counted = left if hot_source is None else hot_source
-        hot = F.broadcast(hot_keys(counted, left_keys).withColumnsRenamed(hot_names))
+        if hot is None:
+            hot = hot_keys(left if hot_source is None else hot_source, left_keys)
+        hot = F.broadcast(hot.withColumnsRenamed(hot_names))
         salts = F.coalesce("__salts", F.lit(1))
         place = _row_hash(left)
         marked = left.join(hot, _same([(a, hot_names[a]) for a in left_keys]), "left")
@@ -145,13 +155,34 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "left") -> DataFr
     shared = [c for c in left.columns if c in right.columns]
     if not shared:
         raise ValueError("the two sides share no column")
-    join = spread_join if how in ("inner", "left", "semi", "anti") else null_safe_join
-    return join(left, right, shared, how)
+    return spread_join(left, right, shared, how)
 
 
 def outer_join_all(frames: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
-    """Chain of full outer joins on the same keys."""
-    return reduce(lambda a, b: null_safe_join(a, b, on, "full"), frames)
+    """Chain of full outer joins on the same keys, whose tables may hold many rows under one key.
+
+    Keys with more than ``ROWS_PER_TASK`` rows in some table are hot, a missing key like others. Rows of all
+    other keys go through plain full outer joins. Rows of hot keys are joined from the left, spread
+    by salts, and each table adds its rows whose key no earlier table has, found by one anti join
+    with the distinct keys. The hot keys that are broadcast have a row for so many rows at most.
+    """
+    on, frames = list(on), list(frames)
+    if len(frames) < 2 or all(fits_broadcast(f) for f in frames):
+        return reduce(lambda a, b: null_safe_join(a, b, on, "full"), frames)
+    counted = reduce(DataFrame.unionByName, [hot_keys(f, on) for f in frames])
+    hot = counted.groupBy(*on).agg(F.max("__salts").alias("__salts"))
+    names = _other_names(on, "h")
+    marks = F.broadcast(hot.select(*(F.col(k).alias(n) for k, n in names.items())))
+    same = _same(list(names.items()))
+    cold = reduce(lambda a, b: null_safe_join(a, b, on, "full"), [f.join(marks, same, "left_anti") for f in frames])
+    warm = [f.join(marks, same, "left_semi") for f in frames]
+    joined, seen = warm[0], warm[0].select(*on).distinct()
+    for f in warm[1:]:
+        joined, f = rename_clashes(joined, f, on, ("_x", "_y"))
+        alone = spread_join(f, seen, on, "anti", small=False, hot=hot)
+        joined = spread_join(joined, f, on, "left", small=False, hot=hot).unionByName(alone, allowMissingColumns=True)
+        seen = seen.union(f.select(*on)).distinct()
+    return cold.unionByName(joined)
 
 
 def semi_join(left: DataFrame, right: DataFrame, on: str | Sequence[Key]) -> DataFrame:

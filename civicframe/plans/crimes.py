@@ -28,8 +28,9 @@ def monthly_counts(
     ``community_names``: community_area, community.
     """
     keys = KEYS if zips is not None else [k for k in KEYS if k != "zip"]
-    found = crimes.dropna(subset=["date", "arrest", "community_area", "year"]).distinct()
-    found = look_up(found.withColumn("month", month_floor("date")), categories, "primary_type")
+    found = crimes.dropna(subset=["date", "arrest", "community_area", "year"])
+    # Types without a category go before rows are moved.
+    found = look_up(found, categories, "primary_type").distinct().withColumn("month", month_floor("date"))
     if zips is not None:
         found = point_in_polygon_join(found, zips, ["zip"], "longitude", "latitude", cell=cell, how="inner")
     counts = aggregate_by(found, keys, count_of_crimes=F.count(F.lit(1)))

@@ -1,4 +1,7 @@
-"""Readers. Every one takes an explicit schema; nothing is inferred."""
+"""Readers. Every one takes an explicit schema; nothing is inferred.
+
+With ``position=True`` rows carry their place in the input, see ``operators.position``.
+"""
 
 from __future__ import annotations
 
@@ -10,15 +13,16 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.geometry import orient_polygon, point
+from ..operators.position import POSITION, with_item, with_position
 
 Schema = str | T.StructType
 
 
 def read_delimited(
-    spark: SparkSession, path: str, schema: Schema, missing: str = "NA", sep: str = ","
+    spark: SparkSession, path: str, schema: Schema, missing: str = "NA", sep: str = ",", position: bool = False
 ) -> DataFrame:
     """Delimited text with a header line; the text ``missing`` stands for a missing value."""
-    return (
+    rows = (
         spark.read.schema(schema)
         .option("header", True)
         .option("sep", sep)
@@ -27,42 +31,39 @@ def read_delimited(
         .option("escape", '"')
         .csv(path)
     )
+    return with_position(rows) if position else rows
 
 
 def read_records_json(
-    spark: SparkSession, path: str, schema: Schema, multiline: bool = True
+    spark: SparkSession, path: str, schema: Schema, multiline: bool = True, position: bool = False
 ) -> DataFrame:
     """Flat records, as one JSON array per file or (``multiline=False``) one record per line.
 
     One array is one value to the parser: a large export should be landed as lines or as many
     files, which are read in parallel.
     """
-    return spark.read.schema(schema).option("multiLine", multiline).json(path)
+    rows = spark.read.schema(schema).option("multiLine", multiline).json(path)
+    return with_position(rows) if position else rows
 
 
 def read_report(
-    spark: SparkSession, path: str, schema: T.StructType, skip: int, missing: str = ""
+    spark: SparkSession, path: str, schema: T.StructType, skip: int, missing: str = "", position: bool = False
 ) -> DataFrame:
     """Delimited report with ``skip`` lines before the header line in every file.
 
     Files are split as usual. Only the first block of a file is put in line order, to cut its
     first ``skip + 1`` lines. A field must not contain a line break.
     """
-    lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("at"),
-    )
-    order = F.row_number().over(Window.partitionBy("file").orderBy("at"))
-    head = (
-        lines.filter("start = 0").withColumn("line", order).filter(F.col("line") > skip + 1)
-    ).select("value")
-    body = head.unionByName(lines.filter("start > 0").select("value"))
+    lines = with_position(spark.read.text(path))
+    start = F.col(POSITION).start
+    order = F.row_number().over(Window.partitionBy(F.col(POSITION).file).orderBy(F.col(POSITION).row))
+    head = lines.filter(start == 0).withColumn("line", order).filter(F.col("line") > skip + 1).drop("line")
+    body = head.unionByName(lines.filter(start > 0))
     parsed = F.from_csv(
         "value", _ddl(schema), {"nullValue": missing, "quote": '"', "escape": '"'}
     )
-    return body.filter(F.trim("value") != "").select(parsed.alias("r")).select("r.*")
+    kept = [POSITION] if position else []
+    return body.filter(F.trim("value") != "").select(parsed.alias("r"), *kept).select("r.*", *kept)
 
 
 def _ddl(schema: T.StructType) -> str:
@@ -107,6 +108,7 @@ def read_boundaries(
     path: str,
     attrs: Mapping[str, str] | Sequence[str],
     multiline: bool = True,
+    position: bool = False,
 ) -> DataFrame:
     """Polygons of a GeoJSON feature collection with the wanted properties, and ``rings``.
 
@@ -120,13 +122,15 @@ def read_boundaries(
     )
     if multiline:
         schema = T.StructType([T.StructField("features", T.ArrayType(feature))])
-        rows = spark.read.schema(schema).option("multiLine", True).json(path)
-        rows = rows.select(F.explode("features").alias("f")).select("f.*")
+        rows = with_position(spark.read.schema(schema).option("multiLine", True).json(path))
+        rows = rows.select(F.posexplode("features").alias("item", "f"), POSITION)
+        rows = rows.select("f.*", with_item(F.col("item")).alias(POSITION))
     else:
-        rows = spark.read.schema(feature).json(path)
+        rows = with_position(spark.read.schema(feature).json(path))
     return rows.select(
         *[F.col("properties").getField(p).alias(n) for n, p in names.items()],
         parse_geometry("geometry").alias("rings"),
+        *([POSITION] if position else []),
     )
 
 
@@ -135,13 +139,15 @@ def geometry_column(df: DataFrame, source: str, out: str = "rings") -> DataFrame
     return df.withColumn(out, parse_geometry(source)).drop(source)
 
 
-def read_columnar_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_columnar_json(spark: SparkSession, path: str, schema: T.StructType, position: bool = False) -> DataFrame:
     """Rows of a JSON document that holds one array per column."""
     arrays = T.StructType(
         [T.StructField(f.name, T.ArrayType(f.dataType)) for f in schema.fields]
     )
-    doc = spark.read.schema(arrays).option("multiLine", True).json(path)
-    return doc.select(F.inline(F.arrays_zip(*[f.name for f in schema.fields])))
+    doc = with_position(spark.read.schema(arrays).option("multiLine", True).json(path))
+    rows = doc.select(F.posexplode(F.arrays_zip(*[f.name for f in schema.fields])).alias("item", "f"), POSITION)
+    kept = [with_item(F.col("item")).alias(POSITION)] if position else []
+    return rows.select("f.*", *kept)
 
 
 # Field names of a geocoder response.

@@ -80,4 +80,5 @@ def test_points_are_found_by_an_equi_join(spark):
 def test_only_needed_columns_are_read(spark):
     scans = re.findall(r"FileScan parquet \[([^\]]*)\]", plan(spark, "crimes_monthly"))
     wide = [s for s in scans if "l_shipdate" in s]
-    assert wide and all("l_extendedprice" not in s and "l_orderkey" not in s for s in wide)
+    # All that makes up a crime counts, since crimes are a set; nothing else is read.
+    assert wide and not re.search("l_(extendedprice|discount|tax|commitdate|receiptdate|comment)", " ".join(wide))

@@ -57,7 +57,7 @@ def test_spread_join_salts_only_without_broadcast(spark, no_broadcast):
     plan = joins.spread_join(left, right, "k")._jdf.queryExecution().executedPlan().toString()
     assert "__salt" in plan
     with pytest.raises(ValueError):
-        joins.spread_join(left, right, "k", "full")
+        joins.spread_join(left, right, "k", "cross")
 
 
 def test_natural_join_needs_shared_names(spark):
