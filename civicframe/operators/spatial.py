@@ -217,16 +217,11 @@ def enrich_areas(
     return spread_join(points, spots, [lon, lat], "left")
 
 
-def _turn(p: str, q: str, r: tuple[str, str]) -> str:
-    """Twice the signed area of the triangle from edge ``p`` (its two ends) to the point ``r``."""
-    return f"(({p}.bx - {p}.ax) * ({r[1]} - {p}.ay) - ({p}.by - {p}.ay) * ({r[0]} - {p}.ax))"
-
-
 def _edges_meet(a: str, b: str) -> str:
-    """The two closed edges have a point in common."""
+    """The two closed edges have a point in common, whatever rounding does: the turns' signs are exact."""
     ends = lambda e: ((f"{e}.ax", f"{e}.ay"), (f"{e}.bx", f"{e}.by"))
-    turns_b = [_turn(a, b, p) for p in ends(b)]
-    turns_a = [_turn(b, a, p) for p in ends(a)]
+    turns_b = [f"({G.turn_sign(*ends(a), p)})" for p in ends(b)]
+    turns_a = [f"({G.turn_sign(*ends(b), p)})" for p in ends(a)]
     beside = " AND ".join(
         f"greatest({a}.a{c}, {a}.b{c}) >= least({b}.a{c}, {b}.b{c}) AND greatest({b}.a{c}, {b}.b{c}) >= least({a}.a{c}, {a}.b{c})"
         for c in ("x", "y")
