@@ -13,7 +13,7 @@ from ..functions.missing import first_present, if_else, matches, paste
 from ..functions.text import address_key, extract_first, parse_city, parse_zip
 from .columns import union_distinct
 from .groups import slice_rows, top_k_per_key
-from .joins import anti_join, semi_join, spread_join
+from .joins import anti_join, spread_join
 
 # Fixed value: the mark of an answer that lies outside the wanted county or state.
 MISIDENTIFIED = "MISIDENTIFIED"
@@ -155,7 +155,8 @@ def geocode_rounds(
     """Try the rounds in turn, each on the rows no earlier one has an accepted answer for.
 
     Adds ``round`` and ``found``, the accepted answers of the first successful round as an array
-    of ``fields`` structs; both are missing for rows no round could place. One join per round,
+    of ``fields`` structs; both are missing for rows no round could place. ``refused`` has the answers
+    that did not pass in the last round that a row was asked in. One join per round,
     so the plan grows with the number of rounds and not with its powers.
     """
     out = addresses.withColumns(
@@ -171,12 +172,16 @@ def geocode_rounds(
         )
         accepted = F.filter("__places", lambda p: accept(F.col(given), p[formatted]))
         slim = F.transform("__ok", lambda p: F.struct(*[p[f].alias(f) for f in r.fields]))
+        bad = F.filter("__places", lambda p: ~F.coalesce(accept(F.col(given), p[formatted]), F.lit(False)))
+        bad = F.transform(bad, lambda p: F.struct(*[p[f].alias(f) for f in r.fields]))
         hit = F.coalesce(F.size("__ok") > 0, F.lit(False))
         out = (
             joined.withColumn("__ok", accepted)
             .withColumns(
                 {
                     f"__found{i}": F.when(hit, slim),
+                    f"__asked{i}": ~F.col("__done"),
+                    f"__refused{i}": F.when(~F.col("__done"), bad),
                     "round": F.when(hit, F.lit(r.name)).otherwise(F.col("round")),
                     "__done": F.col("__done") | hit,
                 }
@@ -184,7 +189,11 @@ def geocode_rounds(
             .drop("__places", "__key", "__ok")
         )
         answers.append(f"__found{i}")
-    return out.withColumn("found", F.coalesce(*answers)).drop("__done", *answers)
+    last = F.lit(None)
+    for i in range(len(answers)):
+        last = F.when(F.col(f"__asked{i}"), F.col(f"__refused{i}")).otherwise(last)
+    used = [f"__{n}{i}" for n in ("asked", "refused") for i in range(len(answers))]
+    return out.withColumns({"found": F.coalesce(*answers), "refused": last}).drop("__done", *answers, *used)
 
 
 def with_zip_and_city(found: DataFrame, key: str = "case_no") -> DataFrame:
@@ -210,7 +219,7 @@ def accepted_locations(located: DataFrame, key: str = "case_no") -> DataFrame:
 
 def unplaced(located: DataFrame) -> DataFrame:
     """Rows that no round could place."""
-    return located.filter("round IS NULL").drop("round", "found")
+    return located.filter("round IS NULL").drop("round", "found", "refused")
 
 
 def ambiguous(located: DataFrame) -> DataFrame:
@@ -218,18 +227,29 @@ def ambiguous(located: DataFrame) -> DataFrame:
     return located.filter(F.size("found") > 1)
 
 
+def to_check(located: DataFrame) -> DataFrame:
+    """Answers for a look by hand, one row each, as ``found_<field>`` beside the row's own columns; distinct.
+
+    These are the answers that did not pass, also those of rows that have a good one, all accepted answers of rows with
+    more than one, and a row without an answer for each that no round could place or answer.
+    """
+    own = [c for c in located.columns if c not in ("round", "found", "refused")]
+    fields = located.schema["found"].dataType.elementType.names
+    several = F.when(F.size("found") > 1, F.col("found"))
+    none = F.array().cast(located.schema["found"].dataType)
+    answers = F.concat(F.coalesce("refused", none), F.coalesce(several, none))
+    some = located.withColumn("__answers", answers).filter(F.col("round").isNull() | (F.size("__answers") > 0))
+    rows = some.select(*own, F.explode_outer("__answers").alias("__f"))
+    return rows.select(*own, *[F.col(f"__f.{f}").alias(f"found_{f}") for f in fields]).distinct()
+
+
 def settle(located: DataFrame, rejected: DataFrame, key: str = "case_no") -> tuple[DataFrame, DataFrame]:
-    """Good rows and rows to check, after a look by hand has rejected the answers of some keys.
+    """Good rows, without the keys that a look by hand has ``rejected``, and the answers to check.
 
-    The rows to check are those that no round could place, those of the ``rejected`` keys, and all
-    with more than one accepted answer; of these only the rejected leave the good ones.
+    A rejected key only leaves the good rows: what is to be checked was listed before.
     """
-    keys = rejected.select(key).distinct()
-    good = anti_join(located.filter("round IS NOT NULL"), keys, key)
-    refused = semi_join(located.filter("round IS NOT NULL"), keys, key)
-    doubtful = ambiguous(good)
-    check = refused.unionByName(doubtful).drop("round", "found")
-    return good, unplaced(located).unionByName(check)
+    good = anti_join(located.filter("round IS NOT NULL"), rejected.select(key).distinct(), key)
+    return good, to_check(located)
 
 
 def chosen_index(county: Sequence[Column], state: Sequence[Column], want_county: str, want_state: str):

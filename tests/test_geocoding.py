@@ -176,3 +176,27 @@ def test_report_columns_and_worklist(spark):
         "incident_address string, d string",
     ).withColumns({"date_of_death": F.to_date("d"), "lat": F.lit(None).cast("double")})
     assert [(r.incident_address, r.d) for r in cases.location_worklist(work).collect()] == [("12 A", "2014-01-01"), ("A 12", "2016-01-01")]
+
+
+def test_answers_to_check(spark):
+    """Failing answers, also beside a good one; all good ones of a repeated case; rows without an answer."""
+    todo = spark.createDataFrame(
+        [(c, f"{n} A St", "X") for c, n in (("ME1", 1), ("ME2", 2), ("ME3", 3), ("ME4", 4), ("ME5", 5))],
+        "case_no string, incident_address string, incident_city string",
+    )
+    answers = [
+        (1, "1 A St X", "1 A, Chicago"),  # one good answer: nothing to check
+        (2, "2 A St X", "2 A, Chicago"), (3, "2 A St X", "2 Another, Chicago"),  # two good ones
+        (4, "3 A St X", "3 A, Chicago"), (5, "3 A St X", "9 Far, Chicago"),  # a good one and a failing one
+        (6, "4 A St X", "Somewhere, Chicago"),  # only a failing one
+    ]
+    places = spark.createDataFrame([(i, a, f) for i, a, f in answers], "place_id int, address string, formatted string")
+    places = places.withColumns({"lat": F.lit(41.8), "lon": F.lit(-87.6)})
+    asked = gc.Round("all", F.concat_ws(" ", "incident_address", "incident_city"), places, "address", k=3)
+    located = gc.geocode_rounds(todo, [asked], lambda given, found: found.startswith(F.regexp_extract(given, "[0-9]+", 0)))
+    good, check = gc.settle(located, todo.filter("case_no IN ('ME1', 'ME2')").select("case_no"))
+    assert {r.case_no for r in good.collect()} == {"ME3"}
+    assert sorted((r.case_no, r.found_formatted) for r in check.collect() if r.found_formatted) == [
+        ("ME2", "2 A, Chicago"), ("ME2", "2 Another, Chicago"), ("ME3", "9 Far, Chicago"), ("ME4", "Somewhere, Chicago"),
+    ]
+    assert [r.case_no for r in check.collect() if r.found_formatted is None] == ["ME5"]

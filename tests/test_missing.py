@@ -138,5 +138,10 @@ def test_dates(spark):
     data = [("3/6/2021",), ("03/06/2021",), ("13/40/2021",), (None,)]
     day = datetime.date(2021, 3, 6)
     assert values(spark, "s string", data, dates.month_day_year("s")) == [day, day, None, None]
+    same = ["3-6-2021", "3.6.21", " 03/06/21 ", "March 6, 2021", "mar 6th 2021", "Mar. 6 2021", "MARCH-06-21", "03062021", "030621"]
+    assert values(spark, "s string", [(t,) for t in same], dates.month_day_year("s")) == [day] * len(same)
+    odd = ["3/6/69", "3/6/68", "2/30/2021", "6 March 2021", "Marc 6 2021", "3/6", "3/6/2021/7", "", "3/6/202", "smarch 1 2021", "2021-03-06", "13/1/21"]
+    years = [datetime.date(1969, 3, 6), datetime.date(2068, 3, 6)]
+    assert values(spark, "s string", [(t,) for t in odd], dates.month_day_year("s")) == years + [None] * (len(odd) - 2)
     got = values(spark, "s string", [("2021-03-06 10:00:00",)], dates.month_floor(F.to_timestamp("s")).cast("date"))
     assert got == [datetime.date(2021, 3, 1)]

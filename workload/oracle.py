@@ -29,6 +29,23 @@ FROM {source} WINDOW w AS (PARTITION BY {attrs.split(",")[0]} ORDER BY seq)
 """
 
 
+def _whole(v: str) -> str:
+    """A coordinate in units of 2 ** -47: a whole number, without rounding, for the degrees of these tables."""
+    return f"CAST({v} * 140737488355328::DOUBLE AS HUGEINT)"
+
+
+def _turn(p: str, x: str, y: str) -> str:
+    """Side of the edge that a point is on, exactly."""
+    ax, ay, bx, by, x, y = map(_whole, (f"{p}.ax", f"{p}.ay", f"{p}.bx", f"{p}.byy", x, y))
+    return f"sign(({bx} - {ax}) * ({y} - {ay}) - ({by} - {ay}) * ({x} - {ax}))"
+
+
+def _crosses(p: str, x: str, y: str) -> str:
+    """1 if the ray to the right meets the edge."""
+    side = f"{_turn(p, x, y)} * CASE WHEN {p}.byy > {p}.ay THEN 1 ELSE -1 END"
+    return f"CASE WHEN ({p}.ay > {y}) <> ({p}.byy > {y}) THEN CASE WHEN {side} > 0 THEN 1 ELSE 0 END ELSE 0 END"
+
+
 def _inside(points: str, edges: str, key: str) -> str:
     """Pairs of distinct coordinates and polygon id, point strictly within polygon."""
     return f"""
@@ -38,16 +55,12 @@ JOIN (SELECT {key}, min(ax) AS x0, max(ax) AS x1, min(ay) AS y0, max(ay) AS y1 F
   ON p.px BETWEEN b.x0 AND b.x1 AND p.py BETWEEN b.y0 AND b.y1
 JOIN {edges} e ON e.{key} = b.{key}
 GROUP BY p.px, p.py, e.{key}
-HAVING sum(CASE WHEN (e.ay > p.py) <> (e.byy > p.py) AND p.px < (e.bx - e.ax) * (p.py - e.ay) / (e.byy - e.ay) + e.ax THEN 1 ELSE 0 END) % 2 = 1
+HAVING sum({_crosses('e', 'p.px', 'p.py')}) % 2 = 1
    AND sum(CASE WHEN p.px BETWEEN least(e.ax, e.bx) AND greatest(e.ax, e.bx) AND p.py BETWEEN least(e.ay, e.byy) AND greatest(e.ay, e.byy)
-                 AND (e.bx - e.ax) * (p.py - e.ay) = (e.byy - e.ay) * (p.px - e.ax) THEN 1 ELSE 0 END) = 0
+                THEN CASE WHEN {_turn('e', 'p.px', 'p.py')} = 0 THEN 1 ELSE 0 END ELSE 0 END) = 0
 """
 
 
-def _turn(p: str, x: str, y: str) -> str:
-    return f"(({p}.bx - {p}.ax) * ({y} - {p}.ay) - ({p}.byy - {p}.ay) * ({x} - {p}.ax))"
-
-
 def _overlaps(left: str, lkey: str, right: str, rkey: str) -> str:
     """Pairs of polygons with a point in common, and the area they share.
 
@@ -63,7 +76,7 @@ def _overlaps(left: str, lkey: str, right: str, rkey: str) -> str:
     def held(own: str, edges: str, key: str, other: str) -> str:
         return f"""
 SELECT q.lid, q.rid FROM near q JOIN {edges} e ON e.{key} = q.{other}
-GROUP BY q.lid, q.rid HAVING sum(CASE WHEN (e.ay > q.{own}y) <> (e.byy > q.{own}y) AND q.{own}x < (e.bx - e.ax) * (q.{own}y - e.ay) / (e.byy - e.ay) + e.ax THEN 1 ELSE 0 END) % 2 = 1
+GROUP BY q.lid, q.rid HAVING sum({_crosses('e', f'q.{own}x', f'q.{own}y')}) % 2 = 1
 """
 
     return f"""
@@ -816,18 +829,38 @@ FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3)
     **_ROUND_STEPS,
 )
 ORACLE["geocode_unplaced"] = _sql("SELECT * FROM t4", "prepared", "gazetteer", **_ROUND_STEPS)
-_ANSWERED = """
-SELECT case_no, count(*) AS n FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3) GROUP BY case_no
-"""
 _REFUSED = "(SELECT case_no FROM cases WHERE case_id % 6 = 1)"
+
+
+def _refused(todo: str, query: str, col: str, k: int, where: str, km: str) -> str:
+    """Answers of one round that do not pass."""
+    return f"""
+SELECT t.case_no, g.lat, g.lon, g.formatted FROM (SELECT *, {_key(query)} AS k FROM {todo}) t
+JOIN (SELECT *, row_number() OVER (PARTITION BY k ORDER BY km, place_id) AS rank FROM (
+  SELECT *, {_key(f"upper({col})")} AS k, {km} AS km FROM gazetteer WHERE {where})) g ON g.k = t.k AND g.rank <= {k}
+WHERE ({_agrees("t.incident_address", "g.formatted", "[.*0-9{,}]")}) IS NOT TRUE
+"""
+
+
+# Of each case the answers of the last round it was asked in: those that fail, also beside a good one, or none;
+# and every good answer of a case that has several.
 ORACLE["geocode_to_check"] = _sql(
-    f"""
-SELECT p.* FROM prepared p LEFT JOIN answered a ON p.case_no = a.case_no
-WHERE a.n IS NULL OR p.case_no IN {_REFUSED} OR a.n > 1
+    """
+SELECT p.*, f.lat AS found_lat, f.lon AS found_lon, f.formatted AS found_formatted FROM prepared p JOIN (
+  SELECT * FROM f1 WHERE case_no IN (SELECT case_no FROM r1)
+  UNION SELECT * FROM f2 WHERE case_no IN (SELECT case_no FROM r2)
+  UNION SELECT * FROM f3
+  UNION SELECT * FROM good WHERE case_no IN (SELECT case_no FROM good GROUP BY case_no HAVING count(*) > 1)
+) f ON f.case_no = p.case_no
+UNION
+SELECT p.*, NULL, NULL, NULL FROM t4 p WHERE case_no NOT IN (SELECT case_no FROM f3)
 """,
     "prepared", "gazetteer", "cases",
     **_ROUND_STEPS,
-    answered=_ANSWERED,
+    f1=_refused("prepared", "full_address", "city_address", 1, "contains(formatted, 'Cook County') AND lon BETWEEN -90.06527 AND -86.55094 AND lat BETWEEN 39.82326 AND 43.22390", _KM),
+    f2=_refused("t2", _LONG, "long_address", 3, _NARROW, _KM),
+    f3=_refused("t3", "full_address", "city_address", 1, "true", "0"),
+    good="SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3",
 )
 ORACLE["geocode_settled"] = _sql(
     f"""
@@ -1015,3 +1048,14 @@ UNION ALL SELECT 'duplicates', count(*) FROM (SELECT incident_address FROM cases
 ORACLE["checks_filled"] = _sql(
     "SELECT count(race) AS race, count(latino) AS latino, count(incident_address) AS incident_address, count(lat) AS lat, true AS nothing_empty FROM cases", "cases"
 )
+
+ORACLE["dates_mdy"] = """
+SELECT form, text, CAST(coalesce(
+    try_strptime(text, '%m/%d/%Y'), try_strptime(text, '%m-%d-%Y'), try_strptime(text, '%m.%d.%y'), try_strptime(text, '%B %d, %Y'),
+    try_strptime(text, '%b %d %Y'), CASE WHEN length(text) = 8 THEN try_strptime(text, '%m%d%Y') END) AS DATE) AS day, count(*) AS n
+FROM (
+    SELECT k AS form, CASE k WHEN 0 THEN strftime(d, '%-m/%-d/%Y') WHEN 1 THEN strftime(d, '%m-%d-%Y') WHEN 2 THEN strftime(d, '%-m.%-d.%y')
+        WHEN 3 THEN strftime(d, '%B %-d, %Y') WHEN 4 THEN strftime(d, '%b %d %Y') WHEN 5 THEN strftime(d, '%m%d%Y') WHEN 6 THEN strftime(d, '%d/%m/%Y') END AS text
+    FROM (SELECT CAST(o_orderkey % 8 AS INT) AS k, CAST(o_orderdate AS TIMESTAMP) AS d FROM orders))
+GROUP BY ALL
+"""

@@ -1066,3 +1066,14 @@ def checks_filled(i: Inputs) -> DataFrame:
     filled = checks.filled_counts(source, ["race", "latino", "incident_address", "lat"])
     empty = checks.all_missing(source, ["nothing"]).scalar()
     return filled.withColumn("nothing_empty", empty)
+
+
+@query
+def dates_mdy(i: Inputs) -> DataFrame:
+    """Dates written in several ways; in one of them the day comes first, so some are no dates and some are others."""
+    d = C("o_orderdate").cast("timestamp")
+    forms = ["M/d/yyyy", "MM-dd-yyyy", "M.d.yy", "MMMM d, yyyy", "MMM dd yyyy", "MMddyyyy", "dd/MM/yyyy"]
+    key = (C("o_orderkey") % 8).cast("int")
+    text_of = F.coalesce(*(F.when(key == k, F.date_format(d, f)) for k, f in enumerate(forms)))
+    rows = i.table("orders").select(key.alias("form"), text_of.alias("text"))
+    return rows.groupBy("form", "text", dates.month_day_year("text").alias("day")).agg(F.count(F.lit(1)).alias("n"))
