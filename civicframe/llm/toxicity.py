@@ -8,11 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .jaccard_join import Words
 from .store import stored
 
 #: ASCII marks and digits count as blanks between words.
@@ -22,10 +22,10 @@ PREFIXES = (5,)
 PART = 8_000_000
 
 
-def counted_terms(text: str | None, known: Words) -> tuple[np.ndarray, np.ndarray]:
+def counted_terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of a text's terms, ascending, and their numbers: words, lower-cased in ASCII, and beginnings of longer words.
 
-    Terms are equal when their 64-bit fingerprints are. ``known`` remembers fingerprints.
+    Terms are equal when their 64-bit fingerprints are. To hash a term again is quicker than to look it up.
     """
     words = Counter((text or "").encode("utf-8", "replace").lower().translate(SPLIT).split())
     terms, often = list(words), list(words.values())
@@ -33,14 +33,16 @@ def counted_terms(text: str | None, known: Words) -> tuple[np.ndarray, np.ndarra
         longer = [(w[:p] + b"*", n) for w, n in words.items() if len(w) >= p]
         terms += [w for w, _ in longer]
         often += [n for _, n in longer]
-    found, place = np.unique(np.fromiter(map(known.__getitem__, terms), np.uint64, len(terms)), return_inverse=True)
+    found, place = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, terms), np.uint64, len(terms)), return_inverse=True)
     return found, np.bincount(place, often, len(found)).astype(np.int64)
 
 
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """``start[i] .. start[i] + length[i] - 1`` for every i, one after the other."""
-    shift = start - np.cumsum(length) + length
-    return np.repeat(shift, length) + np.arange(int(length.sum()))
+    end = np.cumsum(length)
+    out = np.repeat(start - end + length, length)
+    out += np.arange(len(out), dtype=out.dtype)
+    return out
 
 
 class BlockMaxIndex:
@@ -75,8 +77,8 @@ class BlockMaxIndex:
         of = np.repeat(np.arange(rows, dtype=np.int32), np.diff(self.far_start))
         #: By term: examples, ascending, and values.
         self.start = np.concatenate([[0], np.cumsum(np.bincount(self.far_term, minlength=width))])
-        self.of, self.value = of[order], self.far_value[order]
-        term, where = self.far_term[order], self.of // block
+        self.of, self.value = of[order].astype(np.min_scalar_type(rows)), self.far_value[order]
+        term, where = self.far_term[order], of[order] // block
         new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (where[1:] != where[:-1])])[: len(term)])
         #: By term: blocks that hold it, the largest value in each, and the largest of all.
         self.peak_start = np.searchsorted(term[new], np.arange(width + 1))
@@ -252,9 +254,8 @@ def toxicity(
     picked = picked.agg(F.min_by("__text", F.struct(F.xxhash64("__text"), "__text")).alias("__text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         for b in batches:
-            own = [counted_terms(t.as_py(), known) for t in b.column("__text")]
+            own = [counted_terms(t.as_py()) for t in b.column("__text")]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("__id"),
@@ -307,11 +308,11 @@ def toxicity(
     only = None if 0 < share < 1 else share
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, known = opened(), Words()
+        found = opened()
         for b in batches:
             scores, proofs = [], []
             for text in b.column("__text"):
-                raw, i, s = found.vote(*counted_terms(text.as_py(), known), k, prior)
+                raw, i, s = found.vote(*counted_terms(text.as_py()), k, prior)
                 x = slope * np.log(raw / (1 - raw)) + offset
                 scores.append(only if only is not None else float(1 / (1 + np.exp(-x))))
                 proofs.append(
