@@ -17,7 +17,7 @@ from .store import stored
 
 #: ASCII marks and digits count as blanks between words.
 SPLIT = bytes(i if i > 127 or chr(i).isalpha() else 32 for i in range(256))
-PREFIXES = (5,)
+PREFIXES = (4, 6)
 #: Bytes of the index in one row.
 PART = 8_000_000
 
@@ -181,12 +181,12 @@ def indexed(sets: list[tuple]) -> tuple[BlockMaxIndex, float]:
 
 
 def feature_weights(n: np.ndarray, n1: np.ndarray, share: float) -> np.ndarray:
-    """1, and half of how much more a term is in examples of label 1 than chance has it, in standard deviations.
+    """How much more a term is in examples of label 1 than chance has it, in standard deviations, from 0.3 up.
 
     ``n1`` of the ``n`` examples with the term have label 1, ``share`` of all examples. The 1 in the
-    variance keeps terms of few examples low.
+    variance keeps terms of few examples low. No term has a weight of 0.
     """
-    return 1 + 0.5 * np.maximum(0.0, n1 - n * share) / np.sqrt(n * share * (1 - share) + 1)
+    return 0.3 + np.maximum(0.0, n1 - n * share) / np.sqrt(n * share * (1 - share) + 1)
 
 
 #: Pull of the logistic curve towards the raw votes: few labels do not turn it over.
