@@ -133,26 +133,50 @@ def _holds(query: list[frozenset[str]], place: dict[str, int]) -> Column:
 
 SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 
+#: Matches whose places are summed up one after another; their number, not that of all matches, is what an array is copied for.
+RUN = 128
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` worked out once although ``body`` uses it in lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
-    """Spans of one rule. A text is its pieces between matches and the matches, in turn."""
+    """Spans of one rule. A text is its pieces between matches and the matches, in turn.
+
+    The matches are cut into runs. A running sum over the lengths of the runs gives the place where each
+    starts, and a sum within it the places of its matches, so that time follows the number of matches.
+    """
     pattern = F.lit(rule.pattern)
-    between = F.split(text, rule.pattern, -1)
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    checked = F.regexp_extract_all(text, pattern, F.lit(rule.group))
+    between = F.transform(F.split(text, rule.pattern, -1), lambda p: F.length(p).cast("long"))
+    whole = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.length(m).cast("long"))
+    checked = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length)
+    zero = F.lit(0).cast("long")
 
     def step(state: Column, item: Column) -> Column:
-        start = state["at"] + F.length(item["p"])
-        end = start + F.length(item["m"])
+        start = state["at"] + item["p"]
+        end = start + item["m"]
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        kept = F.when(F.length(item["g"]) >= rule.least, F.array(span)).otherwise(F.array().cast(SPAN))
+        kept = F.when(item["g"] >= rule.least, F.array(span)).otherwise(F.array().cast(SPAN))
         return F.struct(end.alias("at"), F.concat(state["found"], kept).alias("found"))
 
-    items = F.arrays_zip(
-        F.slice(between, F.lit(1), F.size(whole)).alias("p"), whole.alias("m"), checked.alias("g")
-    )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("found"))
-    return F.aggregate(items, start, step, lambda s: s["found"])
+    def placed(run: Column, at: Column) -> Column:
+        state = F.struct(at.alias("at"), F.array().cast(SPAN).alias("found"))
+        return F.aggregate(run, state, step, lambda s: s["found"])
+
+    def of_runs(runs: Column) -> Column:
+        lengths = F.transform(runs, lambda r: F.aggregate(r, zero, lambda t, i: t + i["p"] + i["m"]))
+        starts = F.aggregate(lengths, F.array(zero), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+        return _let(starts, lambda s: F.flatten(F.transform(runs, lambda run, i: placed(run, F.get(s, i)))))
+
+    def of_items(items: Column) -> Column:
+        cuts = F.sequence(F.lit(1), F.size(items), F.lit(RUN))
+        runs = F.transform(cuts, lambda c: F.slice(items, c, F.lit(RUN)))
+        return F.when(F.size(items) > 0, _let(runs, of_runs)).otherwise(F.array().cast(SPAN))
+
+    items = _let(whole, lambda w: F.arrays_zip(F.slice(between, F.lit(1), F.size(w)).alias("p"), w.alias("m"), checked.alias("g")))
+    return _let(items, of_items)
 
 
 def secret_scan(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -88,6 +88,14 @@ def test_secret_spans(spark):
     assert secret_scan(docs.limit(0)).count() == 0
 
 
+def test_secret_spans_of_a_text_with_many_hits(spark):
+    text = "".join(f"\u00e9 token={'abcdefg'[: 5 + i % 3]}{i % 7} \U0001f600" for i in range(5000))
+    docs = spark.createDataFrame([(1, text), (2, text[:3000])], "doc_id long, text string")
+    for r in secret_scan(docs).collect():
+        want = brute_spans(text if r.doc_id == 1 else text[:3000], BASE + MORE)
+        assert [tuple(s) for s in r.spans] == want
+
+
 def test_secret_query_on_a_table(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     kinds = [r.kind for r in BASE]
