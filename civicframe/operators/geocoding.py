@@ -12,6 +12,7 @@ from ..functions.geometry import distance_km
 from ..functions.missing import first_present, if_else, matches, paste
 from ..functions.text import address_key, extract_first, parse_city, parse_zip
 from .columns import union_distinct
+from .fuzzy import near_places
 from .groups import slice_rows, top_k_per_key
 from .joins import anti_join, spread_join
 
@@ -130,9 +131,40 @@ def geocode_join(
     )
 
 
+def fuzzy_geocode_join(
+    addresses: DataFrame,
+    gazetteer: DataFrame,
+    query: str,
+    address: str,
+    k: int = 1,
+    edits: int = 2,
+    share: int = 60,
+    box: Box | None = None,
+    near: tuple[float, float] | None = None,
+    tie: str = "place_id",
+) -> DataFrame:
+    """As ``geocode_join``, for addresses that may be misspelled; adds ``rank`` from 1 and ``edits``.
+
+    Each different text is looked up once, so repeated addresses cost a join row each and no more.
+    """
+    keyed = addresses.withColumn("__key", address_key(query))
+    places = near_places(keyed.select("__key"), places_by_key(gazetteer, address, k, box, near, tie), k, edits, share, tie)
+    joined = spread_join(keyed, places, "__key", "inner")
+    exploded = joined.select(*addresses.columns, F.posexplode("__places").alias("__at", "__place"))
+    return exploded.select(
+        *addresses.columns,
+        (F.col("__at") + 1).alias("rank"),
+        F.col("__place.edits").alias("edits"),
+        *[F.col(f"__place.{c}").alias(c) for c in gazetteer.columns],
+    )
+
+
 @dataclass(frozen=True)
 class Round:
-    """One attempt: which text to look up, where, and how many answers to look at."""
+    """One attempt: which text to look up, where, and how many answers to look at.
+
+    With ``edits`` the look-up is that of ``near_places``, so misspelled texts find places too.
+    """
 
     name: str
     query: Column
@@ -143,6 +175,8 @@ class Round:
     near: tuple[float, float] | None = None
     tie: str = "place_id"
     fields: Sequence[str] = field(default_factory=lambda: ("lat", "lon", "formatted"))
+    edits: int | None = None
+    share: int = 60
 
 
 def geocode_rounds(
@@ -167,6 +201,9 @@ def geocode_rounds(
         places = places_by_key(r.gazetteer, r.address, r.k, r.box, r.near, r.tie)
         key = F.when(~F.col("__done"), address_key(r.query))
         asked = addresses.select(address_key(r.query).alias("__key"))
+        if r.edits is not None:
+            # Only what is still open is looked up, for which the earlier rounds are worked out once more.
+            places = near_places(out.select(key.alias("__key")), places, r.k, r.edits, r.share, r.tie)
         joined = spread_join(
             out.withColumn("__key", key), places, "__key", "left", hot_source=asked
         )

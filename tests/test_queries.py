@@ -22,6 +22,7 @@ SPREAD = [
     "cases_prefer_sources",
     "cases_repeated_rows",
     "crimes_monthly_by_area",
+    "geocode_fuzzy",
     "geocode_join",
     "geocode_rounds",
     "location_fields_merged",

@@ -744,6 +744,34 @@ def geocode_join(i: Inputs) -> DataFrame:
     return out.select("case_no", "place_id", "rank")
 
 
+def _misspelled(i: Inputs) -> DataFrame:
+    """Addresses as someone might have typed them: a letter left out, two swapped, one too many, or none."""
+    a, n = C("incident_address"), C("case_id") % 5
+    typed = (
+        F.when(n == 0, F.replace(a, F.lit("Street"), F.lit("Stret")))
+        .when(n == 1, F.replace(a, F.lit("Street"), F.lit("Steret")))
+        .when(n == 2, F.replace(a, F.lit("Street#"), F.lit("Streett ")))
+        .otherwise(a)
+    )
+    return i.view("cases").select("case_no", typed.alias("typed_address"))
+
+
+@query
+def geocode_fuzzy(i: Inputs) -> DataFrame:
+    out = geocoding.fuzzy_geocode_join(
+        _misspelled(i),
+        i.view("gazetteer").select("place_id", "short_address", "lat", "lon"),
+        "typed_address",
+        "short_address",
+        k=2,
+        edits=2,
+        share=70,
+        box=locating.NARROW_BOX,
+        near=locating.NEAR,
+    )
+    return out.select("case_no", "place_id", "rank", "edits")
+
+
 @query
 def house_number(i: Inputs) -> DataFrame:
     matched = joins.join_on_address(
