@@ -18,9 +18,9 @@ def word_weights(keys: DataFrame, key: str = "__key") -> DataFrame:
     """``word, weight`` of the words in a table of distinct addresses: rare words weigh more, as whole thousandths."""
     words = keys.select(F.explode(words_of(key)).alias("word"))
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("__df"))
-    rows = keys.agg(F.count(F.lit(1)).alias("__rows"))
-    weight = F.round(1000 * F.log1p(F.col("__rows") / F.col("__df"))).cast("long")
-    return counted.join(F.broadcast(rows)).select("word", weight.alias("weight"))
+    rows = keys.agg(F.count(F.lit(1))).scalar()
+    weight = F.round(1000 * F.log1p(rows / F.col("__df"))).cast("long")
+    return counted.select("word", weight.alias("weight"))
 
 
 def _total(weighted: Column) -> Column:

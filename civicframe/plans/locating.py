@@ -23,9 +23,10 @@ from ..operators.geocoding import (
     prepare_addresses,
     with_zip_and_city,
 )
-from ..operators.groups import first_per_group
+from ..operators.groups import first_per_group, slice_rows
 from ..operators.joins import rename_clashes, spread_join
 from ..operators.reshape import flatten_candidates
+from ..sources.batches import append_batch
 
 # Bounds and reference point of the geocoder calls, as longitude and latitude.
 WIDE_BOX = Box(-90.06527, 39.82326, -86.55094, 43.22390)
@@ -81,6 +82,27 @@ def locate_addresses(
     return geocode_rounds(prepare_addresses(cases, from_row=from_row), rounds, _accept(strict))
 
 
+def locate_batch(
+    cases: DataFrame,
+    rounds: Sequence[Round],
+    folder: str,
+    first: int,
+    last: int | None = None,
+    strict: bool = False,
+) -> bool:
+    """Locate addresses ``first`` to ``last`` in order of case and address, and add them to the table in ``folder``.
+
+    Rows are those of ``locate_addresses``; ``batches.batch_rows`` reads what all batches have found. A batch may
+    be repeated, and batches may overlap: an address that is in the table is not looked up again. Whether
+    there was anything to run.
+    """
+    key = ["case_no", "full_address"]
+    rows = slice_rows(prepare_addresses(cases), key, first, last)
+    return append_batch(
+        rows, folder, f"{first}-{last or ''}", key, lambda new: geocode_rounds(new, rounds, _accept(strict))
+    )
+
+
 def cleaned_locations(
     worklist: DataFrame, gazetteer: DataFrame, order_by: Sequence[str], address: str = "address"
 ) -> DataFrame:
