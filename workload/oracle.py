@@ -432,7 +432,7 @@ SELECT label AS fund, fund AS fund_type, year, CAST(amount AS DOUBLE) AS amount,
 """,
     d=f"""
 SELECT {_TYPED} AS fund, funds AS fund_type, 2020 AS year, CAST(clean_amount AS DOUBLE) AS amount, CAST(sum(CAST(clean_amount AS BIGINT)) OVER () AS DOUBLE) AS year_total
-FROM budget_lines WHERE year = 2001
+FROM budget_lines
 """,
 )
 ORACLE["budget_melt_separate"] = _sql(
@@ -484,7 +484,7 @@ SELECT case_no, full_address, city, zip, lat, lon FROM (
 SELECT case_id AS entry, incident_address AS street, concat_ws(', ', coalesce(incident_address, 'NA'), coalesce(incident_city, 'NA'), 'IL', CAST(age + 60600 AS VARCHAR)) AS full_address,
        upper(incident_city) AS city, CAST(age + 60600 AS VARCHAR) AS zip, lat, lon,
        CASE WHEN incident_address = 'SCENE' THEN 'UNK LOCATION' ELSE {_key("replace(incident_address, '#', ' - ')")} END AS k
-FROM cases WHERE manner = 'Suicide' AND incident_address IS NOT NULL
+FROM cases
 """,
     numbers="SELECT full_address, 'ME-' || CAST(min(entry) AS VARCHAR) AS value FROM manual WHERE street = 'CORNER OF MAIN' GROUP BY 1",
     keyed="SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY entry) AS rn FROM manual) WHERE rn = 1",
@@ -559,13 +559,14 @@ ORACLE["anti_null_safe"] = _sql(
 )
 ORACLE["semi_null_safe"] = _sql(
     """
-SELECT case_no, incident_city, latino FROM cases c WHERE EXISTS (SELECT 1 FROM cases d WHERE d.manner = 'Suicide'
-  AND d.incident_city IS NOT DISTINCT FROM c.incident_city AND d.latino IS NOT DISTINCT FROM c.latino)
+SELECT case_no, incident_city, latino FROM cases c WHERE EXISTS (SELECT 1 FROM (
+  SELECT CASE WHEN manner = 'Suicide' THEN incident_city END AS city, CASE WHEN manner = 'Suicide' THEN latino END AS latino FROM cases) d
+  WHERE d.city IS NOT DISTINCT FROM c.incident_city AND d.latino IS NOT DISTINCT FROM c.latino)
 """,
     "cases",
 )
 ORACLE["union_distinct"] = _sql(
-    "SELECT race, sex, incident_city FROM cases UNION SELECT race, sex, incident_city FROM cases WHERE latino = 'YES'", "cases"
+    "SELECT race, sex, incident_city FROM cases UNION SELECT CASE WHEN latino = 'YES' THEN 'other' ELSE race END, sex, incident_city FROM cases", "cases"
 )
 ORACLE["union_all"] = _sql(
     "SELECT case_no, lat, lon FROM named_places UNION ALL SELECT case_no, lat, NULL FROM manual_places", "named_places", "manual_places"

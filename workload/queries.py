@@ -237,7 +237,7 @@ def budget_category_rules(i: Inputs) -> DataFrame:
 @query
 def budget_expenditures(i: Inputs) -> DataFrame:
     _, by_tab, _, wide = _county_inputs(i)
-    typed = i.view("budget_lines").filter("year = 2001").select(
+    typed = i.view("budget_lines").select(
         C("funds").alias("fund_type"), "department", C("clean_amount").alias("amount")
     )
     return columns.union_all(
@@ -322,7 +322,7 @@ def cases_overrides(i: Inputs) -> DataFrame:
 @query
 def manual_locations(i: Inputs) -> DataFrame:
     source = i.view("cases")
-    manual = source.filter("manner = 'Suicide' AND incident_address IS NOT NULL").select(
+    manual = source.select(
         C("case_id").alias("entry"),
         F.replace("incident_address", F.lit("#"), F.lit(" - ")).alias("raw"),
         C("incident_address").alias("street"),
@@ -471,7 +471,8 @@ def anti_null_safe(i: Inputs) -> DataFrame:
 
 @query
 def semi_null_safe(i: Inputs) -> DataFrame:
-    right = i.view("cases").filter("manner = 'Suicide'").select("incident_city", "latino")
+    own = C("manner") == "Suicide"
+    right = i.view("cases").select(*[F.when(own, C(c)).alias(c) for c in ("incident_city", "latino")])
     source = i.view("cases").select("case_no", "incident_city", "latino")
     return joins.semi_join(source, right, ["incident_city", "latino"])
 
@@ -479,7 +480,7 @@ def semi_null_safe(i: Inputs) -> DataFrame:
 @query
 def union_distinct(i: Inputs) -> DataFrame:
     a = i.view("cases").select("race", "sex", "incident_city")
-    b = i.view("cases").filter("latino = 'YES'").select("incident_city", "sex", "race")
+    b = i.view("cases").select("incident_city", "sex", F.when(C("latino") == "YES", "other").otherwise(C("race")).alias("race"))
     return columns.union_distinct(a, b)
 
 
@@ -801,7 +802,9 @@ def _book(i: Inputs, col: str) -> DataFrame:
 
 
 def _first_book(i: Inputs) -> DataFrame:
-    return _book(i, "city_address").filter(C("formatted").contains("Cook County"))
+    # What this provider does not know has no address, and so no key.
+    known = F.when(C("formatted").contains("Cook County"), C("address"))
+    return _book(i, "city_address").withColumn("address", known)
 
 
 def _rounds(i: Inputs) -> DataFrame:
@@ -812,14 +815,16 @@ def _rounds(i: Inputs) -> DataFrame:
 
 
 def _cleaned(i: Inputs) -> DataFrame:
-    by_hand = C("manner") == "Suicide"
+    # Rows that nobody has looked at have neither a cleaned address nor a place.
+    seen = F.expr("incident_city = 'OAK PARK' OR primary_cause_c IS NOT NULL")
+    by_hand = seen & (C("manner") == "Suicide")
     plain = F.replace(F.replace("incident_address", F.lit("."), F.lit("")), F.lit("#"), F.lit(" "))
     cleaned = F.upper(plain)
-    worklist = i.view("cases").filter("incident_city = 'OAK PARK' OR primary_cause_c IS NOT NULL").select(
+    worklist = i.view("cases").select(
         "case_no",
         "case_id",
         C("incident_address").alias("full_address_new"),
-        F.when(C("latino") == "YES", "").otherwise(cleaned).alias("cleaned_address"),
+        F.when(seen, F.when(C("latino") == "YES", "").otherwise(cleaned)).alias("cleaned_address"),
         F.when(by_hand, C("lat")).alias("lat"),
         F.when(by_hand, C("lon")).alias("lon"),
         F.when(by_hand, F.concat(C("name"), F.lit(", Oak Park, IL 60301, USA"))).alias("formatted"),
