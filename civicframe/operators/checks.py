@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,37 @@ def row_counts(**frames: DataFrame) -> DataFrame:
         for name, df in frames.items()
     ]
     return reduce(lambda a, b: a.unionByName(b), counts)
+
+
+def check_measures(
+    filled: Sequence[str] = (),
+    found: Mapping[str, Column] | None = None,
+    typed: Mapping[str, tuple[str, str]] | None = None,
+) -> dict[str, Column]:
+    """Counts that one pass over a table can take together, by name.
+
+    ``rows``; ``filled_<column>``, present values; ``<name>`` for each condition in ``found``, rows where it
+    holds; ``lost_<name>`` for each pair of a column and what it was turned into, present values that became missing.
+    """
+    counts = {"rows": F.count(F.lit(1))}
+    counts |= {f"filled_{c}": F.count(c) for c in filled}
+    counts |= {name: F.count_if(F.coalesce(where, F.lit(False))) for name, where in (found or {}).items()}
+    for name, (before, after) in (typed or {}).items():
+        counts[f"lost_{name}"] = F.count_if(F.col(before).isNotNull() & F.col(after).isNull())
+    return counts
+
+
+def checks_report(df: DataFrame, measures: Mapping[str, Column]) -> DataFrame:
+    """One row per measure, ``check, count``, from a single scan; an empty table counts 0 everywhere."""
+    one = df.agg(F.array(*[F.struct(F.lit(n).alias("check"), m.alias("count")) for n, m in measures.items()]).alias("__all"))
+    return one.select(F.inline("__all"))
+
+
+def observed(df: DataFrame, measures: Mapping[str, Column]) -> tuple[DataFrame, Observation]:
+    """``df`` with the measures counted while its first action runs, such as the write that follows at once.
+
+    The counts are in ``.get`` of the second result afterwards, so checking a table costs no scan of its own. Nothing that
+    shuffles should come between this and the write: a shuffle whose tasks run again would count them again.
+    """
+    seen = Observation()
+    return df.observe(seen, *[m.alias(n) for n, m in measures.items()]), seen

@@ -1070,6 +1070,20 @@ ORACLE["checks_filled"] = _sql(
     "SELECT count(race) AS race, count(latino) AS latino, count(incident_address) AS incident_address, count(lat) AS lat, true AS nothing_empty FROM cases", "cases"
 )
 
+ORACLE["checks_report"] = _sql(
+    """
+SELECT 'rows' AS "check", count(*) AS count FROM budget_lines
+UNION ALL SELECT 'filled_function_area', count(function_area) FROM budget_lines
+UNION ALL SELECT 'filled_tab', count(tab) FROM budget_lines
+UNION ALL SELECT 'filled_general_fund_type', count(general_fund_type) FROM budget_lines
+UNION ALL SELECT 'filled_amount', count(amount) FROM budget_lines
+UNION ALL SELECT 'health_without_tab', count(*) FROM budget_lines WHERE contains(department, 'Hospital') AND tab IS NULL
+UNION ALL SELECT 'fund_differs', count(*) FROM budget_lines WHERE upper(trim(fund)) <> upper(general_fund_type)
+UNION ALL SELECT 'above_300000', count(*) FROM budget_lines WHERE TRY_CAST(amount AS DOUBLE) > 300000
+UNION ALL SELECT 'lost_amount', count(*) FROM budget_lines WHERE amount IS NOT NULL AND TRY_CAST(amount AS DOUBLE) IS NULL
+""",
+    "budget_lines",
+)
 ORACLE["dates_mdy"] = """
 SELECT form, text, CAST(coalesce(
     try_strptime(text, '%m/%d/%Y'), try_strptime(text, '%m-%d-%Y'), try_strptime(text, '%m.%d.%y'), try_strptime(text, '%B %d, %Y'),

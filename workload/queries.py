@@ -1101,6 +1101,26 @@ def checks_filled(i: Inputs) -> DataFrame:
     return filled.withColumn("nothing_empty", empty)
 
 
+def _checked_lines(i: Inputs) -> tuple[DataFrame, dict]:
+    lines = i.view("budget_lines").withColumns(
+        {"amount_read": missing.lenient("amount", "double"), "fund_name": F.trim(F.upper("fund"))}
+    )
+    return lines, checks.check_measures(
+        ["function_area", "tab", "general_fund_type", "amount"],
+        {
+            "health_without_tab": C("department").contains("Hospital") & C("tab").isNull(),
+            "fund_differs": C("fund_name") != F.upper("general_fund_type"),
+            "above_300000": C("amount_read") > 300000,
+        },
+        {"amount": ("amount", "amount_read")},
+    )
+
+
+@query
+def checks_report(i: Inputs) -> DataFrame:
+    return checks.checks_report(*_checked_lines(i))
+
+
 @query
 def dates_mdy(i: Inputs) -> DataFrame:
     """Dates written in several ways; in one of them the day comes first, so some are no dates and some are others."""
