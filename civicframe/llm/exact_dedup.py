@@ -22,7 +22,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     read, and no task receives more than one row per partition of its salt.
 
     The row with the smallest id stays. Missing text is the empty text. A missing id never stays
-    while another row has one. Rows that repeat an id and a text count as copies and share the
+    while another row has one. Where all rows of a group miss it, all of them stay, as nothing tells
+    them apart. Rows that repeat an id and a text count as copies and share the
     verdict. An empty table gives an empty result; further columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("__id"), normalised(F.col(text_col)).alias("__text"))

@@ -186,6 +186,8 @@ def secret_scan(docs: DataFrame, rules: list[Rule] | None = None, id_col: str =
     trigrams; the queries are answered on the index, and only rows whose id has passed are matched.
     A rule without a mandatory trigram is matched against every text. Missing text is empty and has
     no spans; rows that share an id pass together and are matched one by one.
+    Texts of any length are read whole, in time that follows their length and their matches. An empty
+    table gives an empty result; columns other than the two are not read, whatever their names.
     """
     rules = BASE + MORE if rules is None else rules
     queries = [trigram_query(r.pattern) for r in rules]

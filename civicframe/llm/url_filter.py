@@ -78,6 +78,8 @@ def url_filter(
     ``sample`` of them, chosen by a hash of the URL. ``block_score`` is the model's, missing where it
     could not be fitted because all labelled rows agree; such rows get the only known verdict, or
     ``allow`` without any. A missing URL is an empty one. Repeated rows get equal verdicts.
+    URLs of any length are read whole. An empty table gives an empty result; columns other than the two are
+    not read, whatever their names.
     """
     url = F.coalesce(F.col(url_col), F.lit(""))
     host, path = host_and_path(F.col("__url"))

@@ -59,6 +59,24 @@ def test_exact_dedup_odd_rows(spark, odd):
     assert exact_dedup(empty(spark)).count() == 0
 
 
+def test_urls_repeated_very_long_and_none(spark):
+    rules = [("allow", "com", "/"), ("block", "net", "/x/")]
+    long = "http://a.net/x/" + "q" * 200_000
+    urls = [(1, "http://a.com/b"), (1, "http://a.com/b"), (2, long), (2, long), (3, "http://b.org/" + "z" * 90_000), (None, None)]
+    pages = spark.createDataFrame([(*u, "r", "v", 1.0) for u in urls], "page_id long, url string, rule string, verdict string, block_score double")
+    got = [(r.page_id, r.host, len(r.path), r.rule, r.verdict) for r in url_filter(pages, rules).collect()]
+    assert len(got) == 6 and got.count((1, "a.com", 2, "com/", "allow")) == 2
+    assert got.count((2, "a.net", 200_003, "net/x/", "block")) == 2
+    assert {g[0]: g[3] for g in got if g[0] not in (1, 2)} == {3: None, None: None}
+    assert url_filter(pages.limit(0), rules).count() == 0
+
+
+def test_copies_without_any_id_all_stay(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, "a  b"), (None, "c"), (4, "c")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup(docs).collect()), key=repr)
+    assert got == sorted([(None, None, 2, True)] * 2 + [(None, 4, 2, False), (4, 4, 2, True)], key=repr)
+
+
 def brute_spans(text, rules):
     found = []
     for rank, r in enumerate(rules):
