@@ -170,6 +170,17 @@ def _touching(px: str, py: str, e: str) -> str:
     )
 
 
+def _plain_crossing(px: str, py: str, e: str) -> tuple[str, str]:
+    """Whether doubles leave open if the ray meets the edge or the point is on it; if not, whether the ray meets it."""
+    one, two = f"({e}.ax - {px}) * ({e}.by - {py})", f"({e}.ay - {py}) * ({e}.bx - {px})"
+    beside = f"(({e}.ay > {py}) <> ({e}.by > {py}))"
+    # A point on an edge that goes across its height is not sure above; the others on an edge are in a level one's box or at an end.
+    near = f"({py} = {e}.ay OR {py} = {e}.by)"
+    open_ = f"({beside} OR {near}) AND NOT abs({one} - {two}) > {TURN_ERROR!r}D * (abs({one}) + abs({two}))"
+    met = f"{beside} AND ({one} > {two}) = ({e}.by > {e}.ay)"
+    return open_, met
+
+
 def inside(px: str, py: str, edge_list: str, few: Sequence[str] = ()) -> Column:
     """``inside_sql`` as a column."""
     return F.expr(inside_sql(px, py, edge_list, few))
@@ -179,7 +190,8 @@ def inside_sql(px: str, py: str, edge_list: str, few: Sequence[str] = ()) -> str
     """Point strictly within: odd crossings to the right, and on no edge.
 
     Arguments are SQL names or expressions. Edges may be given as columns in ``few``, which
-    compile, with the others in ``edge_list``; a missing one counts as not met.
+    compile, with the others in ``edge_list``; a missing one counts as not met. Where there are no
+    others and doubles decide every edge, which is nearly always, nothing else is evaluated.
     """
     left = f"size({edge_list}) > 0"
     crossed = f"IF({left}, size(filter({edge_list}, e -> {_crossing(px, py, 'e')})), 0)"
@@ -187,7 +199,13 @@ def inside_sql(px: str, py: str, edge_list: str, few: Sequence[str] = ()) -> str
     for e in few:
         crossed += f" + IF({_crossing(px, py, e)}, 1, 0)"
         touched = f"coalesce({_touching(px, py, e)}, false) OR {touched}"
-    return f"({crossed}) % 2 = 1 AND NOT ({touched})"
+    exact = f"(({crossed}) % 2 = 1 AND NOT ({touched}))"
+    if not few:
+        return exact
+    plain = [_plain_crossing(px, py, e) for e in few]
+    unsure = " OR ".join([left, *(f"coalesce({open_}, false)" for open_, _ in plain)])
+    odd = f"({' + '.join(f'IF({met}, 1, 0)' for _, met in plain)}) % 2 = 1"
+    return f"CASE WHEN {unsure} THEN {exact} ELSE {odd} END"
 
 
 def to_web_mercator(lon: Column | str, lat: Column | str) -> Column:

@@ -76,9 +76,13 @@ def null_safe_join(
 
 def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int | None = None) -> DataFrame:
     """Key values, a missing one included, with more than ``rows_per_task`` rows, and ``__salts`` for each."""
+    return keys_to_salt(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), keys, rows_per_task)
+
+
+def keys_to_salt(counted: DataFrame, keys: Sequence[str], rows_per_task: int | None = None) -> DataFrame:
+    """``hot_keys`` from keys whose rows are counted already, as ``__n``."""
     most = rows_per_task or ROWS_PER_TASK
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most)
-    return counted.select(*keys, F.ceil(F.col("__n") / most).alias("__salts"))
+    return counted.where(F.col("__n") > most).select(*keys, F.ceil(F.col("__n") / most).alias("__salts"))
 
 
 def _row_hash(df: DataFrame) -> Column:

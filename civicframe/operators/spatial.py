@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..session import reliable_checkpoint
 from .groups import first_per_group
-from .joins import null_safe_join, spread_join
+from .joins import keys_to_salt, null_safe_join, spread_join
 
 # Cell tables whose measured size is below this are broadcast, larger ones are shuffled.
 MAX_BROADCAST = 64 * 1024 * 1024
@@ -124,6 +125,16 @@ def polygon_cells(polygons: DataFrame, attrs: Sequence[str], rings: str, size: f
     return cells.select(*attrs, "__cx", "__cy", "__whole", *few, rest.alias("__rest"))
 
 
+def in_reach(polygons: DataFrame, points: DataFrame, lon: str, lat: str, rings: str = "rings") -> DataFrame:
+    """Polygons whose box meets the box of all points, for which the points are read once; no other can hold one."""
+    ends = [f(c) for c in (lon, lat) for f in (F.min, F.max)]
+    x0, x1, y0, y1 = points.select(lon, lat).dropna().agg(*ends).first()
+    if x0 is None:
+        return polygons.where(F.lit(False))
+    box = G.bounds(rings)
+    return polygons.where((box["x0"] <= x1) & (box["x1"] >= x0) & (box["y0"] <= y1) & (box["y1"] >= y0))
+
+
 def point_in_polygon_join(
     points: DataFrame,
     polygons: DataFrame,
@@ -138,13 +149,17 @@ def point_in_polygon_join(
     """Attach ``attrs`` of every polygon that a point lies strictly within.
 
     ``origin`` is the table the points were made from, with the same coordinates, where counting
-    points per cell is cheaper. Points without coordinates or outside all polygons stay, with missing attributes, unless
+    points per cell is cheaper. Polygons that no point can be in are left out before a cell table too
+    large to broadcast is made. Points without coordinates or outside all polygons stay, with missing attributes, unless
     ``how`` is inner; a point within several polygons is repeated.
     """
     clash = set(attrs) & set(points.columns)
     if clash:
         raise ValueError(f"points already have {sorted(clash)}")
     grid = plan_grid(polygons, attrs, rings, cell)
+    if not grid.small:
+        polygons = in_reach(polygons, points if origin is None else origin, lon, lat, rings)
+        grid = plan_grid(polygons, attrs, rings, cell)
     if len(grid.levels) > 1:
         # Points are keyed once per level in use, so each place is looked up once, then attached.
         spots = points.select(lon, lat).dropna().distinct()
@@ -206,15 +221,19 @@ def enrich_areas(
     """Attach several polygon tables to one set of points: name to (polygons, attrs, cell).
 
     Each place is looked up once in all tables; its areas are then joined to the points by place.
+    Places are counted once and written to the checkpoint folder, so that the points, which may take
+    long to work out, are read twice however many tables there are.
     """
     added = [a for _, attrs, _ in areas.values() for a in attrs]
     clash = set(added) & set(points.columns)
     if clash or len(added) != len(set(added)):
         raise ValueError(f"points already have {sorted(clash)}, or two tables add one name")
-    spots = points.select(lon, lat).dropna().distinct()
+    counted = reliable_checkpoint(points.groupBy(lon, lat).agg(F.count(F.lit(1)).alias("__n")))
+    spots = counted.select(lon, lat).dropna()
+    found = spots
     for polygons, attrs, cell in areas.values():
-        spots = point_in_polygon_join(spots, polygons, attrs, lon, lat, cell=cell)
-    return spread_join(points, spots, [lon, lat], "left")
+        found = point_in_polygon_join(found, polygons, attrs, lon, lat, cell=cell, origin=spots)
+    return spread_join(points, found, [lon, lat], "left", hot=keys_to_salt(counted, [lon, lat]))
 
 
 def _edges_meet(a: str, b: str) -> str:

@@ -32,6 +32,6 @@ def monthly_counts(
     # Types without a category go before rows are moved.
     found = look_up(found, categories, "primary_type").distinct().withColumn("month", month_floor("date"))
     if zips is not None:
-        found = point_in_polygon_join(found, zips, ["zip"], "longitude", "latitude", cell=cell, how="inner")
+        found = point_in_polygon_join(found, zips, ["zip"], "longitude", "latitude", cell=cell, how="inner", origin=crimes)
     counts = aggregate_by(found, keys, count_of_crimes=F.count(F.lit(1)))
     return spread_join(counts, community_names, "community_area", "left")

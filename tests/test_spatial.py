@@ -210,3 +210,44 @@ def test_mercator_round_trip(spark):
     for r in back.collect():
         assert (r.b.x, r.b.y) == pytest.approx((r.lon, r.lat), abs=1e-9)
     assert back.first().m.x == pytest.approx(-9751587.39, abs=0.5)
+
+
+def test_far_polygons_leave_before_cells_are_made(spark, rows, monkeypatch):
+    near = [("a", [SQUARE, HOLE]), ("b", [[(2.0, 2.0), (6.0, 2.0), (6.0, 6.0), (2.0, 6.0)]])]
+    far = [(f"f{i}", [[(x + 100.0 * i, y) for x, y in SQUARE]]) for i in range(1, 60)]
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 2.0, 2.0), (3, 3.5, 3.5), (4, None, 1.0), (5, 50.0, 3.0)], "n int, lon double, lat double")
+    all_of_them, some = (table(spark, p).withColumnRenamed("id", "area") for p in (near + far, near))
+    room = spatial.plan_grid(some, ["area"], size=1.0).cell_bytes
+    monkeypatch.setattr(spatial, "MAX_BROADCAST", room)
+    assert not spatial.plan_grid(all_of_them, ["area"], size=1.0).small
+    out = spatial.point_in_polygon_join(points, all_of_them, ["area"], cell=1.0)
+    assert rows(out.select("n", "area")) == rows(spatial.point_in_polygon_join(points, some, ["area"], cell=1.0).select("n", "area"))
+    assert rows(out.select("n", "area")) == sorted([(1, "a"), (2, None), (3, "a"), (3, "b"), (4, None), (5, None)], key=repr)
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    nowhere = points.where("lon IS NULL")
+    assert rows(spatial.point_in_polygon_join(nowhere, all_of_them, ["area"], cell=1.0).select("n", "area")) == [(4, None)]
+
+
+def test_places_are_worked_out_once_for_all_tables(spark, rows, no_broadcast, tmp_path):
+    spark.createDataFrame([(n, float(n % 5), float(n % 4) + 0.5) for n in range(40)], "n int, lon double, lat double").write.parquet(f"{tmp_path}/p")
+    points = spark.read.parquet(f"{tmp_path}/p")
+    tables = {k: (table(spark, [(k, [SQUARE])]).withColumnRenamed("id", k), [k], 1.0) for k in ("a", "b", "c")}
+    out = spatial.enrich_areas(points, tables)
+    want = sorted(((n, *["abc"[i] if 0 < n % 5 < 4 else None for i in range(3)]) for n in range(40)), key=repr)
+    assert rows(out.select("n", "a", "b", "c")) == want
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+
+
+def test_few_edges_as_columns_decide_like_a_list(spark):
+    rng = random.Random(7)
+    ring = [(0.1, 0.1), (0.7, 0.1), (0.7, 0.7), (0.4, 0.3)]
+    spots = [(x / 10, y / 10) for x in range(9) for y in range(9)] + [(rng.uniform(0, 0.8), rng.uniform(0, 0.8)) for _ in range(200)]
+    spots += [(float("nan"), 0.3), (0.3, float("nan")), (float("inf"), 0.3)]
+    df = spark.createDataFrame(spots, "px double, py double").crossJoin(table(spark, [("a", [ring])]))
+    df = df.withColumn("all", G.edges("rings")).selectExpr("*", *(f"get(all, {i}) AS e{i}" for i in range(5)), "slice(all, 1, 0) AS none", "slice(all, 3, 9) AS rest")
+    df = df.select(
+        "px", "py", G.inside("px", "py", "all").alias("list"), G.inside("px", "py", "none", [f"e{i}" for i in range(5)]).alias("few"),
+        G.inside("px", "py", "rest", ["e0", "e1"]).alias("both"),
+    )
+    for r in df.collect():
+        assert r["list"] == r["few"] == r["both"], r
