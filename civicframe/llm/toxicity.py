@@ -53,32 +53,41 @@ class BlockMaxIndex:
     """
 
     #: Share of the bound on a text's cosine whose terms are summed for all blocks.
-    FIRST = 0.8
+    FIRST = 0.95
+    #: Terms of the most examples, whose values are also kept as rows over all examples.
+    WIDE = 128
 
     def __init__(self, terms: np.ndarray, weight: np.ndarray, examples: list[tuple], block: int = 64):
         self.terms, self.weight, self.block = terms, np.asarray(weight, float), block
         vectors = []
         for key, y, own, n in examples:
-            at, w = self.unit(own, n)
+            at, n = self.known(own, n)
             if len(at):
-                vectors.append((int(at[w.argmax()]), key, y, at, w))
+                vectors.append((int(at[self.scaled(at, n).argmax()]), key, y, at, n))
         # Alike examples share a block, which keeps its maxima sharp.
         vectors.sort(key=lambda v: v[:3])
-        rows, width = len(vectors), len(self.weight)
         self.keys, self.labels = [v[1] for v in vectors], np.array([v[2] for v in vectors], float)
-        self.blocks = -(-rows // block)
-        empty = [np.zeros(0, int)], [np.zeros(0)]
+        empty = np.zeros(0, int)
         self.far_start = np.cumsum([0, *(len(v[3]) for v in vectors)])
-        #: By example: terms and values.
-        self.far_term = np.concatenate([v[3] for v in vectors] or empty[0]).astype(np.int32)
-        self.far_value = np.concatenate([v[4] for v in vectors] or empty[1])
+        #: By example: terms and their numbers.
+        self.far_term = np.concatenate([v[3] for v in vectors] or [empty]).astype(np.int32)
+        self.far_n = np.concatenate([v[4] for v in vectors] or [empty]).astype(np.uint32)
         del vectors
+        self.spread()
+
+    def spread(self) -> None:
+        """What follows from the examples and is not sent with them."""
+        rows, width = len(self.keys), len(self.weight)
+        self.blocks = -(-rows // self.block)
+        cut = [slice(a, b) for a, b in zip(self.far_start[:-1], self.far_start[1:], strict=True)]
+        #: By example: values.
+        self.far_value = np.concatenate([self.scaled(self.far_term[i], self.far_n[i]) for i in cut] or [np.zeros(0)])
         order = np.argsort(self.far_term, kind="stable")
-        of = np.repeat(np.arange(rows, dtype=np.int32), np.diff(self.far_start))
+        of = np.repeat(np.arange(rows), np.diff(self.far_start))
         #: By term: examples, ascending, and values.
         self.start = np.concatenate([[0], np.cumsum(np.bincount(self.far_term, minlength=width))])
-        self.of, self.value = of[order].astype(np.min_scalar_type(rows)), self.far_value[order]
-        term, where = self.far_term[order], of[order] // block
+        self.of, self.value = of[order], self.far_value[order]
+        term, where = self.far_term[order], self.of // self.block
         new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (where[1:] != where[:-1])])[: len(term)])
         #: By term: blocks that hold it, the largest value in each, and the largest of all.
         self.peak_start = np.searchsorted(term[new], np.arange(width + 1))
@@ -86,26 +95,46 @@ class BlockMaxIndex:
         self.top = np.zeros(width)
         np.maximum.at(self.top, term[new], self.peak)
         self.full = np.zeros(width)
+        often = np.diff(self.start)
+        wide = np.sort(np.argsort(-often, kind="stable")[: self.WIDE])
+        #: By term, -1 for all but the widest: its row of values over all examples.
+        self.row = np.full(width, -1)
+        self.row[wide] = np.arange(len(wide))
+        self.rows = np.zeros((len(wide), rows))
+        i = ranges(self.start[wide], often[wide])
+        self.rows[np.repeat(np.arange(len(wide)), often[wide]), self.of[i]] = self.value[i]
 
     def __reduce__(self):
-        kept = {k: v for k, v in self.__dict__.items() if k != "full"}
-        return _opened, (kept,)
+        sent = ("terms", "weight", "block", "keys", "labels", "far_start", "far_term", "far_n")
+        return _opened, ({k: self.__dict__[k] for k in sent},)
 
-    def unit(self, own: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the known terms with weight, ascending, and their values in a vector of length 1."""
+    def known(self, own: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the known terms with weight, ascending, and their numbers."""
         if not len(self.terms) or not len(own):
-            return np.zeros(0, int), np.zeros(0)
+            return np.zeros(0, int), np.zeros(0, int)
         i = np.minimum(np.searchsorted(self.terms, own), len(self.terms) - 1)
         same = (self.terms[i] == own) & (self.weight[i] > 0)
-        at = i[same]
-        w = (1 + np.log(n[same])) * self.weight[at]
-        return at, w / np.sqrt((w * w).sum()) if len(at) else w
+        return i[same], n[same]
+
+    def scaled(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Values of terms in a vector of length 1."""
+        w = (1 + np.log(n)) * self.weight[at]
+        return w / np.sqrt((w * w).sum()) if len(at) else w
+
+    def unit(self, own: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the known terms with weight, ascending, and their values in a vector of length 1."""
+        at, n = self.known(own, n)
+        return at, self.scaled(at, n)
 
     def summed(self, at: np.ndarray, w: np.ndarray) -> np.ndarray:
         """What these terms add to the cosine of every example."""
+        row = self.row[at]
+        wide = np.zeros(len(self.rows))
+        wide[row[row >= 0]] = w[row >= 0]
+        at, w = at[row < 0], w[row < 0]
         length = self.start[at + 1] - self.start[at]
         i = ranges(self.start[at], length)
-        return np.bincount(self.of[i], self.value[i] * np.repeat(w, length), len(self.keys))
+        return np.bincount(self.of[i], self.value[i] * np.repeat(w, length), len(self.keys)) + wide @ self.rows
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines, to 12 places, of the ``k`` nearest examples with any common term; ties by number.
@@ -164,7 +193,7 @@ class BlockMaxIndex:
 def _opened(kept: dict) -> BlockMaxIndex:
     index = BlockMaxIndex.__new__(BlockMaxIndex)
     index.__dict__.update(kept)
-    index.full = np.zeros(len(index.weight))
+    index.spread()
     return index
 
 

@@ -269,3 +269,28 @@ def test_every_labelled_domain_has_a_target(spark):
     total = sum(r.tokens for r in rows)
     got = [sum(r.rate * r.tokens * r.posterior[d] for r in rows) / total for d in range(4)]
     assert np.allclose(got, [0.10, 0.0, 0.88, 0.02], atol=0.02)
+
+
+def test_index_is_sent_as_its_examples_and_votes_alike():
+    import pickle
+
+    from civicframe.llm import toxicity as tox
+
+    rng = np.random.default_rng(5)
+    sets = []
+    for key in range(300):
+        own = np.unique(rng.integers(1, 4_000, 120).astype(np.uint64) ** 2)
+        sets.append((key, float(key % 7 == 0), own, rng.integers(1, 9, len(own)).astype(np.uint32)))
+    index, share = tox.indexed(sets)
+    data = pickle.dumps(index, 5)
+    # Postings, maxima and rows are made again where the index is opened: ten bytes a posting and twenty a term stay.
+    assert len(data) < 10 * len(index.of) + 20 * len(index.terms) + 20_000
+    again = pickle.loads(data)
+    for _, _, own, n in sets[::10]:
+        (a, i, s), (b, j, t) = index.vote(own, n, 15, share), again.vote(own, n, 15, share)
+        at, w = index.unit(own, n)
+        full = np.zeros(len(index.weight))
+        full[at] = w
+        cosines = np.round(np.add.reduceat(full[index.far_term] * index.far_value, index.far_start[:-1]), 12)
+        assert a == b and (i == j).all() and (s == t).all()
+        assert np.allclose(np.sort(cosines)[::-1][: len(s)], s, atol=2e-12)
