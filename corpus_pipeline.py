@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicframe.llm.exact_dedup import exact_dedup, normalised
@@ -31,10 +31,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest id; a row that is repeated as a whole stays once."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__key")).distinct()
-    rows = docs.withColumn("__sha", F.sha2(normalised(F.col("text")), 256))
-    stays = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__key"))
-    return rows.join(kept, stays, "left_semi").dropDuplicates(["doc_id", "__sha"]).select(*docs.columns)
+    def keyed(of: str, sha: Column) -> dict[str, Column]:
+        # A missing id is a key like others; plain keys let one exchange of the texts serve both steps.
+        return {"__none": F.col(of).isNull(), "__id": F.coalesce(F.col(of), F.lit(0)), "__sha": sha}
+
+    keys = ["__none", "__id", "__sha"]
+    kept = exact_dedup(docs).where("kept").withColumns(keyed("doc_id", F.col("text_sha256"))).select(keys)
+    rows = docs.withColumns(keyed("doc_id", F.sha2(normalised(F.col("text")), 256)))
+    return rows.dropDuplicates(keys).join(kept.hint("merge"), keys, "left_semi").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,3 +103,18 @@ def test_whole_pipeline(spark):
     for r in corpus_pipeline.run(spark, FOLDER).collect():
         again[r.doc_id] += r.length
     assert again == got
+
+
+def test_copies_are_dropped_with_one_exchange_of_the_rows(spark):
+    from corpus_pipeline import drop_copies
+
+    rows = [(1, "a  b", "x"), (2, "a b", "x"), (1, "a  b", "x"), (3, None, "y"), (4, "", "y"), (None, "n", "z"), (None, "n", "z"), (0, "m", "z"), (None, "m", "z"), (7, "7", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = drop_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    kept = sorted((tuple(r) for r in out.collect()), key=repr)
+    assert kept == sorted([(1, "a  b", "x"), (3, None, "y"), (None, "n", "z"), (0, "m", "z"), (7, "7", None)], key=repr)
+    plan = drop_copies(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line]
+    # Two of the deduplication, one for each side of its join, one for the rows, one for the verdicts.
+    assert len(moved) <= 6, plan
