@@ -203,20 +203,15 @@ def merge_location_fields(cases: DataFrame, chosen: DataFrame) -> DataFrame:
 
     ``cases``: incident_address, street, city, state, zip, lat, lon, loc_type, status.
     ``chosen``: raw and the same location fields with ``_fin``; the zip code is cut to five
-    digits.
+    digits. What one side decides alone is worked out before the join, since an address that many
+    cases and many chosen locations share gives a row for each pair of them.
     """
     cases, chosen = rename_clashes(cases, chosen, [("incident_address", "raw")], ("_x", "_y"))
-    joined = spread_join(cases, chosen, [("incident_address", "raw")], "left")
     kind = first_nonempty("loc_type", F.lit("SCENE"))
-    return (
-        joined.withColumns(
-            {
-                **{c: first_present(F.upper(c + "_fin"), c) for c in ("street", "city", "state")},
-                "zip": first_present(lenient(F.substring("zip_fin", 1, 5), "int"), "zip"),
-                "lat": first_present("lat_fin", "lat"),
-                "lon": first_present("lon_fin", "lon"),
-                "loc_type": kind,
-                "status": status_rule(kind, F.col("status")),
-            }
-        )
-    ).drop(*[c for c in joined.columns if c.endswith("_fin")])
+    cases = cases.withColumns({"loc_type": kind, "status": status_rule(kind, F.col("status"))})
+    given = {c + "_fin": F.upper(c + "_fin") for c in ("street", "city", "state")}
+    chosen = chosen.withColumns({**given, "zip_fin": lenient(F.substring("zip_fin", 1, 5), "int")})
+    joined = spread_join(cases, chosen, [("incident_address", "raw")], "left")
+    fields = ("street", "city", "state", "zip", "lat", "lon")
+    merged = joined.withColumns({c: first_present(c + "_fin", c) for c in fields})
+    return merged.drop(*[c for c in joined.columns if c.endswith("_fin")])

@@ -83,3 +83,20 @@ def test_only_needed_columns_are_read(spark):
     wide = [s for s in scans if "l_shipdate" in s]
     # All that makes up a crime counts, since crimes are a set; nothing else is read.
     assert wide and not re.search("l_(extendedprice|discount|tax|commitdate|receiptdate|comment)", " ".join(wide))
+
+
+def test_one_sided_location_fields_are_worked_out_before_the_join(spark, rows):
+    from civicframe.plans.locating import merge_location_fields
+
+    own = "incident_address string, case_no string, street string, city string, state string, zip int, lat double, lon double, loc_type string, status string"
+    given = "raw string, street_fin string, city_fin string, state_fin string, zip_fin string, lat_fin double, lon_fin double"
+    cases = [("a", "1", None, "c", "IL", 1, 1.0, None, "", "UNKNOWN"), ("b", "2", "s", None, "IL", 2, None, 2.0, "HOSPITAL", "UNKNOWN"), (None, "3", None, None, None, None, None, None, None, None)]
+    chosen = [("a", "x", None, "il", "60601-12", None, 5.0), ("a", "y", "z", None, "none", 6.0, 7.0)]
+    out = merge_location_fields(spark.createDataFrame(cases, own), spark.createDataFrame(chosen, given))
+    assert rows(out) == sorted([
+        ("a", "1", "X", "c", "IL", 60601, 1.0, 5.0, "SCENE", "N/A"), ("a", "1", "Y", "Z", "IL", 1, 6.0, 7.0, "SCENE", "N/A"),
+        ("b", "2", "s", None, "IL", 2, None, 2.0, "HOSPITAL", "OPEN"), (None, "3", None, None, None, None, None, None, "SCENE", "N/A"),
+    ], key=repr)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join", 1)
+    assert "upper(" not in above and "upper(" in below
