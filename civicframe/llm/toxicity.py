@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pickle
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import batched, chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -20,20 +21,31 @@ SPLIT = bytes(i if i > 127 or chr(i).isalpha() else 32 for i in range(256))
 PREFIXES = (4, 6)
 #: Bytes of the index in one row.
 PART = 8_000_000
+#: Texts, and their characters, that are looked up together.
+TOGETHER, CHARS = 64, 1_000_000
+
+
+def counted_words(text: str | None) -> Counter:
+    """Words of a text, lower-cased in ASCII, and their numbers."""
+    return Counter((text or "").encode("utf-8", "replace").lower().translate(SPLIT).split())
+
+
+def fingerprints(terms: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, terms), np.uint64, len(terms))
 
 
 def counted_terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of a text's terms, ascending, and their numbers: words, lower-cased in ASCII, and beginnings of longer words.
 
-    Terms are equal when their 64-bit fingerprints are. To hash a term again is quicker than to look it up.
+    Terms are equal when their 64-bit fingerprints are.
     """
-    words = Counter((text or "").encode("utf-8", "replace").lower().translate(SPLIT).split())
+    words = counted_words(text)
     terms, often = list(words), list(words.values())
     for p in PREFIXES:
         longer = [(w[:p] + b"*", n) for w, n in words.items() if len(w) >= p]
         terms += [w for w, _ in longer]
         often += [n for _, n in longer]
-    found, place = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, terms), np.uint64, len(terms)), return_inverse=True)
+    found, place = np.unique(fingerprints(terms), return_inverse=True)
     return found, np.bincount(place, often, len(found)).astype(np.int64)
 
 
@@ -55,7 +67,7 @@ class BlockMaxIndex:
     #: Share of the bound on a text's cosine whose terms are summed for all blocks.
     FIRST = 0.95
     #: Terms of the most examples, whose values are also kept as rows over all examples.
-    WIDE = 128
+    WIDE = 1024
 
     def __init__(self, terms: np.ndarray, weight: np.ndarray, examples: list[tuple], block: int = 64):
         self.terms, self.weight, self.block = terms, np.asarray(weight, float), block
@@ -108,13 +120,17 @@ class BlockMaxIndex:
         sent = ("terms", "weight", "block", "keys", "labels", "far_start", "far_term", "far_n")
         return _opened, ({k: self.__dict__[k] for k in sent},)
 
+    def places(self, own: np.ndarray) -> np.ndarray:
+        """Places of terms, -1 for those that are not known or without weight."""
+        if not len(self.terms):
+            return np.full(len(own), -1)
+        i = np.minimum(np.searchsorted(self.terms, own), len(self.terms) - 1)
+        return np.where((self.terms[i] == own) & (self.weight[i] > 0), i, -1)
+
     def known(self, own: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the known terms with weight, ascending, and their numbers."""
-        if not len(self.terms) or not len(own):
-            return np.zeros(0, int), np.zeros(0, int)
-        i = np.minimum(np.searchsorted(self.terms, own), len(self.terms) - 1)
-        same = (self.terms[i] == own) & (self.weight[i] > 0)
-        return i[same], n[same]
+        i = self.places(own)
+        return i[i >= 0], n[i >= 0]
 
     def scaled(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Values of terms in a vector of length 1."""
@@ -126,68 +142,161 @@ class BlockMaxIndex:
         at, n = self.known(own, n)
         return at, self.scaled(at, n)
 
-    def summed(self, at: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """What these terms add to the cosine of every example."""
-        row = self.row[at]
-        wide = np.zeros(len(self.rows))
-        wide[row[row >= 0]] = w[row >= 0]
-        at, w = at[row < 0], w[row < 0]
+    def summed(self, doc: np.ndarray, at: np.ndarray, w: np.ndarray, docs: int) -> np.ndarray:
+        """What these terms of texts ``doc`` add to the cosines, a row for each text, a column for each example."""
         length = self.start[at + 1] - self.start[at]
         i = ranges(self.start[at], length)
-        return np.bincount(self.of[i], self.value[i] * np.repeat(w, length), len(self.keys)) + wide @ self.rows
+        cell = np.repeat(doc * len(self.keys), length)
+        cell += self.of[i]
+        return np.bincount(cell, self.value[i] * np.repeat(w, length), docs * len(self.keys)).reshape(docs, -1)
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines, to 12 places, of the ``k`` nearest examples with any common term; ties by number.
+        """As ``all_nearest``, for one text."""
+        return self.all_nearest(np.zeros(len(at), int), at, w, 1, k)[0]
 
-        Terms go by falling bound, the largest value that they have anywhere. The first ones, which make
-        up most of the bound, are summed. What the others can add to a block is the sum of their
+    def all_nearest(self, doc: np.ndarray, at: np.ndarray, w: np.ndarray, docs: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For texts 0 .. ``docs`` - 1: numbers and cosines, to 12 places, of the ``k`` nearest examples with any common term; ties by number.
+
+        ``doc`` has the text of each term and ascends. The widest terms are summed for all texts as one
+        product of matrices. The others go by falling bound, the largest value that they have anywhere,
+        until most of the bound is summed. What the rest can add to a block is the sum of its
         maxima there: a block whose best sum with it stays under the ``k``-th cosine so far is not
         opened, and neither is such an example of an open block. The rest is summed in full, by
         whichever lists are shorter, so the result is exact.
         """
         if not len(at) or not self.blocks:
-            return np.zeros(0, int), np.zeros(0)
-        bound = w * self.top[at]
-        order = np.argsort(-bound, kind="stable")
-        at, w, bound = at[order], w[order], bound[order]
-        cut = int(np.searchsorted(np.cumsum(bound), self.FIRST * bound.sum())) + 1
-        score = self.summed(at[:cut], w[:cut])
-        near = np.arange(len(score))
-        if cut < len(at):
-            rest, x = at[cut:], w[cut:]
-            length = self.peak_start[rest + 1] - self.peak_start[rest]
-            i = ranges(self.peak_start[rest], length)
-            more = np.bincount(self.peak_block[i], np.repeat(x, length) * self.peak[i], self.blocks)
-            least = np.partition(score, -k)[-k] if len(score) > k else 0.0
-            best = np.maximum.reduceat(score, np.arange(0, len(score), self.block))
-            open_ = np.repeat(best + more >= least - 1e-9, self.block)[: len(score)]
-            most = score + np.repeat(more, self.block)[: len(score)]
-            near = np.flatnonzero(open_ & (most > 0) & (most >= least - 1e-9))
-            size = self.far_start[near + 1] - self.far_start[near]
-            if size.sum() < (self.start[rest + 1] - self.start[rest]).sum():
-                self.full[rest] = x
-                j = ranges(self.far_start[near], size)
-                more = np.bincount(np.repeat(np.arange(len(near)), size), self.full[self.far_term[j]] * self.far_value[j], len(near))
-                self.full[rest] = 0
-                score = score[near] + more
-            else:
-                score = (score + self.summed(rest, x))[near]
-        score = np.round(score, 12)
-        hit = np.flatnonzero(score > 0)
-        if len(hit) > k:
-            hit = hit[score[hit] >= np.partition(score[hit], -k)[-k]]
-        order = hit[np.lexsort((near[hit], -score[hit]))[:k]]
-        return near[order], score[order]
+            return [(np.zeros(0, int), np.zeros(0))] * docs
+        rows = len(self.keys)
+        bound, row = w * self.top[at], self.row[at]
+        wide = row >= 0
+        # Full groups, so that sums do not depend on how many other texts there are.
+        matrix = np.zeros((-(-docs // TOGETHER) * TOGETHER, len(self.rows)))
+        matrix[doc[wide], row[wide]] = w[wide]
+        score = (matrix @ self.rows)[:docs]
+        narrow = np.flatnonzero(~wide)
+        narrow = narrow[np.argsort(2.0 * doc[narrow] - bound[narrow], kind="stable")]
+        d, b = doc[narrow], bound[narrow]
+        total = np.bincount(doc, bound, docs)
+        # By term: the bounds of all terms of its text that come before it, the widest among them.
+        before = np.cumsum(b) - b + (total - np.cumsum(np.bincount(d, b, docs)))[d]
+        cut = before < self.FIRST * total[d]
+        first, rest = narrow[cut], narrow[~cut]
+        score += self.summed(doc[first], at[first], w[first], docs)
+        d, t, x = doc[rest], at[rest], w[rest]
+        length = self.peak_start[t + 1] - self.peak_start[t]
+        i = ranges(self.peak_start[t], length)
+        block = np.repeat(d * self.blocks, length) + self.peak_block[i]
+        more = np.bincount(block, np.repeat(x, length) * self.peak[i], docs * self.blocks).reshape(docs, -1)
+        least = np.partition(score, -k, axis=1)[:, -k, None] - 1e-9 if rows > k else -1.0
+        best = np.maximum.reduceat(score, np.arange(0, rows, self.block), axis=1)
+        most = score + np.repeat(np.where(best + more >= least, more, -9.0), self.block, axis=1)[:, :rows]
+        near = (most >= least) & (most > 0)
+        far = np.diff(self.far_start)
+        long = near @ far >= np.bincount(d, self.start[t + 1] - self.start[t], docs)
+        i = long[d]
+        score += self.summed(d[i], t[i], x[i], docs)
+        place = np.searchsorted(d, np.arange(docs + 1))
+        out = []
+        for j in range(docs):
+            n = np.flatnonzero(near[j])
+            found = score[j, n]
+            if not long[j]:
+                own = slice(place[j], place[j + 1])
+                self.full[t[own]] = x[own]
+                i = ranges(self.far_start[n], far[n])
+                found += np.bincount(np.repeat(np.arange(len(n)), far[n]), self.full[self.far_term[i]] * self.far_value[i], len(n))
+                self.full[t[own]] = 0
+            found = np.round(found, 12)
+            hit = np.flatnonzero(found > 0)
+            if len(hit) > k:
+                hit = hit[found[hit] >= np.partition(found[hit], -k)[-k]]
+            order = hit[np.lexsort((n[hit], -found[hit]))[:k]]
+            out.append((n[order], found[order]))
+        return out
 
     def vote(self, own: np.ndarray, n: np.ndarray, k: int, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+        """As ``votes``, for one text with these terms."""
+        return self.votes(*self.units([(own, n)]), k, prior)[0]
+
+    def votes(
+        self, words: np.ndarray, doc: np.ndarray, at: np.ndarray, w: np.ndarray, k: int, prior: float
+    ) -> list[tuple[float, np.ndarray, np.ndarray]]:
         """Share of label 1 among the neighbours, each with its cosine as weight, drawn to ``prior`` where they are few or far.
 
-        Nothing in a text without words is toxic: its neighbours count as equal to it and of label 0.
+        One for each text, with its neighbours. ``words`` is 0 for texts without words: nothing in them is
+        toxic, their neighbours count as equal to them and of label 0.
         """
-        if not len(own):
-            return prior / (k + 1.0), np.zeros(0, int), np.zeros(0)
-        i, s = self.nearest(*self.unit(own, n), k)
-        return (float((s * self.labels[i]).sum()) + prior) / (float(s.sum()) + 1.0), i, s
+        out = []
+        for some, (i, s) in zip(words, self.all_nearest(doc, at, w, len(words), k), strict=True):
+            share = (float((s * self.labels[i]).sum()) + prior) / (float(s.sum()) + 1.0) if some else prior / (k + 1.0)
+            out.append((share, i, s))
+        return out
+
+    def units(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts (terms, counts): number of terms by text; text, place and value of all known terms."""
+        found = [self.unit(own, n) for own, n in texts]
+        doc = np.repeat(np.arange(len(texts)), [len(at) for at, _ in found])
+        return np.array([len(own) for own, _ in texts]), doc, *(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+class Reader:
+    """Texts as unit vectors of an index. Places of a word's terms are looked up when it is first met, and kept."""
+
+    #: Words that are kept at most from one call to the next.
+    KEPT = 200_000
+
+    def __init__(self, index: BlockMaxIndex):
+        self.index = index
+        self.forget()
+
+    def forget(self) -> None:
+        #: Word to its row in ``place``, given out in turn.
+        self.row: defaultdict = defaultdict(count().__next__)
+        #: By word: places of it and of its beginnings, -1 for none.
+        self.place = np.zeros((0, 1 + len(PREFIXES)), int)
+
+    def learn(self, words: list[bytes]) -> None:
+        found = np.full((len(words), 1 + len(PREFIXES)), -1)
+        found[:, 0] = self.index.places(fingerprints(words))
+        size = np.fromiter(map(len, words), int, len(words))
+        for c, p in enumerate(PREFIXES, 1):
+            i = np.flatnonzero(size >= p)
+            found[i, c] = self.index.places(fingerprints([words[j][:p] + b"*" for j in i.tolist()]))
+        self.place = np.concatenate([self.place, found])
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As ``units`` of the index, with the number of words by text."""
+        counted = [counted_words(t) for t in texts]
+        words, often = list(chain.from_iterable(counted)), list(chain.from_iterable(c.values() for c in counted))
+        size = np.fromiter(map(len, counted), int, len(counted))
+        row = np.fromiter(map(self.row.__getitem__, words), int, len(words))
+        new = np.flatnonzero(row >= len(self.place))
+        if len(new):
+            self.learn([words[j] for j in new[np.unique(row[new], return_index=True)[1]].tolist()])
+        at, width = self.place[row], len(self.index.terms)
+        i, c = np.nonzero(at >= 0)
+        key = np.repeat(np.arange(len(texts)) * width, size)[i] + at[i, c]
+        order = np.argsort(key)
+        key, n = key[order], np.array(often, int)[i][order]
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+        doc, at = np.divmod(key[new], max(width, 1))
+        w = (1 + np.log(np.add.reduceat(n, new) if len(new) else n)) * self.index.weight[at]
+        if len(self.row) > self.KEPT:
+            self.forget()
+        return size, doc, at, w / np.sqrt(np.bincount(doc, w * w, len(texts)))[doc]
+
+
+def grouped(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+    """The texts in turn, few or short enough to be held together with what they are cut into."""
+    group, chars = [], 0
+    for t in texts:
+        if group and (len(group) == TOGETHER or chars + len(t or "") > CHARS):
+            yield group
+            group, chars = [], 0
+        group.append(t)
+        chars += len(t or "")
+    if group:
+        yield group
 
 
 def _opened(kept: dict) -> BlockMaxIndex:
@@ -324,8 +433,9 @@ def toxicity(
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = opened()
-        for _, y, terms, counts in unpacked(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([index.vote(terms, counts, k, prior)[0]]), pa.array([y])], names=["raw", "y"])
+        for group in batched(unpacked(batches), TOGETHER):
+            found = index.votes(*index.units([r[2:] for r in group]), k, prior)
+            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in found]), pa.array([r[1] for r in group])], names=["raw", "y"])
 
     slope, offset = 1.0, 0.0
     if 0 < share < 1:
@@ -338,15 +448,16 @@ def toxicity(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = opened()
+        reader = Reader(found)
         for b in batches:
             scores, proofs = [], []
-            for text in b.column("__text"):
-                raw, i, s = found.vote(*counted_terms(text.as_py()), k, prior)
-                x = slope * np.log(raw / (1 - raw)) + offset
-                scores.append(only if only is not None else float(1 / (1 + np.exp(-x))))
-                proofs.append(
-                    [{"doc_id": found.keys[j], "cosine": float(c), "label": int(found.labels[j])} for j, c in zip(i[:evidence], s, strict=False)]
-                )
+            for group in grouped(t.as_py() for t in b.column("__text")):
+                for raw, i, s in found.votes(*reader.read(group), k, prior):
+                    x = slope * np.log(raw / (1 - raw)) + offset
+                    scores.append(only if only is not None else float(1 / (1 + np.exp(-x))))
+                    proofs.append(
+                        [{"doc_id": found.keys[j], "cosine": float(c), "label": int(found.labels[j])} for j, c in zip(i[:evidence], s, strict=False)]
+                    )
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[1:], pa.array(scores, pa.float64()), pa.array(proofs, kind)],

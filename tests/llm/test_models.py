@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from civicframe.llm.mixing import fitted_rates, mix
 from civicframe.llm.packing import encoder, pack, pack_rows
 from civicframe.llm.queries import QUERIES
-from civicframe.llm.toxicity import BlockMaxIndex, counted_terms, feature_weights, platt, toxicity
+from civicframe.llm.toxicity import BlockMaxIndex, Reader, counted_terms, feature_weights, grouped, indexed, platt, toxicity
 from pyspark.sql import functions as F
 
 FOLDER = "/root/testdata/sf0.001"
@@ -294,3 +294,64 @@ def test_index_is_sent_as_its_examples_and_votes_alike():
         cosines = np.round(np.add.reduceat(full[index.far_term] * index.far_value, index.far_start[:-1]), 12)
         assert a == b and (i == j).all() and (s == t).all()
         assert np.allclose(np.sort(cosines)[::-1][: len(s)], s, atol=2e-12)
+
+
+def drawn_texts(rng, texts):
+    """Texts of words with common beginnings, among them long, empty and missing ones and copies."""
+    words = ["".join(rng.choice(list("abc"), rng.integers(1, 9))) for _ in range(3_000)]
+    out = [" ".join(words[i] for i in rng.geometric(0.004, rng.integers(1, 150)) % 3_000) for _ in range(texts)]
+    return [None, "", "12 !", "zz zzzzzzz", *out, *out[:50], " ".join(words) * 400]
+
+
+def test_words_are_looked_up_once(monkeypatch):
+    """Texts of one task: a word's terms are hashed when it is first met, not again with every text (op2_toxicity: CPU a GB)."""
+    rng = np.random.default_rng(6)
+    texts = drawn_texts(rng, 300)
+    index, prior = indexed([(i, float(i % 5 == 0), *counted_terms(t)) for i, t in enumerate(texts) if t and i % 3])
+    hashed = []
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda t: hashed.append(t) or xxhash.xxh64(t).intdigest())
+    reader = Reader(index)
+    groups = list(grouped(texts))
+    found = [v for g in groups for v in index.votes(*reader.read(g), 15, prior)]
+    different = {w for t in texts if t for w in t.encode().translate(bytes(i if chr(i).isalpha() else 32 for i in range(256))).split()}
+    assert len(groups) > 3 and sum(groups, []) == texts and len(groups[-1]) == 1
+    assert len(hashed) <= 3 * len(different)
+    hashed.clear()
+    # Copies, in other company: the same to the last bit, and nothing is hashed again.
+    again = [index.votes(*reader.read([t]), 15, prior)[0] for t in texts]
+    assert not hashed
+    assert all(a == b and (i == j).all() and (s == z).all() for (a, i, s), (b, j, z) in zip(found, again, strict=True))
+    reader.KEPT = 1
+    forgetful = [v for g in groups for v in index.votes(*reader.read(g), 15, prior)]
+    assert [v[0] for v in forgetful] == [v[0] for v in found] and hashed
+
+
+@pytest.mark.parametrize("first", [0.2, 0.95])
+@pytest.mark.parametrize("wide", [0, 10, 5_000])
+def test_texts_searched_together_are_exact(first, wide):
+    """Votes of many texts at once against plain sums over all terms, whatever part of the terms is kept as rows."""
+    rng = np.random.default_rng(7)
+    texts = drawn_texts(rng, 300)
+    index, prior = indexed([(i, float(i % 5 == 0), *counted_terms(t)) for i, t in enumerate(texts) if i % 3])
+    index.WIDE, index.FIRST, index.block = wide, first, 8
+    index.spread()
+    dense = np.zeros((len(index.keys), len(index.weight)))
+    dense[np.repeat(np.arange(len(dense)), np.diff(index.far_start)), index.far_term] = index.far_value
+    reader = Reader(index)
+    found = [v for g in grouped(texts) for v in index.votes(*reader.read(g), 15, prior)]
+    for text, (raw, i, s) in zip(texts, found, strict=True):
+        own, n = counted_terms(text)
+        q = np.zeros(len(index.weight))
+        at, w = index.unit(own, n)
+        q[at] = w
+        full = np.round(dense @ q, 12)
+        best = [j for j in np.lexsort((np.arange(len(full)), -full)) if full[j] > 0][:15]
+        assert np.allclose(s, full[best], atol=3e-12) and np.allclose(full[i], full[best], atol=3e-12)
+        share = (full[best] @ index.labels[i] + prior) / (full[best].sum() + 1) if len(own) else prior / 16
+        assert abs(raw - share) < 1e-10
+
+
+def test_index_without_examples_votes():
+    index, share = indexed([])
+    votes = index.votes(*Reader(index).read([None, "words of a text"]), 15, 0.5)
+    assert share == 0 and [v[0] for v in votes] == [0.5 / 16, 0.5]
