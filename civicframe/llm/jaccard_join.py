@@ -62,8 +62,15 @@ def level_tops(num: int, den: int) -> list[int]:
     return tops
 
 
+def levels(n: list[int], num: int, den: int) -> np.ndarray:
+    """The level of each set size."""
+    return np.searchsorted(level_tops(num, den), n)
+
+
 #: Parts of a class, of which a key leaves out one.
 PARTS = 3
+#: The last bits of a key: of the level that it is for.
+LEVEL = np.uint64(63)
 
 
 @cache
@@ -84,11 +91,14 @@ def routing_keys(found: np.ndarray, num: int, den: int) -> np.ndarray:
     so a set leaves out keys below a size that it chooses: the largest for which at most e of its
     classes have a smaller key. Of the e + 1 classes one has none in the set that chose the larger
     size, and keys that agree are of one size, so a common key is left.
+
+    A set has keys for its own level and for the one above, so sets of one level share a key for
+    it, sets of two levels a key for the larger. The last bits of a key tell the level.
     """
     n = len(found)
     if n * den < num * (n + 1):  # no other set can be near enough
         return np.zeros(0, np.uint64)
-    own = int(np.searchsorted(level_tops(num, den), n))
+    own = int(levels([n], num, den)[0])
     keys = []
     for level in (own, own + 1):
         m, spare = classes(level, num, den)
@@ -99,6 +109,7 @@ def routing_keys(found: np.ndarray, num: int, den: int) -> np.ndarray:
         low, high, size = (x.sum(1, keepdims=True) - x for x in sums)
         place = np.arange(m * PARTS, dtype=np.uint64).reshape(m, PARTS) * _MIX[2] + np.uint64(level)
         key = mixed(mixed(low.astype(np.uint64) * _MIX[0] + high.astype(np.uint64)) + place)
+        key = (key & ~LEVEL) | (np.uint64(level) & LEVEL)
         keys.append(key[size >= np.sort(size.min(1))[spare]])
     return np.concatenate(keys)
 
@@ -122,14 +133,35 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
+def inverted(sets: list[np.ndarray], size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inverted lists of the shingles that two sets or more hold.
+
+    ``name`` has for each place in the sets the number of its list, or -1; list k is
+    ``lists[start[k] : start[k + 1]]``, the numbers of the sets in ascending order. Arrays that have
+    a place for every shingle go as soon as they are used: some 32 bytes a shingle at most, with the sets.
+    """
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")  # by shingle, then by set
+    flat = flat[order]
+    new = np.ones(len(flat) + 1, bool)
+    np.not_equal(flat[1:], flat[:-1], out=new[1:-1])
+    del flat
+    shared = ~(new[:-1] & new[1:])
+    name = np.full(len(order), -1, np.int32)
+    order, new = order[shared], new[:-1][shared]
+    name[order] = np.cumsum(new, dtype=np.int32) - 1
+    lists = np.repeat(np.arange(len(sets), dtype=np.int32), size)[order]
+    return name, lists, np.append(np.flatnonzero(new), len(order))
+
+
 #: How dear a probe of a long list is against a step of the merge, in the rule for the number of long lists.
 MU = 0.01
 
 
-def divide_skip(sets: list[np.ndarray], side: np.ndarray | None, num: int, den: int) -> Forest:
+def divide_skip(sets: list[np.ndarray], side: np.ndarray | None, num: int, den: int, above: int = 0) -> Forest:
     """Trees of linked sets. With ``side`` (booleans), only pairs of a set of each side are looked at.
 
-    Sets come in ascending order of size. Each is a query against the smaller ones: it needs at
+    Sets come in ascending order of size; pairs whose larger set has ``above`` shingles or fewer are left out. Each is a query against the smaller ones: it needs at
     least T of its shingles in common. The T / (mu log M + 1) longest of its inverted lists are put
     aside; the others are merged by counting, and what occurs in T less the number of long lists is
     looked for in the long ones by binary search, until the overlap is reached or out of reach. Sets
@@ -137,22 +169,16 @@ def divide_skip(sets: list[np.ndarray], side: np.ndarray | None, num: int, den:
     """
     forest = Forest(len(sets))
     size = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), size)
-    _, name, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count[name] > 1
-    order = np.lexsort((owner, name))
-    order = order[shared[order]]
-    lists = owner[order]
-    start = np.searchsorted(name[order], np.arange(len(count) + 1))
     first = np.concatenate([[0], np.cumsum(size)])
-    for i in range(1, len(sets)):
+    name, lists, start = inverted(sets, size)
+    for i in range(max(1, int(np.searchsorted(size, above, "right"))), len(sets)):
         n = int(size[i])
         least = int(np.searchsorted(size, -(-num * n // den)))
         if least >= i:
             continue
         need = -(-num * n // den)
         own = name[first[i] : first[i + 1]]
-        own = own[count[own] > 1]
+        own = own[own >= 0]
         if len(own) < need:
             continue
         length = start[own + 1] - start[own]
@@ -169,7 +195,8 @@ def divide_skip(sets: list[np.ndarray], side: np.ndarray | None, num: int, den:
         if side is not None:
             found = found[side[found + least] != side[i]]
         mine = forest.root(i)
-        found = np.array([j for j in found if forest.root(int(j) + least) != mine], int)
+        # Of the type of the lists, which a search would convert else.
+        found = np.array([j for j in found if forest.root(int(j) + least) != mine], np.int32)
         have, at = seen[found], found + least
         # The overlap that a pair needs, from both sizes.
         wanted = -(-num * (n + size[at]) // (num + den))
@@ -195,15 +222,18 @@ def jaccard_join(
     num: int = 4,
     den: int = 5,
     block_rows: int = 6_000,
-    block_shingles: int = 4_000_000,
+    block_shingles: int = 2_000_000,
 ) -> DataFrame:
     """One row per input row: ``id_col, n_shingles, component_id`` under links of similarity ``num / den`` or more.
 
     Three steps. (1) Sets are fingerprinted; equal sets are one from here on. (2) Sets that share a
     routing key meet; keys are merged within a batch first, so a hot key has one row per batch.
-    (3) Sets that met, directly or through others, are searched by ``divide_skip`` in one task, or in
-    one task per pair of blocks where they are more than ``block_rows`` or ``block_shingles``.
+    (3) Sets that met on a level, directly or through others, are searched by ``divide_skip`` in one task,
+    or in one task per pair of blocks where they are more than ``block_rows`` or ``block_shingles``.
     No pair leaves a task: each sends the trees that it has found, at most a row per set.
+    A group holds sets of its level and of the one below, and a pair of the latter is looked at on its
+    own level, so sets of many sizes do not become one group through weak likeness from size to size.
+    A task holds two blocks at most, some 32 bytes a shingle.
 
     Fingerprints have 64 bits; equality of sets is that of their 128-bit digests. Texts without
     words and rows without an id have no partners; the latter get no component. Rows that share an
@@ -220,8 +250,9 @@ def jaccard_join(
                 found = shingles(t.as_py(), words, known)
                 n.append(len(found))
                 digest.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
+            level = levels(n, num, den).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary())], names=["id", "n", "digest"]
+                [b.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(level)], names=["id", "n", "digest", "level"]
             )
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,8 +287,10 @@ def jaccard_join(
         key, who = key[order], who[order]
         new = np.concatenate([[True], key[1:] != key[:-1]])
         leader = who[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        ties = np.unique(np.column_stack([leader, who])[leader != who], axis=0).reshape(-1, 2)
+        ties = np.column_stack([leader, who, (key & LEVEL).astype(np.int64)])[leader != who]
+        ties = np.unique(ties, axis=0).reshape(-1, 3)
         tie_key = mixed(ties[:, 0].astype(np.uint64) * _MIX[0] + mixed(ties[:, 1].astype(np.uint64) + _MIX[2]))
+        tie_key = (tie_key & ~LEVEL) | ties[:, 2].astype(np.uint64)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate([key[new], tie_key, tie_key]).view(np.int64)),
@@ -272,51 +305,61 @@ def jaccard_join(
 
         def edges() -> pa.RecordBatch:
             ordered = sorted(held, key=lambda x: (len(x[1]), x[0]))
-            side = None if group[1] == group[2] else np.array([x[2] == group[1] for x in ordered])
-            forest = divide_skip([x[1] for x in ordered], side, num, den)
+            _, level, lo, hi = group
+            side = None if lo == hi else np.array([x[2] == lo for x in ordered])
+            forest = divide_skip([x[1] for x in ordered], side, num, den, level_tops(num, den)[level - 1] if level else 0)
             up = [(ordered[i][0], ordered[forest.root(i)][0]) for i in range(len(ordered)) if forest.root(i) != i]
             return pa.RecordBatch.from_arrays(
                 [pa.array([a for a, _ in up], pa.int64()), pa.array([b for _, b in up], pa.int64())], names=["a", "b"]
             )
 
         for b in batches:
-            columns = [b.column(c) for c in ("met", "lo", "hi", "block", "id", "text")]
+            columns = [b.column(c) for c in ("met", "on", "lo", "hi", "block", "id", "text")]
             for i in range(b.num_rows):
-                met, lo, hi, block, key, text = (c[i].as_py() for c in columns)
-                if group != (met, lo, hi):
+                *own, block, key, text = (c[i].as_py() for c in columns)
+                if group != own:
                     if len(held) > 1:
                         yield edges()
-                    group, held = (met, lo, hi), []
+                    group, held = own, []
                 found = shingles(text, words, known)
                 if len(found):
                     held.append((key, found, block))
         if len(held) > 1:
             yield edges()
 
-    sets = stored(texts.mapInArrow(measure, "id long, n long, digest binary"))
+    sets = stored(texts.mapInArrow(measure, "id long, n long, digest binary, level long"))
     known_sets = sets.where("n > 0 and id is not null")
     first = known_sets.groupBy("digest").agg(F.min("id").alias("first"), F.first("n").alias("n"))
     keyed = texts.where("id is not null").mapInArrow(route, "key long, id long")
     # Each id with the smallest one under its key: as many rows as ids, however many share the key.
     starred = keyed.selectExpr(
-        "id as b", "first_value(id) over (partition by key order by id rows between unbounded preceding and current row) as a"
-    )
-    met = components(starred.where("a != b"))
-    met = met.withColumnRenamed("component_id", "met").join(known_sets.select("id", "digest"), "id").join(first, "digest")
-    met = stored(met.select(F.col("first").alias("id"), "met", "n").distinct())
-    groups = met.groupBy("met").agg(F.count("id").alias("rows"), F.sum("n").alias("all")).where("rows > 1")
+        "id as b",
+        "first_value(id) over (partition by key order by id rows between unbounded preceding and current row) as a",
+        f"key & {LEVEL}L as bits",
+    ).where("a != b")
+    # An id on a level is a node of its own. Nodes that fall together only make a group larger.
+    met = components(starred.select(F.xxhash64("a", "bits").alias("a"), F.xxhash64("b", "bits").alias("b")))
+    placed = known_sets.select("id", "digest", "level", F.explode(F.array("level", F.col("level") + 1)).alias("on"))
+    placed = placed.withColumn("node", F.xxhash64("id", F.expr(f"on & {LEVEL}L")))
+    met = met.select(F.col("id").alias("node"), F.col("component_id").alias("met")).join(placed, "node").join(first, "digest")
+    met = stored(met.select(F.col("first").alias("id"), "met", "on", "level", "n").distinct())
+    group = ["met", "on"]
+    # Where all are of the level below, their pairs are looked at on that one.
+    groups = met.groupBy(group).agg(F.count("id").alias("rows"), F.sum("n").alias("all"), F.max("level").alias("top"))
+    groups = groups.where("rows > 1 and top = on")
     blocks = F.ceil(F.greatest(F.col("rows") / block_rows, F.col("all") / block_shingles))
     dealt = (
-        met.join(groups.select("met", blocks.alias("blocks")), "met")
+        met.join(groups.select(*group, blocks.alias("blocks")), group)
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-        .select("id", "met", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        .select("id", "met", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        .select("id", *group, "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        .select("id", *group, "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     )
+    group += ["lo", "hi"]
     together = (
         texts.join(dealt.hint("merge"), "id")  # what met grows with the corpus: never broadcast
-        .select("met", "lo", "hi", "block", "id", "text")
-        .repartition(tasks(docs.sparkSession), "met", "lo", "hi")
-        .sortWithinPartitions("met", "lo", "hi")
+        .select(*group, "block", "id", "text")
+        .repartition(tasks(docs.sparkSession), *group)
+        .sortWithinPartitions(*group)
     )
     linked = together.mapInArrow(search, "a long, b long")
     copies = known_sets.join(first.select("digest", "first"), "digest").where("id != first")

@@ -1,13 +1,15 @@
 """The similarity join against all pairs."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
+from civicframe.llm import jaccard_join as jaccard
 from civicframe.llm.jaccard_join import Words, divide_skip, jaccard_join, routing_keys, shingles, words_of
 from civicframe.llm.queries import QUERIES
-from civicframe.llm.store import components
+from civicframe.llm.store import components, stored
 from pyspark.sql import functions as F
 
 FOLDER = "/root/testdata/sf0.001"
@@ -124,3 +126,56 @@ def test_components_of_chains_and_stars(spark):
     got = {r.id: r.component_id for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 3 for i in range(500, 540))
     assert got[300] == got[200] == 200 and 7 not in got
+
+
+def test_search_leaves_out_pairs_of_small_sets():
+    known = Words()
+    found = sorted((shingles(t, 3, known) for t in made_texts(random.Random(4), 12)), key=len)
+    above = len(found[len(found) // 2])
+    forest = divide_skip(found, None, 4, 5, above)
+    up = list(range(len(found)))
+    for i in range(len(found)):
+        for j in range(i):
+            meet = len(np.intersect1d(found[i], found[j]))
+            if len(found[i]) > above and 5 * meet >= 4 * (len(found[i]) + len(found[j]) - meet):
+                a, b = up[i], up[j]
+                up = [b if x == a else x for x in up]
+    roots = [forest.root(i) for i in range(len(found))]
+    assert len(set(roots)) < len(roots)
+    assert all((roots[i] == roots[j]) == (up[i] == up[j]) for i in range(len(found)) for j in range(i))
+
+
+def test_search_holds_few_bytes_a_shingle():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 5000).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[i : i + 1000], rng.integers(0, 2**63, 1000).astype(np.uint64)])) for i in range(0, 4000, 10)]
+    sets.sort(key=len)
+    tracemalloc.start()
+    divide_skip(sets, None, 4, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The sets themselves take 8.
+    assert peak < 30 * sum(map(len, sets))
+
+
+def test_sets_of_many_sizes_are_not_one_group(spark, monkeypatch):
+    """Each text is like the next longer one, and too short to be linked with it."""
+    long = [f"w{i}" for i in range(3000)]
+    texts, n = [], 40
+    while n <= 3000:
+        texts += [" ".join(long[:n]), " ".join(long[:n] + ["end"])]
+        n = n * 13 // 10
+    rows = list(enumerate(texts))
+    groups = []
+
+    def seen(df):
+        out = stored(df)
+        if "met" in df.columns:
+            groups.extend(r["count"] for r in out.groupBy("met").count().collect())
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", seen)
+    got = jaccard_join(table(spark, rows), words=5, num=4, den=5)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, 5, 4, 5)
+    # Of two neighbouring sizes, at most two steps of each.
+    assert max(groups) <= 8 < len(rows)
