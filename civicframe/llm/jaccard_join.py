@@ -280,21 +280,29 @@ def jaccard_join(
                 yield merged(held)
 
     def merged(held: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
-        """A row per key, with the smallest id; sets that met here are tied by keys of their own."""
+        """A row per key, with the smallest id; sets that met here are tied by keys of their own, once a level."""
+        ids = np.array([i for _, i in held], np.int64)
         key = np.concatenate([k for k, _ in held])
-        who = np.repeat(np.array([i for _, i in held]), [len(k) for k, _ in held])
+        who = np.repeat(np.arange(len(held)), [len(k) for k, _ in held])
         order = np.argsort(key, kind="stable")
         key, who = key[order], who[order]
         new = np.concatenate([[True], key[1:] != key[:-1]])
         leader = who[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        ties = np.column_stack([leader, who, (key & LEVEL).astype(np.int64)])[leader != who]
-        ties = np.unique(ties, axis=0).reshape(-1, 3)
-        tie_key = mixed(ties[:, 0].astype(np.uint64) * _MIX[0] + mixed(ties[:, 1].astype(np.uint64) + _MIX[2]))
-        tie_key = (tie_key & ~LEVEL) | ties[:, 2].astype(np.uint64)
+        # A set on a level is a node; of the ties only trees are sent.
+        room = int(LEVEL) + 1
+        nodes, bits = len(held) * room, (key & LEVEL).astype(np.int64)
+        ties = np.unique(((leader * room + bits) * nodes + who * room + bits)[leader != who])
+        forest = Forest(nodes)
+        for a, b in zip((ties // nodes).tolist(), (ties % nodes).tolist(), strict=True):
+            forest.join(a, b)
+        tied = np.unique(ties % nodes)
+        low, high = ids[np.array([forest.root(x) for x in tied.tolist()], np.int64) // room], ids[tied // room]
+        tie_key = mixed(low.astype(np.uint64) * _MIX[0] + mixed(high.astype(np.uint64) + _MIX[2]))
+        tie_key = (tie_key & ~LEVEL) | (tied % room).astype(np.uint64)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate([key[new], tie_key, tie_key]).view(np.int64)),
-                pa.array(np.concatenate([leader[new], ties[:, 0], ties[:, 1]]).astype(np.int64)),
+                pa.array(np.concatenate([ids[leader[new]], low, high])),
             ],
             names=["key", "id"],
         )
