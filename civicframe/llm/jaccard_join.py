@@ -340,11 +340,11 @@ def jaccard_join(
     first = known_sets.groupBy("digest").agg(F.min("id").alias("first"), F.first("n").alias("n"))
     keyed = texts.where("id is not null").mapInArrow(route, "key long, id long")
     # Each id with the smallest one under its key: as many rows as ids, however many share the key.
+    # What is worked out from a key or an id comes after the window, else it is exchanged with them.
     starred = keyed.selectExpr(
-        "id as b",
-        "first_value(id) over (partition by key order by id rows between unbounded preceding and current row) as a",
-        f"key & {LEVEL}L as bits",
-    ).where("a != b")
+        "key", "id", "first_value(id) over (partition by key order by id rows between unbounded preceding and current row) as least"
+    ).where("least != id")
+    starred = starred.select(F.col("least").alias("a"), F.col("id").alias("b"), F.expr(f"key & {LEVEL}L").alias("bits"))
     # An id on a level is a node of its own. Nodes that fall together only make a group larger.
     met = components(starred.select(F.xxhash64("a", "bits").alias("a"), F.xxhash64("b", "bits").alias("b")))
     placed = known_sets.select("id", "digest", "level", F.explode(F.array("level", F.col("level") + 1)).alias("on"))
