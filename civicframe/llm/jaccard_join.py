@@ -8,10 +8,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import components, stored, tasks
+from .store import components, dropped, stored, tasks
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _SHIFT = np.uint64(31)
@@ -114,6 +114,46 @@ def routing_keys(found: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(keys)
 
 
+def sketch_bits(level: int, num: int, den: int) -> int:
+    """Bits of a level's sketches: a power of two, two a shingle or more."""
+    return max(256, 1 << (2 * level_tops(num, den)[level] - 1).bit_length())
+
+
+def sketch(found: np.ndarray, bits: int) -> np.ndarray:
+    """For each of ``bits`` buckets whether an odd number of shingles is in it, as 64-bit words.
+
+    Two sets' sketches differ in no more bits than the sets have shingles that only one holds.
+    """
+    odd = np.bincount((found >> np.uint64(11) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(words: np.ndarray, bits: int) -> np.ndarray:
+    """A sketch of ``bits`` or more as one of ``bits``."""
+    return np.bitwise_xor.reduce(words.reshape(-1, bits // 64), axis=0)
+
+
+def alike(words: np.ndarray, size: np.ndarray, side: np.ndarray | None, num: int, den: int, above: int = 0) -> np.ndarray:
+    """For each set the first one of its tree, under ties of sets that their sketches do not keep from being linked.
+
+    ``words`` holds a sketch a row. Order, ``side`` and ``above`` are those of ``divide_skip``.
+    """
+    tree = np.arange(len(size))
+    for i in range(max(1, int(np.searchsorted(size, above, "right"))), len(size)):
+        least = int(np.searchsorted(size, -(-num * int(size[i]) // den)))
+        if least >= i:
+            continue
+        differ = np.bitwise_count(words[least:i] ^ words[i]).sum(1, dtype=np.int64)
+        near = differ * (num + den) <= (size[least:i] + size[i]) * (den - num)
+        if side is not None:
+            near &= side[least:i] != side[i]
+        for other in np.unique(tree[least:i][near]):
+            mine = tree[i]
+            if other != mine:
+                tree[: i + 1][tree[: i + 1] == max(other, mine)] = min(other, mine)
+    return tree
+
+
 class Forest:
     """Union-find over numbers; the smallest of a tree is its root."""
 
@@ -223,13 +263,17 @@ def jaccard_join(
     den: int = 5,
     block_rows: int = 6_000,
     block_shingles: int = 2_000_000,
+    block_bits: int = 128_000_000,
 ) -> DataFrame:
     """One row per input row: ``id_col, n_shingles, component_id`` under links of similarity ``num / den`` or more.
 
-    Three steps. (1) Sets are fingerprinted; equal sets are one from here on. (2) Sets that share a
+    Four steps. (1) Sets are fingerprinted; equal sets are one from here on. (2) Sets that share a
     routing key meet; keys are merged within a batch first, so a hot key has one row per batch.
-    (3) Sets that met on a level, directly or through others, are searched by ``divide_skip`` in one task,
-    or in one task per pair of blocks where they are more than ``block_rows`` or ``block_shingles``.
+    (3) Sets that met on a level, directly or through others, are told apart by their sketches, which
+    take some 3 bits a shingle: only ties that a sketch cannot rule out count from here on.
+    (4) Sets that are still together are searched by ``divide_skip`` in one task, or in one task per
+    pair of blocks where they are more than ``block_rows`` or ``block_shingles``; so are sketches by
+    ``alike`` where they are more than four times ``block_rows`` or more than ``block_bits``.
     No pair leaves a task: each sends the trees that it has found, at most a row per set.
     A group holds sets of its level and of the one below, and a pair of the latter is looked at on its
     own level, so sets of many sizes do not become one group through weak likeness from size to size.
@@ -245,14 +289,17 @@ def jaccard_join(
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for b in batches:
-            n, digest = [], []
+            n, digest, bits = [], [], []
             for t in b.column("text"):
                 found = shingles(t.as_py(), words, known)
                 n.append(len(found))
                 digest.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
+                own = int(levels([len(found)], num, den)[0])
+                bits.append(sketch(found, sketch_bits(own, num, den)).tobytes() if len(found) else None)
             level = levels(n, num, den).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(level)], names=["id", "n", "digest", "level"]
+                [b.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(level), pa.array(bits, pa.binary())],
+                names=["id", "n", "digest", "level", "sketch"],
             )
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,6 +354,35 @@ def jaccard_join(
             names=["key", "id"],
         )
 
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+
+        def ties() -> pa.RecordBatch:
+            ordered = sorted(held, key=lambda x: (x[1], x[0]))
+            _, on, lo, hi = group
+            bits = sketch_bits(max(on - 1, 0), num, den)
+            each = np.array([folded(np.frombuffer(x[2], np.uint64), bits) for x in ordered])
+            size = np.array([x[1] for x in ordered])
+            side = None if lo == hi else np.array([x[3] == lo for x in ordered])
+            tree = alike(each, size, side, num, den, level_tops(num, den)[on - 1] if on else 0)
+            ids = np.array([x[0] for x in ordered], np.int64)
+            tied = np.flatnonzero(tree != np.arange(len(tree)))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids[tied]), pa.array(ids[tree[tied]]), pa.array(np.full(len(tied), on))], names=["a", "b", "on"]
+            )
+
+        for b in batches:
+            columns = [b.column(c) for c in ("met", "on", "lo", "hi", "id", "n", "sketch", "block")]
+            for i in range(b.num_rows):
+                *own, key, n, bits, block = (c[i].as_py() for c in columns)
+                if group != own:
+                    if len(held) > 1:
+                        yield ties()
+                    group, held = own, []
+                held.append((key, n, bits, block))
+        if len(held) > 1:
+            yield ties()
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         group, held = None, []
@@ -335,38 +411,54 @@ def jaccard_join(
         if len(held) > 1:
             yield edges()
 
-    sets = stored(texts.mapInArrow(measure, "id long, n long, digest binary, level long"))
+    sets = stored(texts.mapInArrow(measure, "id long, n long, digest binary, level long, sketch binary"))
     known_sets = sets.where("n > 0 and id is not null")
-    first = known_sets.groupBy("digest").agg(F.min("id").alias("first"), F.first("n").alias("n"))
+    first = known_sets.groupBy("digest").agg(F.min("id").alias("first"))
     keyed = texts.where("id is not null").mapInArrow(route, "key long, id long")
     # Each id with the smallest one under its key: as many rows as ids, however many share the key.
     # What is worked out from a key or an id comes after the window, else it is exchanged with them.
     starred = keyed.selectExpr(
         "key", "id", "first_value(id) over (partition by key order by id rows between unbounded preceding and current row) as least"
     ).where("least != id")
-    starred = starred.select(F.col("least").alias("a"), F.col("id").alias("b"), F.expr(f"key & {LEVEL}L").alias("bits"))
-    # An id on a level is a node of its own. Nodes that fall together only make a group larger.
-    met = components(starred.select(F.xxhash64("a", "bits").alias("a"), F.xxhash64("b", "bits").alias("b")))
-    placed = known_sets.select("id", "digest", "level", F.explode(F.array("level", F.col("level") + 1)).alias("on"))
-    placed = placed.withColumn("node", F.xxhash64("id", F.expr(f"on & {LEVEL}L")))
-    met = met.select(F.col("id").alias("node"), F.col("component_id").alias("met")).join(placed, "node").join(first, "digest")
-    met = stored(met.select(F.col("first").alias("id"), "met", "on", "level", "n").distinct())
-    group = ["met", "on"]
-    # Where all are of the level below, their pairs are looked at on that one.
-    groups = met.groupBy(group).agg(F.count("id").alias("rows"), F.sum("n").alias("all"), F.max("level").alias("top"))
-    groups = groups.where("rows > 1 and top = on")
-    blocks = F.ceil(F.greatest(F.col("rows") / block_rows, F.col("all") / block_shingles))
-    dealt = (
-        met.join(groups.select(*group, blocks.alias("blocks")), group)
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-        .select("id", *group, "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        .select("id", *group, "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    )
-    group += ["lo", "hi"]
+    # Written as plain ids: of hashes the exchange would take more room beside that of the keys.
+    starred = stored(starred.select(F.col("least").alias("a"), F.col("id").alias("b"), F.expr(f"key & {LEVEL}L").alias("bits")).distinct())
+
+    def node(of: str, on: str) -> Column:
+        """An id on a level is a node of its own. Nodes that fall together only make a group larger."""
+        return F.xxhash64(of, F.expr(f"{on} & {LEVEL}L"))
+
+    def dealt(met: DataFrame, size: Column, most_rows: int, most: int) -> DataFrame:
+        """Rows of ``met(met, on, level, ..)`` that meet others, once for each pair of blocks ``lo, hi`` that their ``block`` is in."""
+        # Where all are of the level below, their pairs are looked at on that one.
+        groups = met.groupBy("met", "on").agg(F.count("id").alias("rows"), F.sum(size).alias("all"), F.max("level").alias("top"))
+        groups = groups.where("rows > 1 and top = on")
+        blocks = F.ceil(F.greatest(F.col("rows") / most_rows, F.col("all") / most))
+        return (
+            met.join(groups.select("met", "on", blocks.alias("__blocks")), ["met", "on"])
+            .withColumn("block", F.pmod(F.xxhash64("id"), F.col("__blocks")))
+            .withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)))
+            .withColumns({"lo": F.least("block", "__other"), "hi": F.greatest("block", "__other")})
+            .drop("__blocks", "__other")
+        )
+
+    group = ["met", "on", "lo", "hi"]
+    spark = docs.sparkSession
+    met = components(starred.select(node("a", "bits").alias("a"), node("b", "bits").alias("b")))
+    dropped(starred)
+    placed = known_sets.select("id", "digest", "level", "n", "sketch", F.explode(F.array("level", F.col("level") + 1)).alias("on"))
+    placed = placed.withColumn("node", node("id", "on")).join(met.toDF("node", "met"), "node").join(first, "digest")
+    placed = stored(placed.dropDuplicates(["digest", "met", "on"]).select(F.col("first").alias("id"), "met", "on", "level", "n", "sketch"))
+    sifted = dealt(placed, F.length("sketch") * 8, 4 * block_rows, block_bits).select(*group, "block", "id", "n", "sketch")
+    ties = sifted.repartition(tasks(spark), *group).sortWithinPartitions(*group).mapInArrow(sift, "a long, b long, on long")
+    near = components(ties.select(node("a", "on").alias("a"), node("b", "on").alias("b")))
+    met = placed.select("id", "on", "level", "n", node("id", "on").alias("node")).join(near.toDF("node", "met"), "node")
+    met = stored(met.select("id", "met", "on", "level", "n").distinct())
+    dropped(placed)
+    parts = dealt(met, F.col("n"), block_rows, block_shingles).select(*group, "block", "id")
     together = (
-        texts.join(dealt.hint("merge"), "id")  # what met grows with the corpus: never broadcast
+        texts.join(parts.hint("merge"), "id")  # what met grows with the corpus: never broadcast
         .select(*group, "block", "id", "text")
-        .repartition(tasks(docs.sparkSession), *group)
+        .repartition(tasks(spark), *group)
         .sortWithinPartitions(*group)
     )
     linked = together.mapInArrow(search, "a long, b long")

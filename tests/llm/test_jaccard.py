@@ -1,13 +1,15 @@
 """The similarity join against all pairs."""
 
 import random
+import time
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from civicframe.llm import jaccard_join as jaccard
-from civicframe.llm.jaccard_join import Words, divide_skip, jaccard_join, routing_keys, shingles, words_of
+from civicframe.llm.jaccard_join import Words, alike, divide_skip, folded, jaccard_join, levels, routing_keys, shingles, sketch, sketch_bits, words_of
 from civicframe.llm.queries import QUERIES
 from civicframe.llm.store import components, stored
 from pyspark.sql import functions as F
@@ -179,3 +181,76 @@ def test_sets_of_many_sizes_are_not_one_group(spark, monkeypatch):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, 5, 4, 5)
     # Of two neighbouring sizes, at most two steps of each.
     assert max(groups) <= 8 < len(rows)
+
+
+@pytest.mark.parametrize("num,den", [(85, 100), (4, 5), (1, 2)])
+def test_sketches_rule_out_no_linked_pair(num, den):
+    rng = np.random.default_rng(8)
+    for n in [2, 5, 9, 40, 300, 1500]:
+        base = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        sets = [base]
+        for change in rng.integers(0, n // 4 + 2, 30):
+            sets.append(np.unique(np.concatenate([rng.permutation(base)[change:], rng.integers(0, 2**63, rng.integers(0, n // 4 + 2)).astype(np.uint64)])))
+        sets = sorted((s for s in sets if len(s)), key=len)
+        size = np.array([len(s) for s in sets])
+        bits = sketch_bits(int(levels([size[0]], num, den)[0]), num, den)
+        words = np.array([folded(sketch(s, 4 * bits), bits) for s in sets])
+        assert (words[0] == sketch(sets[0], bits)).all()
+        tree, forest = alike(words, size, None, num, den), divide_skip(sets, None, num, den)
+        assert all(tree[i] == tree[forest.root(i)] for i in range(len(sets)))
+
+
+def test_sketches_of_two_sides():
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 2**63, 200).astype(np.uint64))
+    sets = [base[2:], base[1:], base, np.unique(rng.integers(0, 2**63, 201).astype(np.uint64))]
+    words, size = np.array([sketch(s, 1024) for s in sets]), np.array([len(s) for s in sets])
+    assert alike(words, size, None, 4, 5).tolist() == [0, 0, 0, 3]
+    assert alike(words, size, np.array([True, True, False, False]), 4, 5).tolist() == [0, 0, 0, 3]
+    assert alike(words, size, np.array([True, True, True, False]), 4, 5).tolist() == [0, 1, 2, 3]
+    assert alike(words, size, None, 4, 5, 199).tolist() == [0, 0, 0, 3]
+    assert alike(words, size, None, 4, 5, 200).tolist() == [0, 1, 2, 3]
+
+
+def test_texts_that_only_share_passages_are_not_sent(spark, monkeypatch):
+    """They agree in keys, directly or through others; their sketches tell them apart before texts are sent."""
+    rng = random.Random(3)
+    passages = [[f"p{k}w{i}" for i in range(300)] for k in range(4)]
+    rows = [(i, " ".join([*(w for p in rng.sample(passages, 3) for w in p), *(f"x{i}y{j}" for j in range(500))])) for i in range(40)]
+    rows += [(100, rows[0][1] + " end"), (101, "end " + rows[0][1])]
+    met = []
+
+    def seen(df):
+        out = stored(df)
+        if "met" in df.columns:
+            met.append({r.id for r in out.select("id").collect()})
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", seen)
+    got = jaccard_join(table(spark, rows), words=5, num=4, den=5)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, 5, 4, 5)
+    assert len(met[0]) > 10 and met[-1] == {0, 100, 101}
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_what_is_stored_leaves_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    kept = stored(spark.range(1000).repartition(7).groupBy((F.col("id") % 10).alias("k")).count())
+    until = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    assert kept.count() == 10
+
+
+def test_rounds_of_components_leave_one_table(spark):
+    folder = Path(spark.conf.get("spark.checkpoint.dir"), "civicframe-llm")
+    folder.mkdir(exist_ok=True)
+    before = set(folder.iterdir())
+    got = components(spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long"))
+    assert len(set(folder.iterdir()) - before) == 1
+    assert {r.component_id for r in got.collect()} == {0} and got.count() == 101
