@@ -5,8 +5,10 @@ import math
 import numpy as np
 import pytest
 
-from civicframe.llm.near_vectors import RADII, Tree, dual, near_vectors, tree_order, unit
+from civicframe.llm import near_vectors as vectors
+from civicframe.llm.near_vectors import RADII, Tree, dual, errors, near_sketches, near_vectors, opened, places, sketches, tree_order, turn, unit
 from civicframe.llm.queries import QUERIES
+from civicframe.llm.store import stored
 from pyspark.sql import functions as F
 
 
@@ -118,3 +120,68 @@ def test_query_on_a_table(spark):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
     got = QUERIES["op1_near_vectors"](spark, folder).collect()
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows, 0.95)
+
+
+@pytest.mark.parametrize("width", [1, 3, 24, 100])
+def test_sketches_know_their_error(width):
+    x = unit(np.random.default_rng(width).normal(size=(50, width)) ** 3)
+    made = sketches(x)
+    gap = np.sqrt(((opened(made).astype(float) - x @ turn(width)) ** 2).sum(1))
+    assert made.shape == (50, width + 8) and (gap <= errors(made)).all() and errors(made).max() < 0.02
+    assert (opened(made, 2) == opened(made)[:, :2]).all()
+
+
+@pytest.mark.parametrize("width,tile", [(5, 64), (32, 1024), (64, 100)])
+def test_ties_of_sketches_hold_all_links(monkeypatch, width, tile):
+    monkeypatch.setattr(vectors, "TILE", tile)
+    rng = np.random.default_rng(width)
+    x = unit(clustered(rng, 600, width))
+    t = math.sqrt(0.1)
+    for cut in (600, 250):
+        same = cut == 600
+        own, other = sketches(x[:cut]), sketches(x if same else x[cut:])
+        forest = near_sketches(own, own if same else other, t, same)
+        y = x if same else x[cut:]
+        links = np.argwhere(x[:cut] @ y.T >= 0.95)
+        shift = 0 if same else cut
+        assert len(links) > 600 and all(forest.root(int(i)) == forest.root(int(j) + shift) for i, j in links)
+        assert len({forest.root(i) for i in range(len(forest.up))}) > 50
+
+
+def test_places_of_true():
+    rng = np.random.default_rng(1)
+    for shape in ((8, 8), (7, 5), (3, 40)):
+        true = rng.random(shape) < 0.1
+        assert places(true).tolist() == np.flatnonzero(true).tolist()
+
+
+def test_vectors_without_ties_are_not_sent(spark, monkeypatch):
+    """Vectors without structure meet as sketches; what is written and dealt in full has a link."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 64))
+    x = np.concatenate([x, x[:5] + rng.normal(size=(5, 64)) * 0.05])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    seen = []
+
+    def kept(df):
+        out = stored(df)
+        if {"vec", "unit"} & set(df.columns):
+            seen.extend(r.id for r in out.select("id").collect())
+        return out
+
+    monkeypatch.setattr(vectors, "stored", kept)
+    got = near_vectors(table(spark, rows), block=50)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, 0.95)
+    assert sorted(seen) == [*range(5), *range(400, 405)]
+
+
+@pytest.mark.parametrize("kind", ["float", "double", "int"])
+def test_blocks_of_sketches_and_kinds(spark, kind):
+    x = clustered(np.random.default_rng(7), 200, 6)
+    x = np.rint(x * 50) if kind == "int" else x.astype(np.float32)
+    rows = [(i % 190, v.astype(float).tolist()) for i, v in enumerate(x)]
+    df = table(spark, rows).withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))
+    got = near_vectors(df, block=30, sample=32, most=500)
+    assert [r[::2] for r in sorted((tuple(r)[:3] for r in got.collect()), key=repr)] == [r[::2] for r in sorted((r[:3] for r in brute(rows, 0.95)), key=repr)]
+    once = near_vectors(df.where("vec_id >= 10"), block=30, sample=32, most=500)
+    assert sorted((tuple(r) for r in once.collect()), key=repr) == brute([r for r in rows if r[0] >= 10], 0.95)
